@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from ridgeline.llm.exact_dedup import exact_dedup
 from ridgeline.llm.minhash import near_dedup
+from ridgeline.llm.packing import pack
 from ridgeline.llm.shared import scan
 
 
+def op2_best_fit_packing(spark, sf_dir):
+    return pack(scan(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup(scan(spark, sf_dir, "documents"))
 
@@ -17,6 +24,7 @@ def op8_minhash_near_dedup(spark, sf_dir):
 
 def queries():
     return {
+        "op2_best_fit_packing": op2_best_fit_packing,
         "op3_exact_dedup": op3_exact_dedup,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
     }
