@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from ridgeline.llm.exact_dedup import exact_dedup
 from ridgeline.llm.minhash import near_dedup
 from ridgeline.llm.packing import pack
-from ridgeline.llm.shared import scan
+from ridgeline.llm.language_id import identify
+from ridgeline.llm.shared import held_out, scan
 
 
 def op2_best_fit_packing(spark, sf_dir):
@@ -22,11 +24,17 @@ def op8_minhash_near_dedup(spark, sf_dir):
     return near_dedup(scan(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark, sf_dir):
+    docs = scan(spark, sf_dir, "documents")
+    return identify(docs, held_out(F.col("doc_id"), 3))
+
+
 def queries():
     return {
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_exact_dedup": op3_exact_dedup,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
+        "op9_language_id": op9_language_id,
     }
 
 
