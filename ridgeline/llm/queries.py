@@ -9,6 +9,7 @@ from ridgeline.llm.exact_dedup import exact_dedup
 from ridgeline.llm.minhash import near_dedup
 from ridgeline.llm.packing import pack
 from ridgeline.llm.language_id import identify
+from ridgeline.llm.quality import classify
 from ridgeline.llm.shared import held_out, scan
 
 
@@ -20,6 +21,10 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup(scan(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark, sf_dir):
+    return classify(scan(spark, sf_dir, "documents"), scan(spark, sf_dir, "labels"))
+
+
 def op8_minhash_near_dedup(spark, sf_dir):
     return near_dedup(scan(spark, sf_dir, "documents"))
 
@@ -33,6 +38,7 @@ def queries():
     return {
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_exact_dedup": op3_exact_dedup,
+        "op7_quality_classifier": op7_quality_classifier,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_language_id": op9_language_id,
     }
