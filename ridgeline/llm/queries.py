@@ -10,6 +10,7 @@ from ridgeline.llm.minhash import near_dedup
 from ridgeline.llm.packing import pack
 from ridgeline.llm.language_id import identify
 from ridgeline.llm.quality import classify
+from ridgeline.llm.ppm import score_corpus
 from ridgeline.llm.shared import held_out, scan
 
 
@@ -21,6 +22,11 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup(scan(spark, sf_dir, "documents"))
 
 
+def op5_ppm_score(spark, sf_dir):
+    docs = scan(spark, sf_dir, "documents")
+    return score_corpus(docs, held_out(F.col("doc_id"), 5))
+
+
 def op7_quality_classifier(spark, sf_dir):
     return classify(scan(spark, sf_dir, "documents"), scan(spark, sf_dir, "labels"))
 
@@ -38,6 +44,7 @@ def queries():
     return {
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_exact_dedup": op3_exact_dedup,
+        "op5_ppm_score": op5_ppm_score,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_language_id": op9_language_id,
