@@ -11,9 +11,14 @@ from ridgeline.llm.packing import pack
 from ridgeline.llm.language_id import identify
 from ridgeline.llm.quality import classify
 from ridgeline.llm.ppm import score_corpus
+from ridgeline.llm.forest import nearest
 from ridgeline.llm.shared import held_out, scan
 
 
+def op1_forest_search(spark, sf_dir):
+    return nearest(scan(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op2_best_fit_packing(spark, sf_dir):
     return pack(scan(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -42,6 +47,7 @@ def op9_language_id(spark, sf_dir):
 
 def queries():
     return {
+        "op1_forest_search": op1_forest_search,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_exact_dedup": op3_exact_dedup,
         "op5_ppm_score": op5_ppm_score,
