@@ -8,10 +8,14 @@ Plan, none of whose steps pairs up a whole group:
 2. Each band bucket names its smallest node; members pair with it (at most 32 pairs a node). A pair goes on if its
    collision-corrected estimate from bit counts is within five standard deviations of the threshold.
 3. What goes on is confirmed on the full sets: ``100 * |A and B| >= 75 * |A or B|``.
-4. Components of the confirmed links. Buckets that still span several components are looked through exhaustively by
-   signature, in square blocks of bounded size, and what passes the estimate is confirmed as in 3. So no link that
-   shares a bucket is lost, however large the bucket. A pair at similarity 0.75 shares no bucket with probability
-   (1 - 0.75**4)**32, about 5e-6.
+4. Components of the confirmed links. In buckets that still span several components each node names the node of
+   another component that its signature is most like (Boruvka's step: one pair a node and bucket), which is confirmed
+   as in 3; a second such round follows. Where one text is the source of many copies that are less like each
+   other than like it, this finds the source wherever it stands.
+5. Buckets that span several components even then are looked through exhaustively by signature, and what passes the
+   estimate is confirmed as in 3. So no link that shares a bucket is lost, however large the bucket. Buckets meet in
+   square blocks of bounded size. A pair at similarity 0.75 shares no bucket with probability (1 - 0.75**4)**32, about
+   5e-6.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ BANDS, LANES = PERMUTATIONS // ROWS, PERMUTATIONS * BITS // 64
 #: Members that meet in one task when a bucket is looked through exhaustively.
 BLOCK = 2048
 BLOOM_BITS = 1 << 23
+#: Rounds of nearest pairs before the exhaustive one.
+ROUNDS = 2
 
 _rng = np.random.default_rng(88001)
 _A = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -161,8 +167,9 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int
     return met.where(100 * F.col("shared") >= percent * (F.col("both") - F.col("shared"))).select("a", "b")
 
 
-def _cross_pairs(members: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) over different components in one bucket whose estimate passes; buckets meet in blocks of BLOCK."""
+def _cross_pairs(members: DataFrame, least: float, nearest: bool) -> DataFrame:
+    """Pairs (a, b) over different components in one bucket whose estimate passes; buckets meet in blocks of BLOCK.
+    With ``nearest``, only each node's pair of highest estimate in a block."""
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -173,16 +180,19 @@ def _cross_pairs(members: DataFrame, least: float) -> DataFrame:
         node, comp = table.column("node").to_numpy(), table.column("component").to_numpy()
         block = table.column("block").to_numpy()
         sig = np.stack([table.column(s).to_numpy().view(np.uint64) for s in _SIG], axis=1)
-        rows = np.flatnonzero(block == key[1].as_py())
-        cols = np.flatnonzero(block == key[2].as_py())
+        rows, cols = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
+        sides = [(rows, cols), (cols, rows)] if nearest and key[1].as_py() != key[2].as_py() else [(rows, cols)]
         found_a, found_b = [], []
         ones = np.uint64(0x1111111111111111)
-        for r in rows:
+        for r, cols in ((r, cols) for rows, cols in sides for r in rows):
             z = sig[cols] ^ sig[r]
             z |= z >> np.uint64(1)
             z = (z | (z >> np.uint64(2))) & ones
-            ok = (np.bitwise_count(z).sum(axis=1) <= most) & (comp[cols] != comp[r])
+            differ = np.bitwise_count(z).sum(axis=1, dtype=np.int64)
+            ok = (differ <= most) & (comp[cols] != comp[r])
             got = node[cols[ok]]
+            if nearest and len(got):
+                got = got[np.lexsort((got, differ[ok]))[:1]]
             found_a.append(np.maximum(got, node[r]))
             found_b.append(np.minimum(got, node[r]))
         a, b = np.concatenate([*found_a, np.zeros(0, np.int64)]), np.concatenate([*found_b, np.zeros(0, np.int64)])
@@ -221,15 +231,19 @@ def near_dedup(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
     links = materialize(_confirmed(pairs, nodes, docs, percent), "confirmed")
     found = components(links)
 
-    placed = shared.join(found.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = materialize(placed.select("key", "node", "component"), "placed")
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = placed.join(split, "key").join(nodes.select("node", *_SIG), "node")
-    crossing = materialize(_cross_pairs(rest, least), "crossing")
-    if not crossing.isEmpty():
+    for turn in range(ROUNDS + 1):
+        placed = shared.join(found.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = materialize(placed.select("key", "node", "component"), "placed")
+        split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        rest = placed.join(split, "key").join(nodes.select("node", *_SIG), "node")
+        last = turn == ROUNDS
+        crossing = materialize(_cross_pairs(rest, least, nearest=not last), "crossing")
+        if crossing.isEmpty():
+            break
         more = materialize(_confirmed(crossing, nodes, docs, percent), "confirmed-more")
         if not more.isEmpty():
-            found = components(links.union(more))
+            links = links.union(more)
+            found = components(links)
 
     labelled = nodes.select("node", "row").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = labelled.groupBy("component").agg(F.min("row").alias("component_id"))
