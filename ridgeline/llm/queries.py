@@ -12,6 +12,7 @@ from ridgeline.llm.language_id import identify
 from ridgeline.llm.quality import classify
 from ridgeline.llm.ppm import score_corpus
 from ridgeline.llm.forest import nearest
+from ridgeline.llm.suffix_dedup import remove_repeats
 from ridgeline.llm.shared import held_out, scan
 
 
@@ -32,6 +33,10 @@ def op5_ppm_score(spark, sf_dir):
     return score_corpus(docs, held_out(F.col("doc_id"), 5))
 
 
+def op6_suffix_array_dedup(spark, sf_dir):
+    return remove_repeats(scan(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def op7_quality_classifier(spark, sf_dir):
     return classify(scan(spark, sf_dir, "documents"), scan(spark, sf_dir, "labels"))
 
@@ -51,6 +56,7 @@ def queries():
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_exact_dedup": op3_exact_dedup,
         "op5_ppm_score": op5_ppm_score,
+        "op6_suffix_array_dedup": op6_suffix_array_dedup,
         "op7_quality_classifier": op7_quality_classifier,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_language_id": op9_language_id,
