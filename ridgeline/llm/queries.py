@@ -13,6 +13,7 @@ from ridgeline.llm.quality import classify
 from ridgeline.llm.ppm import score_corpus
 from ridgeline.llm.forest import nearest
 from ridgeline.llm.suffix_dedup import remove_repeats
+from ridgeline.llm.piece_bpe import encode
 from ridgeline.llm.shared import held_out, scan
 
 
@@ -28,6 +29,11 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup(scan(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece_dropout(spark, sf_dir):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return encode(scan(spark, sf_dir, "documents"), model, dropout=0.1, seed=17, digest=True)
+
+
 def op5_ppm_score(spark, sf_dir):
     docs = scan(spark, sf_dir, "documents")
     return score_corpus(docs, held_out(F.col("doc_id"), 5))
@@ -55,6 +61,7 @@ def queries():
         "op1_forest_search": op1_forest_search,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_sentencepiece_dropout": op4_sentencepiece_dropout,
         "op5_ppm_score": op5_ppm_score,
         "op6_suffix_array_dedup": op6_suffix_array_dedup,
         "op7_quality_classifier": op7_quality_classifier,
