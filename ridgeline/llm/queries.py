@@ -14,6 +14,7 @@ from ridgeline.llm.ppm import score_corpus
 from ridgeline.llm.forest import nearest
 from ridgeline.llm.suffix_dedup import remove_repeats
 from ridgeline.llm.piece_bpe import encode
+from ridgeline.llm.token_counts import count_edited, sample_edits
 from ridgeline.llm.shared import held_out, scan
 
 
@@ -56,6 +57,11 @@ def op9_language_id(spark, sf_dir):
     return identify(docs, held_out(F.col("doc_id"), 3))
 
 
+def op10_edit_token_counts(spark, sf_dir):
+    docs = scan(spark, sf_dir, "documents")
+    return count_edited(docs, public_tokenizers.path("word_bpe_49k.json"), sample_edits(F.col("doc_id"), F.col("text")))
+
+
 def queries():
     return {
         "op1_forest_search": op1_forest_search,
@@ -67,6 +73,7 @@ def queries():
         "op7_quality_classifier": op7_quality_classifier,
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_language_id": op9_language_id,
+        "op10_edit_token_counts": op10_edit_token_counts,
     }
 
 

@@ -125,6 +125,17 @@ class WordTokens:
         return out, np.concatenate(([0], ends))[first]
 
 
+    def word_counts(self, data, offsets) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and token counts of the words (runs without white space), and each text's first word."""
+        starts, ends, first = K.spans(data, offsets)
+        if not len(starts):
+            return starts, ends, np.zeros(0, np.int64), first
+        # a word's pieces are those of a text that is the word alone
+        places = np.concatenate((starts, [len(data)]))
+        _, at = self.flat_ids(data, places) if starts[0] == 0 else self.flat_ids(data, np.concatenate(([0], places)))
+        return starts, ends, np.diff(at if starts[0] == 0 else at[1:]), first
+
+
 _loaded: dict[str, WordTokens] = {}
 
 
