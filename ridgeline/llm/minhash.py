@@ -8,14 +8,12 @@ Plan, none of whose steps pairs up a whole group:
 2. Each band bucket names its smallest node; members pair with it (at most 32 pairs a node). A pair goes on if its
    collision-corrected estimate from bit counts is within five standard deviations of the threshold.
 3. What goes on is confirmed on the full sets: ``100 * |A and B| >= 75 * |A or B|``.
-4. Components of the confirmed links. In buckets that still span several components each node names the node of
-   another component that its signature is most like (Boruvka's step: one pair a node and bucket), which is confirmed
-   as in 3; a second such round follows. Where one text is the source of many copies that are less like each
-   other than like it, this finds the source wherever it stands.
-5. Buckets that span several components even then are looked through exhaustively by signature, and what passes the
-   estimate is confirmed as in 3. So no link that shares a bucket is lost, however large the bucket. Buckets meet in
-   square blocks of bounded size. A pair at similarity 0.75 shares no bucket with probability (1 - 0.75**4)**32, about
-   5e-6.
+4. Components of the confirmed links. Buckets that still span several components are looked through to the end: their
+   nodes form families (nodes that share such buckets, directly or through others), which meet in square blocks of
+   bounded size, each node's full set shipped once per block pair. Pairs of different components whose estimate passes
+   are confirmed as in 3 right there, best estimate first and only while their components are apart, so a block hands on
+   at most one link per node. So no link that shares a bucket is lost, however large the bucket. A pair at similarity
+   0.75 shares no bucket with probability (1 - 0.75**4)**32, about 5e-6.
 """
 
 from __future__ import annotations
@@ -25,17 +23,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ridgeline.llm import bloom
 from ridgeline.llm import kernels as K
 from ridgeline.llm.components import components
 from ridgeline.llm.shared import materialize
 
 PERMUTATIONS, ROWS, BITS = 128, 4, 4
 BANDS, LANES = PERMUTATIONS // ROWS, PERMUTATIONS * BITS // 64
-#: Members that meet in one task when a bucket is looked through exhaustively.
-BLOCK = 2048
+#: Members a side that meet in one task when a family is looked through.
+BLOCK = 1024
 BLOOM_BITS = 1 << 23
-#: Rounds of nearest pairs before the exhaustive one.
-ROUNDS = 2
 
 _rng = np.random.default_rng(88001)
 _A = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -54,6 +51,11 @@ def minima(shingles: np.ndarray) -> np.ndarray:
     return best
 
 
+def set_key(shingles: np.ndarray) -> int:
+    """A 64-bit key of a non-empty set: what stands for all documents that have it."""
+    return int(K.mix(np.array([K.mix(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles))])).view(np.int64)[0])
+
+
 def pack(low: np.ndarray) -> np.ndarray:
     """Signatures of ``BITS``-bit values (rows x 128) in rows x 8 longs."""
     each = 64 // BITS
@@ -73,7 +75,7 @@ def _sketch(batches):
             sizes = np.array([len(s) for s in sets], np.int64)
             node, sig, bands = np.zeros(len(sets), np.int64), np.zeros((len(sets), LANES), np.int64), np.zeros((len(sets), BANDS), np.int64)
             if len(full):
-                node[full] = [int(K.mix(np.array([K.mix(sets[x]).sum(dtype=np.uint64) + np.uint64(len(sets[x]))])).view(np.int64)[0]) for x in full]
+                node[full] = [set_key(sets[x]) for x in full]
                 mixed = K.mix(low)
                 sig[full] = pack(mixed & np.uint64((1 << BITS) - 1))
                 grouped = mixed.reshape(len(full), BANDS, ROWS)
@@ -106,41 +108,15 @@ def least_estimate(threshold: float) -> float:
     return threshold - 5 * (p * (1 - p) / PERMUTATIONS) ** 0.5 / (1 - chance)
 
 
-def _bloom_slots(ids: np.ndarray) -> np.ndarray:
-    h = K.mix(ids.astype(np.int64).view(np.uint64))
-    return np.stack([(h >> np.uint64(s)) & np.uint64(BLOOM_BITS - 1) for s in (0, 20, 40)])
-
-
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size (1 MB) of the column ``node``; it only saves work, so being full costs time alone."""
-
-    def fill(batches):
-        bits = np.zeros(BLOOM_BITS, bool)
-        for b in batches:
-            bits[_bloom_slots(b.column(0).to_numpy(zero_copy_only=False))] = True
-        packed = np.packbits(bits).reshape(128, -1)
-        for k in np.flatnonzero(packed.any(axis=1)):
-            yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([packed[k].tobytes()], pa.binary())], ["k", "bits"])
-
-    def merge(key, table):
-        parts = [np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()]
-        return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.bitwise_or.reduce(parts).tobytes()], pa.binary())})
-
-    out = np.zeros(BLOOM_BITS // 8, np.uint8).reshape(128, -1)
-    for row in ids.mapInArrow(fill, "k int, bits binary").groupBy("k").applyInArrow(merge, "k int, bits binary").collect():
-        out[row.k] = np.frombuffer(row.bits, np.uint8)
-    return np.unpackbits(out.ravel()).astype(bool)
-
-
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, shingles) of at least the documents in ``wanted(node)``, filtered at the scan by the Bloom filter."""
-    bits = docs.sparkSession.sparkContext.broadcast(np.packbits(_bloom(wanted)))
+    """(doc_id, set_node, shingles) of at least the ids in ``wanted(node)``, filtered at the scan by the Bloom filter.
+    The node goes along, since rows may repeat an id with another text."""
+    bits = docs.sparkSession.sparkContext.broadcast(bloom.packed(wanted, BLOOM_BITS))
 
     def emit(batches):
-        held = np.unpackbits(bits.value).astype(bool)
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            hit = pa.array(held[_bloom_slots(ids)].all(axis=0)) if len(ids) else None
+            hit = pa.array(bloom.passes(bits.value, ids)) if len(ids) else None
             if hit is None or not hit.true_count:
                 continue
             batch = batch.filter(hit)
@@ -149,9 +125,10 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 sets = K.shingle_sets(part, off)
                 at = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), lists], ["doc_id", "shingles"])
+                keys = pa.array([set_key(x) if len(x) else None for x in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), keys, lists], ["doc_id", "set_node", "shingles"])
 
-    return docs.where("doc_id is not null").mapInArrow(emit, "doc_id long, shingles array<long>")
+    return docs.where("doc_id is not null").mapInArrow(emit, "doc_id long, set_node long, shingles array<long>")
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -160,46 +137,87 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int
         nodes.select(F.col("node").alias("b"), F.col("row").alias("rb"), F.col("n").alias("nb")), "b"
     )
     named = materialize(named.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")), "pairs")
-    left = _sets_of(docs, named.select(F.col("ra").alias("node"))).select(F.col("doc_id").alias("ra"), F.col("shingles").alias("sa"))
-    right = _sets_of(docs, named.select(F.col("rb").alias("node"))).select(F.col("doc_id").alias("rb"), F.col("shingles").alias("sb"))
+    left = _sets_of(docs, named.select(F.col("ra").alias("node"))).select(F.col("doc_id").alias("ra"), F.col("set_node").alias("a"), F.col("shingles").alias("sa"))
+    right = _sets_of(docs, named.select(F.col("rb").alias("node"))).select(F.col("doc_id").alias("rb"), F.col("set_node").alias("b"), F.col("shingles").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb")).cast("long")
-    met = named.join(left.hint("merge"), "ra").join(right.hint("merge"), "rb").select("a", "b", (F.col("na") + F.col("nb")).alias("both"), shared.alias("shared"))
+    met = named.join(left.hint("merge"), ["ra", "a"]).join(right.hint("merge"), ["rb", "b"]).select("a", "b", (F.col("na") + F.col("nb")).alias("both"), shared.alias("shared"))
     return met.where(100 * F.col("shared") >= percent * (F.col("both") - F.col("shared"))).select("a", "b")
 
 
-def _cross_pairs(members: DataFrame, least: float, nearest: bool) -> DataFrame:
-    """Pairs (a, b) over different components in one bucket whose estimate passes; buckets meet in blocks of BLOCK.
-    With ``nearest``, only each node's pair of highest estimate in a block."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def _shared_with(one: np.ndarray, flat: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """How many members of the sorted set ``one`` each of the sets ``flat[start[k]:start[k+1]]`` (none empty) has."""
+    if not len(one):
+        return np.zeros(len(start) - 1, np.int64)
+    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
+    return np.add.reduceat((one[at] == flat).astype(np.int64), start[:-1])
+
+
+def links_between(rows, cols, node, comp, sig, sets, least: float, percent: int) -> tuple[list[int], list[int]]:
+    """Confirmed links between members ``rows`` and ``cols`` that join different components, at most one per join."""
+    root: dict[int, int] = {}
+
+    def find(x):
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    most = int((1 - 1 / 2**BITS) * (1 - least) * PERMUTATIONS)
+    ones = np.uint64(0x1111111111111111)
+    near: list[tuple[np.ndarray, ...]] = []
+    for r in rows:
+        z = sig[cols] ^ sig[r]
+        z |= z >> np.uint64(1)
+        z = (z | (z >> np.uint64(2))) & ones
+        differ = np.bitwise_count(z).sum(axis=1, dtype=np.int64)
+        k = np.flatnonzero((differ <= most) & (comp[cols] != comp[r]) & (node[cols] != node[r]))
+        near.append((np.full(len(k), r), cols[k], differ[k]))
+    if not near:
+        return [], []
+    a, b, differ = (np.concatenate(x) for x in zip(*near, strict=True))
+    out: tuple[list[int], list[int]] = ([], [])
+    for d in np.unique(differ):  # likeliest links first
+        i, j = a[differ == d], b[differ == d]
+        for r in np.unique(i):
+            todo = [c for c in j[i == r] if find(int(comp[c])) != find(int(comp[r]))]
+            if not todo:
+                continue
+            start = np.concatenate(([0], np.cumsum([len(sets[c]) for c in todo])))
+            got = _shared_with(sets[r], np.concatenate([sets[c] for c in todo]), start)
+            union = len(sets[r]) + np.diff(start) - got
+            for c in np.array(todo)[100 * got >= percent * union]:
+                p, q = find(int(comp[c])), find(int(comp[r]))
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    out[0].append(int(node[r]))
+                    out[1].append(int(node[c]))
+    return out
+
+
+def _family_links(rest: DataFrame, nodes: DataFrame, docs: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links (a, b) that join components within the buckets of ``rest(key, node, component)``."""
+    heads = rest.groupBy("key").agg(F.min("node").alias("b"))
+    family = components(rest.join(heads, "key").select(F.col("node").alias("a"), "b")).select("node", F.col("component").alias("family"))
+    members = rest.select("node", "component").distinct().join(family, "node").join(nodes.select("node", "row", *_SIG), "node")
+    members = materialize(members, "families")
+    sizes = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sets = _sets_of(docs, members.select(F.col("row").alias("node"))).select(F.col("doc_id").alias("row"), F.col("set_node").alias("node"), "shingles")
+    dealt = members.join(sizes, "family").join(sets.hint("merge"), ["row", "node"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "component", *_SIG)
-    most = (1 - 1 / 2**BITS) * (1 - least) * PERMUTATIONS
+    dealt = dealt.select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "component", "shingles", *_SIG)
 
     def meet(key, table):
-        node, comp = table.column("node").to_numpy(), table.column("component").to_numpy()
-        block = table.column("block").to_numpy()
+        table = table.combine_chunks()
+        node, comp, block = (table.column(c).to_numpy() for c in ("node", "component", "block"))
         sig = np.stack([table.column(s).to_numpy().view(np.uint64) for s in _SIG], axis=1)
-        rows, cols = np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py())
-        sides = [(rows, cols), (cols, rows)] if nearest and key[1].as_py() != key[2].as_py() else [(rows, cols)]
-        found_a, found_b = [], []
-        ones = np.uint64(0x1111111111111111)
-        for r, cols in ((r, cols) for rows, cols in sides for r in rows):
-            z = sig[cols] ^ sig[r]
-            z |= z >> np.uint64(1)
-            z = (z | (z >> np.uint64(2))) & ones
-            differ = np.bitwise_count(z).sum(axis=1, dtype=np.int64)
-            ok = (differ <= most) & (comp[cols] != comp[r])
-            got = node[cols[ok]]
-            if nearest and len(got):
-                got = got[np.lexsort((got, differ[ok]))[:1]]
-            found_a.append(np.maximum(got, node[r]))
-            found_b.append(np.minimum(got, node[r]))
-        a, b = np.concatenate([*found_a, np.zeros(0, np.int64)]), np.concatenate([*found_b, np.zeros(0, np.int64)])
-        ab = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(ab[:, 0]), "b": pa.array(ab[:, 1])})
-
-    return dealt.groupBy("key", "lo", "hi").applyInArrow(meet, "a long, b long").distinct()
+        lists = table.column("shingles").combine_chunks() if isinstance(table.column("shingles"), pa.ChunkedArray) else table.column("shingles")
+        flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+        at = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
+        sets = [flat[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+        a, b = links_between(np.flatnonzero(block == key[1].as_py()), np.flatnonzero(block == key[2].as_py()), node, comp, sig, sets, least, percent)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy("family", "lo", "hi").applyInArrow(meet, "a long, b long")
 
 
 def near_dedup(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,19 +249,14 @@ def near_dedup(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
     links = materialize(_confirmed(pairs, nodes, docs, percent), "confirmed")
     found = components(links)
 
-    for turn in range(ROUNDS + 1):
-        placed = shared.join(found.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        placed = materialize(placed.select("key", "node", "component"), "placed")
-        split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        rest = placed.join(split, "key").join(nodes.select("node", *_SIG), "node")
-        last = turn == ROUNDS
-        crossing = materialize(_cross_pairs(rest, least, nearest=not last), "crossing")
-        if crossing.isEmpty():
-            break
-        more = materialize(_confirmed(crossing, nodes, docs, percent), "confirmed-more")
+    placed = shared.join(found.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = materialize(placed.select("key", "node", "component"), "placed")
+    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    rest = materialize(placed.join(split, "key"), "split-buckets")
+    if not rest.isEmpty():
+        more = materialize(_family_links(rest, nodes, docs, least, percent), "confirmed-more")
         if not more.isEmpty():
-            links = links.union(more)
-            found = components(links)
+            found = components(links.union(more))
 
     labelled = nodes.select("node", "row").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = labelled.groupBy("component").agg(F.min("row").alias("component_id"))

@@ -82,6 +82,13 @@ def test_near_dedup_chain_through_other_centres(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_near_dedup_id_repeated_with_other_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, a), (5, b), (2, b + " tail"), (9, a + " tail")]
+    got = sorted((r.doc_id, r.component_id) for r in near_dedup(frame(spark, rows)).collect())
+    assert got == [(2, 2), (5, 2), (5, 5), (9, 5)]
+
+
 def test_near_dedup_empty_and_repeated_rows(spark):
     assert near_dedup(frame(spark, [])).count() == 0
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A B C D E F"), (3, None), (3, "")]
