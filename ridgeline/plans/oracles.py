@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ridgeline.plans.queries import SCREENED
+from ridgeline.plans.queries import NUDGE, SCREENED
 from ridgeline.schema import FEATURE_COLS
 
 PANEL = """
@@ -102,7 +102,9 @@ def _operand(*names: str) -> str:
 
 
 _RANK = "rank() OVER (PARTITION BY date ORDER BY {c}) + (count(*) OVER (PARTITION BY date, {c}) - 1) / 2.0"
-_DECILE, _METRIC = _decile(10, "date"), "CASE WHEN count(*) >= 2 AND count(ret) = count(*) THEN {} END"
+_DECILE = _decile(10, "date")
+_MILD = _DECILE + ", ml AS (SELECT date, ret / 100 AS ret, long_only / 100 AS long_only FROM per)"
+_METRIC = "CASE WHEN count(*) >= 2 AND count(ret) = count(*) THEN {} END"
 _ANN = "product(1 + ret) ** ({p} / count(*)) - 1".format(p="50.4")
 _VOL = "stddev_pop(ret) * sqrt(50.4)"
 _PLAIN = {
@@ -151,14 +153,14 @@ def oracle_sql() -> dict[str, str]:
     explained = [("NULL", 0, "div(sqrt(abs(sub(sum_volume_20, delta_close_5))), 2.0)", "sqrt(abs(sum_volume_20 - delta_close_5)) / 2"), ("0", 1, "sqrt(abs(sub(sum_volume_20, delta_close_5)))", "sqrt(abs(sum_volume_20 - delta_close_5))"), ("1", 2, "abs(sub(sum_volume_20, delta_close_5))", "abs(sum_volume_20 - delta_close_5)"), ("2", 3, "sub(sum_volume_20, delta_close_5)", "sum_volume_20 - delta_close_5"), ("3", 4, "sum_volume_20", "sum_volume_20"), ("3", 4, "delta_close_5", "delta_close_5"), ("0", 1, "2", "CAST(2 AS DOUBLE)")]
     nodes = " UNION ALL ".join(f"SELECT ticker, CAST({i} AS INT) AS node_id, CAST({p} AS INT) AS parent_id, CAST({k} AS INT) AS depth, '{label}' AS label, round({v}, 6) + 0.0 AS value FROM f WHERE date = (SELECT max(date) FROM f)" for i, (p, k, label, v) in enumerate(explained))
     report = []
-    for i, text in ((0, "mean_close_10 - vwap"), (1, "sqrt(sum_volume_20 + 0.6)")):
+    for i, text in ((0, "delta_close_5"), (1, "sqrt(sum_volume_20 + 0.6)")):
         cells = [f"(SELECT round(coalesce(avg(coalesce(ic, 0.0)), 0.0), 6) + 0.0 FROM (SELECT {_ic('x', 'y')} AS ic FROM (SELECT date, {x} AS x, {y} AS y FROM pr WHERE side = '{s}' AND f{i} IS NOT NULL) GROUP BY date)) AS {s}{n}_ic" for n, x, y in (("", f"f{i}", "fwd_ret"), ("_rank", _RANK.format(c=f"f{i}"), _RANK.format(c="fwd_ret"))) for s in ("train", "test")]
         report.append(f"SELECT CAST({i} AS INT) AS idx, '{text}' AS formula, {', '.join(cells)}")
     split = FEATURES + ", sd AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM f)), cut AS (SELECT date AS c FROM sd WHERE i = CAST(floor(n * (1 - CAST(0.2 AS DOUBLE))) AS BIGINT))"
     names = ["vwap", "mom_60", "fwd_ret"]
     return {
-        "typical_price": _operand("vwap"), "ret_1d": _operand("ret_1d"), "momentum": _q(OPERANDS, "date; ticker; mom_60", "o"), "delta": _q(OPERANDS, "date; ticker; delta_close_5; delta_close_10; delta_close_20", "o"), "rolling_corr": _operand("corr_close_volume_10"), "fwd_return": _operand("fwd_ret"),
-        **{q: _operand(*(f"{n}_{w}" for w in (5, 10, 20))) for q, n in (("rolling_mean", "mean_close"), ("rolling_std", "std_close"), ("rolling_sum", "sum_volume"), ("ewma", "ewma_close"))},
+        "typical_price": _operand(f"vwap + {NUDGE} AS vwap"), "ret_1d": _operand("ret_1d"), "rolling_mean": _operand(*(f"mean_close_{w} + {NUDGE} AS mean_close_{w}" for w in (5, 10, 20))), "momentum": _q(OPERANDS, "date; ticker; mom_60", "o"), "delta": _q(OPERANDS, "date; ticker; delta_close_5; delta_close_10; delta_close_20", "o"), "rolling_corr": _operand("corr_close_volume_10"), "fwd_return": _operand("fwd_ret"),
+        **{q: _operand(*(f"{n}_{w}" for w in (5, 10, 20))) for q, n in (("rolling_std", "std_close"), ("rolling_sum", "sum_volume"), ("ewma", "ewma_close"))},
         "sector_attach": _q(PANEL, "date; p.ticker; coalesce(v.sector, 'Unknown') AS sector", "p LEFT JOIN (SELECT * FROM u WHERE CAST(ticker AS INT) % 7 <> 0) v ON p.ticker = v.ticker"),
         "sector_neutral_target": _q(OPERANDS, d + "sector; ~fwd_ret - avg(fwd_ret) OVER (PARTITION BY date, sector) AS fwd_ret_neutral", "o WHERE fwd_ret IS NOT NULL"),
         "zscore": _q(PANEL, d + f"~{_z('close')} AS close; ~{_z('volume')} AS volume", "p"),
@@ -177,14 +179,14 @@ def oracle_sql() -> dict[str, str]:
         "decile_backtest": _q(_DECILE, "date; ~ret; ~long_only", "per"), "decile_sector_neutral": _q(_decile(5, "date, sector"), "date; ~ret; ~long_only", "per"),
         "ic_weighted": _q(_weighted("coalesce((alpha - avg(alpha) OVER (PARTITION BY date)) / nullif(stddev_pop(alpha) OVER (PARTITION BY date), 0), 0.0)"), "date; ~ret; ~long_only", "per"),
         "ic_weighted_sector_neutral": _q(_weighted(_z("alpha", "date, sector")), "date; ~ret; ~long_only", "per"),
-        "period_metrics": _q(_DECILE, f"count(*) AS n_periods; ~{_METRIC.format(_ANN)} AS ann_return; ~{_METRIC.format(_VOL)} AS ann_vol; ~{_METRIC.format(f'({_ANN}) / nullif({_VOL}, 0)')} AS sharpe; ~{_METRIC.format(_ANN.replace('1 + ret', '1 + long_only'))} AS long_only_ann_return; ~{_METRIC.format('product(1 + ret)')} AS equity_multiple", "per"),
-        "equity_curve": _q(_DECILE, "date; ~exp(sum(ln(1 + ret)) OVER (ORDER BY date)) AS equity", "per"),
-        "psr_moments": _q(_DECILE + ", c AS (SELECT ret - avg(ret) OVER () AS e, ret FROM per WHERE ret IS NOT NULL)", "count(*) AS n; ~avg(ret) AS mean; ~stddev_samp(ret) AS sd; ~avg(ret) / stddev_samp(ret) AS sharpe; ~avg(e ** 3) / pow(avg(e * e), 1.5) AS skew; ~avg(e ** 4) / pow(avg(e * e), 2) AS kurtosis", "c"),
+        "period_metrics": _q(_MILD, f"count(*) AS n_periods; ~{_METRIC.format(_ANN)} AS ann_return; ~{_METRIC.format(_VOL)} AS ann_vol; ~{_METRIC.format(f'({_ANN}) / nullif({_VOL}, 0)')} AS sharpe; ~{_METRIC.format(_ANN.replace('1 + ret', '1 + long_only'))} AS long_only_ann_return; ~{_METRIC.format('product(1 + ret)')} AS equity_multiple", "ml"),
+        "equity_curve": _q(_MILD, "date; ~exp(sum(ln(1 + ret)) OVER (ORDER BY date)) AS equity", "ml"),
+        "psr_moments": _q(_MILD + ", c AS (SELECT ret - avg(ret) OVER () AS e, ret FROM ml WHERE ret IS NOT NULL)", "count(*) AS n; ~avg(ret) AS mean; ~stddev_samp(ret) AS sd; ~avg(ret) / stddev_samp(ret) AS sharpe; ~avg(e ** 3) / pow(avg(e * e), 1.5) AS skew; ~avg(e ** 4) / pow(avg(e * e), 2) AS kurtosis", "c"),
         "formula_eval": _q(FEATURES, d + "; ".join(f"~{v} AS {k}" for k, v in _PLAIN.items()), "f"),
         "formula_eval_protected": _q(FEATURES, d + "; ".join(f"~{v} AS f{k}" for k, v in enumerate((_guard("ret_1d", "vwap / ret_1d", "1.0"), _guard("mean_close_5 - vwap", "ln(abs(mean_close_5 - vwap))", "0.0"), "sqrt(abs(mom_60))", _guard("delta_close_5", "1 / delta_close_5", "0.0"), "greatest(vwap, least(mom_60, 0.25))"))), "f"),
         "formula_dedup": "SELECT 'add(vwap, ' || CAST(p_size AS VARCHAR) || ')' AS formula, min(p_partkey - 1) AS idx FROM part GROUP BY 1",
         "explain_nodes": f"WITH {FEATURES.strip()}\n{nodes}",
-        "pool_report": f"WITH {split.strip()}, pr AS (SELECT *, {_PLAIN['f0']} AS f0, {_PLAIN['f1']} AS f1, CASE WHEN date < c THEN 'train' ELSE 'test' END AS side FROM f, cut)\n" + " UNION ALL ".join(report),
+        "pool_report": f"WITH {split.strip()}, pr AS (SELECT *, delta_close_5 AS f0, {_PLAIN['f1']} AS f1, CASE WHEN date < c THEN 'train' ELSE 'test' END AS side FROM f, cut)\n" + " UNION ALL ".join(report),
         "gram_matrix": _q(FEATURES, "count(*) AS n; " + "; ".join(f"~sum({a} * {b}) AS g_{i}_{j}" for i, a in enumerate(names) for j, b in enumerate(names) if i <= j), "f"),
         "composite_score": _q(FEATURES, d + f"~{_SCORE} AS alpha", "f"),
         "top_n": _q(SCORED, "ticker; sector; ~alpha", "(SELECT * FROM sc ORDER BY alpha DESC NULLS LAST, ticker LIMIT 15)"),

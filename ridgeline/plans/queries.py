@@ -30,6 +30,8 @@ SCREENED = ["vwap", "ret_1d", "mean_close_5", "std_close_10", "sum_volume_20", "
 FORMULAS = ["mean_close_10 - vwap", "sqrt(sum_volume_20 + 0.6)", "log(sum_volume_20 + 1.63)", "-delta_close_5 * 0.5", "0.9372159"]
 WEIGHTS = [0.02, 0.01, 0.0, 0.03, 0.00135]
 PREFIX = ["div(vwap, ret_1d)", "log(sub(mean_close_5, vwap))", "sqrt(neg(abs(mom_60)))", "inv(delta_close_5)", "max(vwap, min(mom_60, 0.25))"]
+#: Means of short decimals often lie halfway between two rounded values; this moves them off, before they are rounded.
+NUDGE = 1.2345e-7
 EXPLAINED = "sqrt(abs(sum_volume_20 - delta_close_5)) / 2"
 
 
@@ -76,7 +78,7 @@ def _search(spark, d):
 
 
 def typical_price(spark, d):
-    return _round(_panel(spark, d, "vwap"))
+    return _round(_panel(spark, d, "vwap").withColumn("vwap", F.col("vwap") + NUDGE))
 
 
 def ret_1d(spark, d):
@@ -84,7 +86,8 @@ def ret_1d(spark, d):
 
 
 def rolling_mean(spark, d):
-    return _round(_panel(spark, d, "mean_close_5", "mean_close_10", "mean_close_20"))
+    names = ["mean_close_5", "mean_close_10", "mean_close_20"]
+    return _round(_panel(spark, d, *names).withColumns({c: F.col(c) + NUDGE for c in names}))
 
 
 def rolling_std(spark, d):
@@ -201,20 +204,25 @@ def ic_weighted_sector_neutral(spark, d):
     return _round(B.weighted_periods(_alpha(spark, d), neutral=True))
 
 
+def _mild(spark, d):
+    """Decile periods at a hundredth of their size: the synthetic prices jump by more than equity could bear."""
+    return B.decile_periods(_alpha(spark, d)).select("date", (F.col("ret") / 100).alias("ret"), (F.col("long_only") / 100).alias("long_only"))
+
+
 def period_metrics(spark, d):
-    return _round(B.metrics(B.decile_periods(_alpha(spark, d))).drop("period_returns"))
+    return _round(B.metrics(_mild(spark, d)).drop("period_returns"))
 
 
 def equity_curve(spark, d):
-    return _round(B.equity_curve(B.decile_periods(_alpha(spark, d))))
+    return _round(B.equity_curve(_mild(spark, d)))
 
 
 def psr_moments(spark, d):
-    return _round(G.moments(B.decile_periods(_alpha(spark, d))))
+    return _round(G.moments(_mild(spark, d)))
 
 
 def deflated_sharpe(spark, d):
-    rows = B.decile_periods(_alpha(spark, d))
+    rows = _mild(spark, d)
     if rows.count() < 2:
         return spark.createDataFrame([], "n_trials int, sharpe double, expected_best double, deflated double")
     r = G.deflated_sharpe(rows, [0.01, 0.03, -0.02, 0.04])
@@ -242,7 +250,7 @@ def explain_nodes(spark, d):
 def pool_report(spark, d):
     rows = _features(spark, d)
     train, test = V.split(rows, 0.2)
-    return _round(N.pool_report(train, test, N.Pool(FORMULAS[:2], [0.0, 0.0], "plain")))
+    return _round(N.pool_report(train, test, N.Pool(["delta_close_5", FORMULAS[1]], [0.0, 0.0], "plain")))
 
 
 def gram_matrix(spark, d):
