@@ -179,7 +179,10 @@ def fit(train: DataFrame, sample: int = 2400) -> Model | None:
     idf = np.log((1 + n) / (1 + df)) + 1.0
     share = max(8, sample // len(languages))
     order = F.xxhash64(F.col("doc_id").cast("string"))
-    held = train.select("doc_id", "text", "lang", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id")).alias("place")).where(F.col("place") <= share)
+    # ids alone are ranked: texts would meet in one task per language, as many from each input split as the sample has
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
+    picked = train.where("doc_id is not null").select("doc_id", "lang", place.alias("place")).where(F.col("place") <= share).select("doc_id", "lang").distinct()
+    held = train.join(F.broadcast(picked), ["doc_id", "lang"])  # at most ``sample`` ids, or 8 a language
 
     def sparse(batches):
         for batch in batches:
