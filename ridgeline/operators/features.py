@@ -5,52 +5,53 @@ Two exchanges in all: every rolling column shares the window (ticker, date), eve
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ridgeline.functions.guards import clean, complete, nonzero
 from ridgeline.schema import FEATURE_COLS, HORIZON, WINDOWS
 
-BY_TICKER = Window.partitionBy("ticker").orderBy("date")
-_CLOSE, _VOLUME = F.col("close"), F.col("volume")
+
+def by_ticker() -> WindowSpec:
+    return Window.partitionBy("ticker").orderBy("date")
 
 
 def _full(value: Column, agg: Column, rows: int) -> Column:
     """``agg`` over the last ``rows`` rows, null unless all of them hold a value."""
-    frame = BY_TICKER.rowsBetween(1 - rows, 0)
+    frame = by_ticker().rowsBetween(1 - rows, 0)
     return F.when(F.count(value).over(frame) == rows, agg.over(frame))
 
 
 def typical_price() -> Column:
-    return (F.col("high") + F.col("low") + _CLOSE) / 3
+    return (F.col("high") + F.col("low") + F.col("close")) / 3
 
 
 def simple_return(pad: bool = True) -> Column:
     """Change against the row before; with ``pad`` a missing close counts as the last one known."""
-    known = F.last(_CLOSE, ignorenulls=True).over(BY_TICKER.rowsBetween(Window.unboundedPreceding, 0)) if pad else _CLOSE
-    before = F.last(_CLOSE, ignorenulls=True).over(BY_TICKER.rowsBetween(Window.unboundedPreceding, -1)) if pad else F.lag(_CLOSE).over(BY_TICKER)
+    known = F.last(F.col("close"), ignorenulls=True).over(by_ticker().rowsBetween(Window.unboundedPreceding, 0)) if pad else F.col("close")
+    before = F.last(F.col("close"), ignorenulls=True).over(by_ticker().rowsBetween(Window.unboundedPreceding, -1)) if pad else F.lag(F.col("close")).over(by_ticker())
     return F.try_divide(known, before) - 1
 
 
 def change(rows: int) -> Column:
-    return _CLOSE - F.lag(_CLOSE, rows).over(BY_TICKER)
+    return F.col("close") - F.lag(F.col("close"), rows).over(by_ticker())
 
 
 def rolling_correlation(rows: int) -> Column:
-    both = F.when(_CLOSE.isNotNull() & _VOLUME.isNotNull(), F.lit(1))
-    frame = BY_TICKER.rowsBetween(1 - rows, 0)
-    spread = F.stddev_pop(_CLOSE).over(frame) * F.stddev_pop(_VOLUME).over(frame)
-    return F.when(F.count(both).over(frame) == rows, F.try_divide(F.covar_pop(_CLOSE, _VOLUME).over(frame), spread))
+    both = F.when(F.col("close").isNotNull() & F.col("volume").isNotNull(), F.lit(1))
+    frame = by_ticker().rowsBetween(1 - rows, 0)
+    spread = F.stddev_pop(F.col("close")).over(frame) * F.stddev_pop(F.col("volume")).over(frame)
+    return F.when(F.count(both).over(frame) == rows, F.try_divide(F.covar_pop(F.col("close"), F.col("volume")).over(frame), spread))
 
 
 def decayed_mean(halflife: int, place: str = "_i") -> Column:
     """Exponentially weighted mean. Weights are powers of two of the row's place, counted anew every 500 half-lives so
     that they stay finite on any length; sums run over 60 half-lives, beyond which a weight is lost in rounding."""
     block = 500 * halflife
-    frame = BY_TICKER.rowsBetween(-60 * halflife, 0)
+    frame = by_ticker().rowsBetween(-60 * halflife, 0)
     i = F.col(place)
     even = F.floor(i / block) % 2 == 0
-    weight = F.when(_CLOSE.isNotNull(), F.pow(F.lit(2.0), F.pmod(i, F.lit(block)) / halflife))
+    weight = F.when(F.col("close").isNotNull(), F.pow(F.lit(2.0), F.pmod(i, F.lit(block)) / halflife))
 
     def total(x: Column) -> Column:
         here = F.coalesce(F.sum(F.when(even, x)).over(frame), F.lit(0.0))
@@ -58,19 +59,19 @@ def decayed_mean(halflife: int, place: str = "_i") -> Column:
         old = F.lit(2.0**-500)
         return F.when(even, here + there * old).otherwise(there + here * old)
 
-    return F.try_divide(total(weight * _CLOSE), total(weight))
+    return F.try_divide(total(weight * F.col("close")), total(weight))
 
 
 def forward_return(horizon: int = HORIZON) -> Column:
-    return F.try_divide(F.lead(_CLOSE, horizon).over(BY_TICKER), _CLOSE) - 1
+    return F.try_divide(F.lead(F.col("close"), horizon).over(by_ticker()), F.col("close")) - 1
 
 
 def operand_expressions() -> dict[str, Column]:
     out = {"vwap": typical_price(), "ret_1d": simple_return()}
     for w in WINDOWS:
-        out[f"mean_close_{w}"] = _full(_CLOSE, F.avg(_CLOSE), w)
-        out[f"std_close_{w}"] = _full(_CLOSE, F.stddev_samp(_CLOSE), w)
-        out[f"sum_volume_{w}"] = _full(_VOLUME, F.sum(_VOLUME), w)
+        out[f"mean_close_{w}"] = _full(F.col("close"), F.avg(F.col("close")), w)
+        out[f"std_close_{w}"] = _full(F.col("close"), F.stddev_samp(F.col("close")), w)
+        out[f"sum_volume_{w}"] = _full(F.col("volume"), F.sum(F.col("volume")), w)
         out[f"delta_close_{w}"] = change(w)
         out[f"ewma_close_{w}"] = decayed_mean(w)
     return out | {"mom_60": change(60), "corr_close_volume_10": rolling_correlation(10)}
@@ -82,7 +83,7 @@ def with_operands(panel: DataFrame, names: list[str] | None = None, target: bool
     names = names or list(made)
     rows = clean(panel)
     if any(n.startswith("ewma") for n in names):
-        rows = rows.withColumn("_i", F.row_number().over(BY_TICKER))
+        rows = rows.withColumn("_i", F.row_number().over(by_ticker()))
     extra = {n: made[n] for n in names} | ({"fwd_ret": forward_return()} if target else {})
     return rows.withColumns(extra).drop("_i")
 
