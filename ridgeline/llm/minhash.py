@@ -154,14 +154,7 @@ def _shared_with(one: np.ndarray, flat: np.ndarray, start: np.ndarray) -> np.nda
 
 def links_between(rows, cols, node, comp, sig, sets, least: float, percent: int) -> tuple[list[int], list[int]]:
     """Confirmed links between members ``rows`` and ``cols`` that join different components, at most one per join."""
-    root: dict[int, int] = {}
-
-    def find(x):
-        while (up := root.get(x, x)) != x:
-            root[x] = root.get(up, up)
-            x = up
-        return x
-
+    label = np.unique(comp, return_inverse=True)[1]  # of each member's component, as links join them
     most = int((1 - 1 / 2**BITS) * (1 - least) * PERMUTATIONS)
     ones = np.uint64(0x1111111111111111)
     near: list[tuple[np.ndarray, ...]] = []
@@ -172,25 +165,26 @@ def links_between(rows, cols, node, comp, sig, sets, least: float, percent: int)
         differ = np.bitwise_count(z).sum(axis=1, dtype=np.int64)
         k = np.flatnonzero((differ <= most) & (comp[cols] != comp[r]) & (node[cols] != node[r]))
         near.append((np.full(len(k), r), cols[k], differ[k]))
-    if not near:
+    if not near or not sum(len(x[0]) for x in near):
         return [], []
     a, b, differ = (np.concatenate(x) for x in zip(*near, strict=True))
     out: tuple[list[int], list[int]] = ([], [])
-    for d in np.unique(differ):  # likeliest links first
-        i, j = a[differ == d], b[differ == d]
-        for r in np.unique(i):
-            todo = [c for c in j[i == r] if find(int(comp[c])) != find(int(comp[r]))]
-            if not todo:
-                continue
-            start = np.concatenate(([0], np.cumsum([len(sets[c]) for c in todo])))
-            got = _shared_with(sets[r], np.concatenate([sets[c] for c in todo]), start)
-            union = len(sets[r]) + np.diff(start) - got
-            for c in np.array(todo)[100 * got >= percent * union]:
-                p, q = find(int(comp[c])), find(int(comp[r]))
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-                    out[0].append(int(node[r]))
-                    out[1].append(int(node[c]))
+    order = np.lexsort((a, differ))  # likeliest links first
+    a, b, differ = a[order], b[order], differ[order]
+    edge = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (differ[1:] != differ[:-1]), [True])))
+    for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+        r, todo = a[lo], b[lo:hi]
+        todo = todo[label[todo] != label[r]]
+        if not len(todo):
+            continue
+        start = np.concatenate(([0], np.cumsum([len(sets[c]) for c in todo])))
+        got = _shared_with(sets[r], np.concatenate([sets[c] for c in todo]), start)
+        union = len(sets[r]) + np.diff(start) - got
+        for c in todo[100 * got >= percent * union]:
+            if label[c] != label[r]:
+                label[label == label[c]] = label[r]
+                out[0].append(int(node[r]))
+                out[1].append(int(node[c]))
     return out
 
 
