@@ -18,6 +18,8 @@ from ridgeline.llm.shared import materialize, scan
 from ridgeline.llm.suffix_dedup import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Up to this many dropped ids (8 MB) are broadcast; more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 #: The trained stages and the hashed candidates have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
@@ -26,6 +28,9 @@ def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """``docs`` less the ids whose verdict is not ``kept``; rows that repeat an id go only if none of them is kept."""
     verdicts = materialize(verdicts.select("doc_id", "kept"), "verdicts")
     gone = verdicts.where("not kept").select("doc_id").join(verdicts.where("kept").select("doc_id"), "doc_id", "left_anti").distinct()
+    gone = materialize(gone, "gone")
+    if gone.count() <= BROADCAST_IDS:  # then no text is shuffled
+        gone = F.broadcast(gone)
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
