@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm.shared import let_workers_import, materialize
 
-TREES, LEAF_ROWS, SAMPLE, SEARCH, GROUP_ROWS, QUERY_BLOCK = 8, 400, 16_000, 1.5, 1 << 14, 8192
+TREES, LEAF_ROWS, SAMPLE, SEARCH, QUERY_BLOCK = 8, 400, 16_000, 1.5, 8192
+#: Bytes of vectors that a task holds; every group of leaves hands on its own k + 1 entries a query, so few large ones.
+GROUP_BYTES = 32 << 20
 _SAMPLE_PER_LEAF = 16
 
 
@@ -133,7 +135,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     picked = entries.orderBy(F.xxhash64("v")).limit(sample).select("v").toArrow()
     forest = grow(_matrix(picked.column("v"), dim), float(np.sqrt(about.m)), total, trees, leaf_rows)
     shared = spark.sparkContext.broadcast(tuple(forest))  # at most trees x sample / 16 nodes
-    groups = max(1, -(-total // GROUP_ROWS))
+    groups = max(1, -(-total * dim * 8 // GROUP_BYTES))
 
     def route(batches):
         f = Forest(*shared.value)
