@@ -7,8 +7,9 @@ escape (method C: distinct / (total + distinct)) leads to the next shorter conte
 have seen are excluded. Since what follows a context also follows its suffix, the excluded mass of each suffix depends
 on the longer context alone, so each trie node carries two numbers that make a score a plain sum.
 
-The trie on the workers has at most ``nodes`` entries a level: where the corpus has more, the rarest pairs (below one
-count threshold for all levels) give way to escapes, so its size is bounded while its counts cover all data.
+No level is cut, whatever its size. The costs of the most frequent full-order pairs (at most ``nodes`` of them) are
+broadcast; the pairs of a text that are not among these are met by shuffle, each distinct one with its own count or, if
+training never saw it, with the nodes and pairs of its shorter contexts.
 
 The unigram base needs the count of every word of every document. Words above a count threshold chosen so that at most
 ``hot`` of them pass are broadcast; all other words are joined by shuffle, exactly.
@@ -259,12 +260,37 @@ def _spread(out: np.ndarray, open_: np.ndarray, never: float) -> np.ndarray:
 
 class Trained(NamedTuple):
     vocabulary: DataFrame  # key, n
-    levels: list[tuple[np.ndarray, np.ndarray]]
+    grams: list[DataFrame]  # level by level: key, n; the full order has its cost too
+    nodes: list[DataFrame]  # level by level: node, total, kinds, rest, fresh
+    common: tuple[np.ndarray, np.ndarray]  # the most frequent full-order pairs and their costs
     hot: tuple[np.ndarray, np.ndarray]
     tokens: int
     distinct: int
 
 
+def _low(key: Column, size: int) -> Column:
+    """The lowest ``size`` bytes of a code."""
+    return key.bitwiseAND(F.lit((1 << (8 * size)) - 1).cast("long"))
+
+
+def _nodes(grams: list[DataFrame]) -> list[DataFrame]:
+    """``node, total, kinds, rest, fresh`` of every context, level by level: what it was followed by, the mass that its
+    suffix has besides these bytes, and how many bytes only its suffix has."""
+    out: list[DataFrame] = []
+    for j, table in enumerate(grams):
+        node = F.shiftright("key", 8).alias("node")
+        if not j:
+            out.append(table.groupBy(node).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).withColumns({c: F.lit(None).cast("long") for c in ("rest", "fresh")}))
+            continue
+        up = grams[j - 1].select(F.col("key").alias("up"), F.col("n").alias("up_n"))
+        own = table.select("key", "n", _low(F.col("key"), j).alias("up")).join(up, "up").groupBy(node).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("up_n").alias("gone"))
+        parent = out[-1].select(F.col("node").alias("up"), F.col("total").alias("up_total"), F.col("kinds").alias("up_kinds"))
+        fresh = F.col("up_kinds") - F.col("kinds")
+        own = own.withColumn("up", _low(F.col("node"), j - 1)).join(parent, "up").select("node", "total", "kinds", (F.col("up_total") - F.col("gone") + fresh).alias("rest"), fresh.alias("fresh"))
+        out.append(materialize(own, "lm-nodes"))
+    return out
+
+
 def train(docs: DataFrame, nodes: int = NODES, hot: int = HOT) -> Trained:
     """Count all texts of ``docs(text)`` and keep what the workers need."""
     let_workers_import(docs.sparkSession)
@@ -272,17 +298,47 @@ def train(docs: DataFrame, nodes: int = NODES, hot: int = HOT) -> Trained:
     words = counted.where("kind = 0").select("key", "n")
     sums = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     level = counted.where("kind = 1").select("key", "n")
-    tables = [level]
+    grams = [level]
     for j in range(ORDER - 1, -1, -1):
-        level = materialize(level.groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * (j + 1))) - 1)).alias("key")).agg(F.sum("n").alias("n")), "lm-level")
-        tables.append(level)
-    least = least_count(tables[0], nodes)
-    levels = []
-    for t in reversed(tables):
-        got = t.where(F.col("n") >= least).toArrow()
-        levels.append((got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy()))
+        level = materialize(level.groupBy(_low(F.col("key"), j + 1).alias("key")).agg(F.sum("n").alias("n")), "lm-level")
+        grams.insert(0, level)
+    contexts = _nodes(grams)
+    after = contexts[-1].select(F.col("node").alias("at"), (F.col("total") + F.col("kinds")).alias("mass"))
+    grams[-1] = materialize(grams[-1].withColumn("at", F.shiftright("key", 8)).join(after, "at").select("key", "n", (F.log10("n") - F.log10("mass")).alias("cost")), "lm-costs")
+    common = grams[-1].where(F.col("n") >= least_count(grams[-1], nodes)).select("key", "cost").toArrow()
     top = words.where(F.col("n") >= least_count(words, hot)).toArrow()
-    return Trained(words, levels, (top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()), int(sums.n or 0), int(sums.v or 0))
+    return Trained(
+        words, grams, contexts, (common.column("key").to_numpy().view(np.uint64), common.column("cost").to_numpy()),
+        (top.column("key").to_numpy().view(np.uint64), top.column("n").to_numpy()), int(sums.n or 0), int(sums.v or 0),
+    )
+
+
+def costs(wanted: DataFrame, trained: Trained) -> DataFrame:
+    """``key, cost`` for the distinct codes ``wanted(key)``: what ``Trie.cost`` gives, by joins over all levels."""
+    met = materialize(wanted.join(trained.grams[-1].select("key", "cost"), "key", "left"), "lm-met")
+    rows = met.where("cost is null").select("key", F.lit(0.0).alias("cost"), F.lit(False).alias("done"), F.lit(None).cast("long").alias("rest"), F.lit(None).cast("long").alias("fresh"))
+    for j in range(ORDER, -1, -1):
+        here = trained.nodes[j].select(F.col("node").alias("at"), "total", "kinds", F.col("rest").alias("own_rest"), F.col("fresh").alias("own_fresh"))
+        pairs = trained.grams[j].select(F.col("key").alias("pair"), "n")
+        if j < 2:  # at most 65,536 pairs
+            here, pairs = F.broadcast(here), F.broadcast(pairs)
+        rows = rows.withColumns({"pair": _low(F.col("key"), j + 1), "at": F.shiftright(_low(F.col("key"), j + 1), 8)}).join(here, "at", "left")
+        # codes of the full order have been met
+        rows = rows.join(pairs, "pair", "left") if j < ORDER else rows.withColumn("n", F.lit(None).cast("long"))
+        hit, below = F.col("n").isNotNull(), F.col("rest").isNotNull()
+        step = (
+            F.when(hit & below, F.log10("n") - F.log10("rest"))
+            .when(hit, F.log10("n") - F.log10(F.col("total") + F.col("kinds")))
+            .when(below, F.when(F.col("fresh") > 0, F.log10("fresh") - F.log10("rest")).otherwise(0.0))
+            .when(F.col("total").isNotNull(), F.log10("kinds") - F.log10(F.col("total") + F.col("kinds")))
+            .otherwise(0.0)
+        )
+        rows = rows.select(
+            "key", F.when(F.col("done"), F.col("cost")).otherwise(F.col("cost") + step).alias("cost"), (F.col("done") | hit).alias("done"), F.col("own_rest").alias("rest"), F.col("own_fresh").alias("fresh"), *(["kinds"] if not j else [])
+        )
+    never = F.log10(F.greatest(F.lit(1), 256 - F.coalesce("kinds", F.lit(0))))
+    rows = rows.select("key", F.when(F.col("done"), F.col("cost")).otherwise(F.col("cost") - never).alias("cost"))
+    return met.where("cost is not null").unionByName(rows)
 
 
 _built: dict[str, tuple] = {}
@@ -292,22 +348,28 @@ def score(docs: DataFrame, trained: Trained, carry: list[str]) -> DataFrame:
     """The ``carry`` columns of ``docs`` and ``n_tokens, n_known, train_tokens, base_score, score`` for every row."""
     spark = docs.sparkSession
     let_workers_import(spark)
-    shared = spark.sparkContext.broadcast((trained.levels, trained.hot))  # bounded by ``nodes`` and ``hot``
+    shared = spark.sparkContext.broadcast((trained.common, trained.hot))  # bounded by ``nodes`` and ``hot``
     fields = [docs.schema[c] for c in carry]
     mark = uuid.uuid4().hex
 
     def emit(batches):
         if mark not in _built:
-            levels, (hot_keys, hot_n) = shared.value
+            (common_keys, common_cost), (hot_keys, hot_n) = shared.value
             _built.clear()
-            _built[mark] = (Trie(levels), Hashed(hot_keys), np.log10(hot_n + 0.5))
-        trie, hot, hot_log = _built[mark]
+            _built[mark] = (Hashed(common_keys), np.append(common_cost, 0.0), Hashed(hot_keys), np.log10(hot_n + 0.5))
+        common, cost, hot, hot_log = _built[mark]
         for batch in batches:
             data, offsets = K.text_bytes(batch.column("text"))
             for i, j, part, off in K.slices(data, offsets):
                 starts, ends, first = K.spans(part, off)
                 code, place = codes(*stream(part, starts, ends, first))
-                total = np.add.reduceat(trie.cost(code), place[:-1])
+                row = common.find(code)
+                total = np.add.reduceat(cost[row], place[:-1])  # the rest, row -1, costs nothing yet
+                left = np.flatnonzero(row < 0)
+                text_of = np.repeat(np.arange(len(off) - 1, dtype=np.uint64), np.diff(place))[left]
+                pairs, pairs_n = np.unique((text_of << _U(8 * (ORDER + 1))) | code[left], return_counts=True)
+                pairs_at = pa.array(np.searchsorted(pairs >> _U(8 * (ORDER + 1)), np.arange(len(off), dtype=np.uint64)).astype(np.int32))
+                pairs = (pairs & _U((1 << (8 * (ORDER + 1))) - 1)).view(np.int64)
                 h = K.span_hashes(part, starts, ends)
                 row = hot.find(h)
                 logs = np.concatenate(([0.0], np.cumsum(np.where(row >= 0, hot_log[row] if len(hot_log) else 0.0, 0.0))))
@@ -319,31 +381,35 @@ def score(docs: DataFrame, trained: Trained, carry: list[str]) -> DataFrame:
                     rare_n.append(c)
                 at = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in rare]))).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x).astype(np.int64) if x is rare_n else np.concatenate(x).view(np.int64))) for x in (rare, rare_n)]
+                lists += [pa.ListArray.from_arrays(pairs_at, pa.array(x.astype(np.int64))) for x in (pairs, pairs_n)]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(f.name).slice(i, j - i) for f in fields), batch.column("_row").slice(i, j - i), pa.array(np.diff(first).astype(np.int64) + 1), pa.array(known[first[1:]] - known[first[:-1]]), pa.array(logs[first[1:]] - logs[first[:-1]]), pa.array(total), *lists],
-                    [*(f.name for f in fields), "_row", "_tokens", "_known", "_logs", "_score", "_rare", "_times"],
+                    [*(f.name for f in fields), "_row", "_tokens", "_known", "_logs", "_score", "_rare", "_times", "_pairs", "_pairs_n"],
                 )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     rows = docs.select(F.col("text").cast("string").alias("text"), *(c for c in carry if c != "text"), F.monotonically_increasing_id().alias("_row"))
-    seen = materialize(rows.mapInArrow(emit, f"{schema}, _row long, _tokens long, _known long, _logs double, _score double, _rare array<long>, _times array<long>"), "lm-rows")
+    seen = materialize(rows.mapInArrow(emit, f"{schema}, _row long, _tokens long, _known long, _logs double, _score double, _rare array<long>, _times array<long>, _pairs array<long>, _pairs_n array<long>"), "lm-rows")
     each = seen.select("_row", F.explode(F.arrays_zip("_rare", "_times")).alias("w")).select("_row", F.col("w._rare").alias("key"), F.col("w._times").alias("times"))
     count = F.coalesce(F.col("n"), F.lit(0))
     met = each.join(trained.vocabulary, "key", "left").groupBy("_row").agg(
         F.sum(F.col("times") * F.log10(count + 0.5)).alias("_more"), F.sum(F.when(count > 0, F.col("times")).otherwise(0)).alias("_more_known")
     )
+    coded = seen.select("_row", F.explode(F.arrays_zip("_pairs", "_pairs_n")).alias("w")).select("_row", F.col("w._pairs").alias("key"), F.col("w._pairs_n").alias("times"))
+    priced = materialize(costs(coded.select("key").distinct(), trained), "lm-priced")
+    paid = coded.join(priced, "key").groupBy("_row").agg(F.sum(F.col("times") * F.col("cost")).alias("_paid"))
     # the end sign is a token of every text
     ends = trained.vocabulary.where(F.col("key") == END).first()
     end_n = int(ends.n) if ends else 0
     shift = float(np.log10(trained.tokens + 0.5 * (trained.distinct + 1)))
     zero = F.lit(0)
-    return seen.join(met, "_row", "left").select(
+    return seen.join(met, "_row", "left").join(paid, "_row", "left").select(
         *carry,
         F.col("_tokens").alias("n_tokens"),
         (F.col("_known") + F.coalesce("_more_known", zero) + F.lit(int(end_n > 0))).cast("long").alias("n_known"),
         F.lit(trained.tokens).cast("long").alias("train_tokens"),
         (F.col("_logs") + F.coalesce("_more", zero.cast("double")) + F.lit(float(np.log10(end_n + 0.5))) - F.col("_tokens") * F.lit(shift)).alias("base_score"),
-        F.col("_score").alias("score"),
+        (F.col("_score") + F.coalesce("_paid", zero.cast("double"))).alias("score"),
     )
 
 

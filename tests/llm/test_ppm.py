@@ -91,3 +91,15 @@ def test_no_training_rows_and_empty_table(spark):
 def test_adaptive_form_learns_while_it_reads():
     once, twice = ppm.adaptive_code_length("abracadabra alakazam"), ppm.adaptive_code_length("abracadabra alakazam " * 2)
     assert once < 0 and twice - once > once * 0.5
+
+
+def test_scores_do_not_depend_on_what_is_broadcast(spark, rows):
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    text = defaultdict(list)
+    for i, t in rows:
+        text[i].append(plain_ppm(train, t))
+    for nodes in (0, 300):  # far fewer than there are contexts
+        got = ppm.score_corpus(frame, held_out(F.col("doc_id"), 5), nodes=nodes).collect()
+        assert len(got) == len(rows)
+        assert all(any(r.score == pytest.approx(w) for w in text[r.doc_id]) for r in got)
