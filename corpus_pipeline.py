@@ -6,6 +6,8 @@ columns of ``documents``. Every stage reads its own input more than once, so ``r
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,20 +20,25 @@ from ridgeline.llm.shared import materialize, scan
 from ridgeline.llm.suffix_dedup import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Up to this many dropped ids (8 MB) are broadcast; more are joined by shuffle.
+#: Up to this many keys of dropped rows (8 MB) are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: The trained stages and the hashed candidates have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """``docs`` less the ids whose verdict is not ``kept``; rows that repeat an id go only if none of them is kept."""
-    verdicts = materialize(verdicts.select("doc_id", "kept"), "verdicts")
-    gone = verdicts.where("not kept").select("doc_id").join(verdicts.where("kept").select("doc_id"), "doc_id", "left_anti").distinct()
-    gone = materialize(gone, "gone")
+def _without_copies(docs: DataFrame, find: Callable[..., DataFrame], group: str) -> DataFrame:
+    """One row of each group that ``find`` puts the rows of ``docs`` in: the one with the smallest id (null first).
+
+    ``find`` sees a key of the row instead of its id, so rows that repeat an id or have none are told apart.
+    """
+    keyed = materialize(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    found = find(keyed, id_col="_row").select("_row", F.col(group).alias("_group"))
+    found = materialize(found.join(keyed.select("_row", "doc_id"), "_row"), "groups")
+    first = found.groupBy("_group").agg(F.min(F.struct("doc_id", "_row")).alias("_first")).select(F.col("_first._row").alias("_row"))
+    gone = materialize(found.select("_row").join(first, "_row", "left_anti"), "gone")
     if gone.count() <= BROADCAST_IDS:  # then no text is shuffled
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return keyed.join(gone, "_row", "left_anti").select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,11 +46,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, exact_dedup(docs))
+    return _without_copies(docs, exact_dedup, "keep_id")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, near_dedup(docs))
+    return _without_copies(docs, near_dedup, "component_id")
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

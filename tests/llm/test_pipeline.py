@@ -53,3 +53,22 @@ def test_null_texts_and_columns_pass(spark):
     for _, stage in corpus_pipeline.STAGES[1:4]:
         docs = stage(spark, docs, SF)
     assert docs.where(F.col("doc_id") == 3).count() == 1
+
+
+def test_rows_that_repeat_an_id_or_have_none(spark):
+    a, b, c, d = (" ".join(f"{name}{(7 * k + len(name)) % 101}" for k in range(80)) for name in ("oak", "birch", "maple", "willow"))
+    near = c + " and one more"
+    rows = [(7, a), (7, b), (3, b), (None, c), (None, c), (None, near), (5, d), (5, d), (5, d + " again"), (9, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "src1", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    steps = dict(corpus_pipeline.STAGES)
+
+    def seen(frame):
+        return sorted(((r.doc_id or 0, r.text or "") for r in frame.collect()))
+
+    docs = steps["exact_dedup"](spark, docs, SF)
+    assert seen(docs) == sorted([(7, a), (3, b), (0, c), (0, near), (5, d), (5, d + " again"), (0, "")])
+    docs = steps["near_dedup"](spark, docs, SF)
+    got = seen(docs)
+    assert len(got) == 5 and {(7, a), (3, b), (0, "")} < set(got)
+    assert sorted((i, t[:3]) for i, t in got) == [(0, ""), (0, "map"), (3, "bir"), (5, "wil"), (7, "oak")]
+    assert seen(steps["suffix_dedup"](spark, docs, SF)) == got
