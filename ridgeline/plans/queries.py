@@ -74,7 +74,7 @@ def _log(spark, d):
 
 def _search(spark, d):
     rows = _features(spark, d).select("date", "ticker", "sector", "fwd_ret", *SCREENED)
-    return rows, _folds(rows)[-1:]
+    return rows, _folds(rows)
 
 
 def typical_price(spark, d):
@@ -353,14 +353,14 @@ def windowed_events(spark, d):
 
 
 def genetic_search(spark, d):
-    rows, (fold,) = _search(spark, d)
+    rows, (*_, fold) = _search(spark, d)
     train = rows.where(F.col("date") <= F.lit(fold.train_cutoff)).cache()
     pool = N.Genetic(N.Settings(population=20, generations=3)).mine(train, SCREENED, "fwd_ret", 7)
     return spark.createDataFrame(list(zip(pool.formulas, pool.scores, strict=True)), "formula string, train_ic double")
 
 
 def pareto_search(spark, d):
-    rows, (fold,) = _search(spark, d)
+    rows, (*_, fold) = _search(spark, d)
     train = rows.where(F.col("date") <= F.lit(fold.train_cutoff)).cache()
     pool = N.Pareto(N.Settings(population=20, generations=3, ops=N.PLAIN_OPS, dialect="plain", batch_days=60)).mine(train, SCREENED, "fwd_ret", 7)
     return spark.createDataFrame(list(zip(pool.formulas, pool.scores, strict=True)), "formula string, train_ic double")
@@ -373,22 +373,22 @@ def second_stage_search(spark, d):
 
 
 def walk_forward(spark, d):
-    rows, last = _search(spark, d)
-    return W.walk_forward(rows, SCREENED, last, settings=N.Settings(population=16, generations=2), alpha=1e-5)[0]
+    rows, folds = _search(spark, d)
+    return W.walk_forward(rows, SCREENED, folds, settings=N.Settings(population=16, generations=2), alpha=1e-5)[0]
 
 
 def complexity_sweep(spark, d):
-    rows, last = _search(spark, d)
-    return W.complexity_sweep(rows, SCREENED, last, [5, 12], N.Settings(population=12, generations=2), alpha=1e-5)
+    rows, folds = _search(spark, d)
+    return W.complexity_sweep(rows, SCREENED, folds, [5, 12], N.Settings(population=12, generations=2), alpha=1e-5)
 
 
 def elasticnet_baseline(spark, d):
-    rows, last = _search(spark, d)
-    return W.baseline(rows, SCREENED, last)[0]
+    rows, folds = _search(spark, d)
+    return W.baseline(rows, SCREENED, folds)[0]
 
 
 def boosted_trees_importance(spark, d):
-    rows, (fold,) = _search(spark, d)
+    rows, (*_, fold) = _search(spark, d)
     train = rows.where(F.col("date") <= F.lit(fold.train_cutoff))
     return M.boosted_trees_fit_predict(train, rows.where(F.col("date") > F.lit(fold.train_cutoff)), SCREENED, trees=10)[1]
 

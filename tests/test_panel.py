@@ -207,3 +207,14 @@ def test_queries_against_sql(spark, name):
             assert (got[c] == want[c]).all()
         else:
             assert np.allclose(got[c].astype(float), want[c].astype(float), atol=2e-6, equal_nan=True), c
+
+
+def test_validation_goes_over_all_folds(spark, monkeypatch):
+    from ridgeline.plans import queries as Q
+
+    seen = {}
+    for name in ("walk_forward", "complexity_sweep", "baseline"):
+        monkeypatch.setattr(Q.W, name, lambda rows, features, folds, *a, name=name, **b: seen.update({name: [f.fold for f in folds]}) or [None])
+    for query in (Q.walk_forward, Q.complexity_sweep, Q.elasticnet_baseline):
+        query(spark, SF)
+    assert seen == dict.fromkeys(("walk_forward", "complexity_sweep", "baseline"), [1, 2, 3, 4, 5])
