@@ -2,16 +2,24 @@
 
 The index is a table bucketed and sorted by the SHA-256 of the normalised text. New rows are hashed once; their
 digests are grouped (with map-side partial aggregation, so a digest shared by a third of all rows reaches its reducer
-as a handful of partial rows), matched to the index by a sort-merge anti-join that reads the index without a shuffle
-or sort, and the digests not found are appended in the same layout.
+as a handful of partial rows) and met with the index by one sort-merge join, which reads the index in its buckets,
+without a shuffle. The digests that have no partner there, its anti-join, are appended in the same layout.
+
+Every entry names the batch that brought it. A batch that is run again, after a driver was lost between the append and
+the output or in the midst of the append, finds its own entries and gives the verdicts that it would have given.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm.shared import fresh_path, materialize, same
+from ridgeline.llm.shared import fresh_path, join_hot, materialize, same
+
+#: Lets a scan of one file a bucket count as sorted, so that the join does not sort the index again.
+_SORTED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def normalised(text: Column) -> Column:
@@ -20,18 +28,20 @@ def normalised(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A digest index at ``path``; ``buckets`` must stay the same over the life of an index.
+    """A digest index at ``path``; ``buckets`` must stay the same over the life of an index. One writer at a time.
 
-    Columns: ``digest`` (32 bytes), ``keep_id`` (id of the row that stays for it).
+    Columns: ``digest`` (32 bytes), ``keep_id`` (id of the row that stays for it), ``batch`` (number of the batch that
+    brought it). Any session opens an index by its path. Each batch adds a file to each bucket; with several files the
+    scan still needs no shuffle but Spark sorts what it reads, until ``compacted`` writes one file a bucket again.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 32):
         self.spark, self.buckets = spark, buckets
         self.path = path or fresh_path(spark, "digest-index")
-        self.table = "digest_index_" + f"{abs(hash(self.path)):x}"
+        self.table = "digest_index_" + hashlib.sha256(self.path.encode()).hexdigest()[:24]
         if not spark.catalog.tableExists(self.table):
             spark.sql(
-                f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT) USING parquet "
+                f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, batch BIGINT) USING parquet "
                 f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'"
             )
 
@@ -39,19 +49,28 @@ class DigestIndex:
         return self.spark.table(self.table)
 
     def append(self, novel: DataFrame) -> None:
-        """Add digests that the index lacks, one file a bucket and sorted in it."""
-        out = novel.select("digest", "keep_id").repartition(self.buckets, "digest")
+        """Add entries, one file a bucket and sorted in it."""
+        out = novel.select("digest", "keep_id", "batch").repartition(self.buckets, "digest")
         out.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).saveAsTable(self.table)
         self.spark.catalog.refreshTable(self.table)
 
-    def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def compacted(self, path: str | None = None) -> DigestIndex:
+        """The same index with one file a bucket, at a new place; this one stays as it is until its owner drops it."""
+        new = DigestIndex(self.spark, path, self.buckets)
+        new.append(self.read())
+        return new
+
+    def dedup(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
         """Drop-or-keep verdicts for every row of ``docs``; digests new to the index are appended to it.
 
         Returns ``id_col, keep_id, group_size, kept, text_sha256``. ``group_size`` counts the rows of this batch with
-        the digest. A digest that the index already holds keeps its old ``keep_id`` and none of the batch's rows stay.
-        Of equal texts the smallest id stays; of rows that repeat even the id exactly one stays; a null id sorts
-        first. Null and empty texts are equal to each other. Other columns of ``docs`` are not read. An empty table
-        gives an empty result and leaves the index as it is.
+        the digest. A digest that the index has from another batch keeps its old ``keep_id`` and none of this batch's
+        rows stay. Of equal texts the smallest id stays; of rows that repeat even the id exactly one stays; a null id
+        sorts first. Null and empty texts are equal to each other. Other columns of ``docs`` are not read. An empty
+        table gives an empty result and leaves the index as it is.
+
+        ``batch`` names the batch. Without a name it goes by its count and an order-free checksum of its ids and
+        digests, so the same rows are the same batch whenever they come.
         """
         rows = materialize(
             docs.select(
@@ -61,24 +80,32 @@ class DigestIndex:
             ),
             "digests",
         )
+        about = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id", "digest").cast("decimal(38,0)")).alias("mark")).first()
+        name = batch if batch is not None else f"{about.n} rows, {about.mark}"
+        number = int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "big", signed=True)
         groups = rows.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("group_size"))
-        groups = materialize(groups, "digest-groups")
-        known = self.read()
-        novel = groups.select("digest", F.col("first.id").alias("keep_id")).join(known.hint("merge"), "digest", "left_anti")
-        novel = materialize(novel.withColumn("novel", F.lit(True)), "digest-novel")
-        self.append(novel)
-        verdicts = materialize(
-            groups.join(self.read().hint("merge"), "digest").join(novel.select("digest", "novel"), "digest", "left"), "digest-verdicts"
-        )
-        return rows.join(verdicts, "digest").select(
+        index = self.read().select("digest", F.col("keep_id").alias("old_id"), F.col("batch").alias("old_batch"))
+        before = self.spark.conf.get(_SORTED)
+        self.spark.conf.set(_SORTED, "true")
+        try:
+            met = materialize(groups.join(index.hint("merge"), "digest", "left"), "digest-groups")
+        finally:
+            self.spark.conf.set(_SORTED, before)
+        self.append(met.where("old_batch is null").select("digest", F.col("first.id").alias("keep_id"), F.lit(number).cast("long").alias("batch")))
+        verdicts = met.select(
+            "digest", "group_size", "first",
+            F.when(F.col("old_batch").isNull(), F.col("first.id")).otherwise(F.col("old_id")).alias("keep_id"),
+            F.coalesce(F.col("old_batch") == number, F.lit(True)).alias("own"),
+        )
+        return join_hot(rows, verdicts, "digest", "group_size", about.n).select(
             F.col("id").alias(id_col),
             "keep_id",
             "group_size",
-            (F.coalesce("novel", F.lit(False)) & same(F.col("id"), F.col("first.id")) & (F.col("row") == F.col("first.row"))).alias("kept"),
+            (F.col("own") & same(F.col("id"), F.col("first.id")) & (F.col("row") == F.col("first.row"))).alias("kept"),
             F.lower(F.hex("digest")).alias("text_sha256"),
         )
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
     """``DigestIndex.dedup`` on the given index, or on a new one in the shared folder."""
-    return (index or DigestIndex(docs.sparkSession)).dedup(docs, id_col, text_col)
+    return (index or DigestIndex(docs.sparkSession)).dedup(docs, id_col, text_col, batch)

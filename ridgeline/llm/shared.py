@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key that holds at least one row in this many is hot; there are at most this many hot keys, whatever the data.
+HOT_SHARE = 1000
+
 
 def let_workers_import(spark: SparkSession) -> None:
     """Put the folder that holds this package on the Python workers' path, for sessions started without --py-files."""
@@ -21,22 +27,44 @@ def let_workers_import(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors and the driver can read: ``spark.checkpoint.dir``.
 
-    A local session that names none gets a temporary folder; a cluster session without one is an error, since a
-    machine-local folder would lose data there.
+    A session whose executors are threads of the driver and that names none gets a temporary folder; any other session
+    without one is an error, since a machine-local folder would lose data there.
     """
     let_workers_import(spark)
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = os.path.join(tempfile.gettempdir(), f"ridgeline-{os.getuid()}")
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext.getCheckpointDir()
 
 
+_open: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/ridgeline-{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/ridgeline-{what}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving what operators wrote in the shared folder inside; write results elsewhere before that."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            delete(spark, path)
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
@@ -46,6 +74,17 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_hot(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, whose column ``size`` tells how many of the ``total`` rows have its ``key``.
+
+    The entries of keys that hold a thousandth of the rows or more are broadcast (there can't be more than a thousand
+    such keys), so no task meets all rows of one key; the rest is joined by shuffle.
+    """
+    hot = table.where(F.col(size) * HOT_SHARE >= max(total, HOT_SHARE * 100))
+    cold = rows.join(F.broadcast(hot.select(key).distinct()), key, "left_anti").join(table, key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 

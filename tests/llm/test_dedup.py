@@ -2,14 +2,16 @@ import hashlib
 import random
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from ridgeline.llm.exact_dedup import DigestIndex, exact_dedup
 from ridgeline.llm.minhash import near_dedup
-from ridgeline.llm.shared import fresh_path
+from ridgeline.llm.shared import fresh_path, scratch
 
+ROOT = str(Path(__file__).resolve().parents[2])
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, n_shingles int, key string, component string, digest string"
 
@@ -119,11 +121,78 @@ def test_digest_index_grows_and_remembers(spark):
     assert DigestIndex(spark, path, 4).read().count() == 3
 
 
-def test_digest_index_is_read_without_a_shuffle(spark):
+def test_digest_index_is_read_without_a_shuffle_or_sort(spark):
     index = DigestIndex(spark, buckets=4)
-    index.dedup(frame(spark, [(1, "a")]))
-    plan = index.read().join(index.read().hint("merge").withColumnRenamed("keep_id", "k"), "digest")._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    for k in range(2):
+        index.dedup(frame(spark, [(k, f"a{k}"), (9, "same")]))
+    index = index.compacted()
+    assert index.read().count() == 3
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    try:
+        plan = index.read().join(index.read().hint("merge").withColumnRenamed("keep_id", "k"), "digest")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.legacy.bucketedTableScan.outputOrdering")
+    assert "Exchange" not in plan and "Sort " not in plan and "SortMergeJoin" in plan
+    assert [r.kept for r in index.dedup(frame(spark, [(20, "a1"), (21, "new")])).orderBy("doc_id").collect()] == [False, True]
+
+
+def verdicts(df):
+    return sorted(((r.doc_id if r.doc_id is not None else -1, r.keep_id, r.kept, r.group_size) for r in df.collect()), key=str)
+
+
+def test_digest_index_gives_a_batch_its_verdicts_again(spark, monkeypatch):
+    path = fresh_path(spark, "test-index")
+    rows = [(1, "a"), (1, "a"), (None, "b"), (None, "b"), (3, "c")]
+    first = verdicts(DigestIndex(spark, path, 4).dedup(frame(spark, rows)))
+    assert [r[2] for r in first].count(True) == 3
+    assert verdicts(DigestIndex(spark, path, 4).dedup(frame(spark, rows).repartition(3))) == first
+    # another batch, and a named one, of which none stays
+    assert not any(r[2] for r in verdicts(DigestIndex(spark, path, 4).dedup(frame(spark, rows[:2]))))
+    assert not any(r[2] for r in verdicts(DigestIndex(spark, path, 4).dedup(frame(spark, rows), batch="next")))
+    assert DigestIndex(spark, path, 4).read().count() == 3
+
+    more = [(10, "d"), (11, "c"), (12, "d")]
+    with monkeypatch.context() as m:
+        m.setattr("ridgeline.llm.exact_dedup.join_hot", lambda *a: 1 / 0)  # the driver is lost after the append
+        with pytest.raises(ZeroDivisionError):
+            DigestIndex(spark, path, 4).dedup(frame(spark, more))
+    assert verdicts(DigestIndex(spark, path, 4).dedup(frame(spark, more))) == [(10, 10, True, 2), (11, 3, False, 1), (12, 10, False, 2)]
+
+
+def test_digest_index_opened_by_another_process(spark, tmp_path):
+    import subprocess
+    import sys
+
+    path = str(tmp_path / "index")
+    DigestIndex(spark, path, 4).dedup(frame(spark, [(1, "a"), (2, "b")]))
+    code = f"""
+from pyspark.sql import SparkSession
+from ridgeline.llm.exact_dedup import DigestIndex
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.warehouse.dir", {str(tmp_path / 'w')!r}).config("spark.checkpoint.dir", {str(tmp_path / 'c')!r}).getOrCreate()
+docs = spark.createDataFrame([(5, "b"), (6, "c")], "doc_id long, text string")
+print("GOT", sorted((r.doc_id, r.keep_id, r.kept) for r in DigestIndex(spark, {path!r}, 4).dedup(docs).collect()))
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=str(tmp_path), env={**__import__("os").environ, "PYTHONPATH": ROOT}, timeout=300)
+    assert "GOT [(5, 2, False), (6, 6, True)]" in out.stdout, out.stderr[-2000:]
+    spark.catalog.refreshTable(DigestIndex(spark, path, 4).table)
+    assert DigestIndex(spark, path, 4).read().count() == 3
+
+
+def test_hot_digests_are_joined_by_broadcast(spark):
+    rows = [(i, "hot" if i % 3 == 0 else f"t{i}") for i in range(900)]
+    got = exact_dedup(frame(spark, rows))
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in got.collect()} == {i: (0, 300) if i % 3 == 0 else (i, 1) for i, _ in rows}
+
+
+def test_scratch_folders_go(spark):
+    import os
+
+    with scratch(spark):
+        path = fresh_path(spark, "gone")
+        spark.range(3).write.parquet(path)
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
 
 
 @pytest.mark.parametrize("sql", [True])
