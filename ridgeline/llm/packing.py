@@ -3,9 +3,9 @@
 The packing is decided on the histogram of piece lengths, which has at most ``capacity`` entries whatever the size of
 the data, so the driver's search sees every piece of the corpus and no document group is packed apart from the rest.
 Bin completion takes the largest length left, enumerates the undominated fillings of the room beside it, and applies
-one as often as the counts allow; a filling batch uses up at least one length or all but a remainder of it, so a
-descent is a few thousand steps. Branch and bound over the fillings prunes by waste: the waste so far may not exceed
-what a packing with one sequence less than the incumbent can afford. The first incumbent is best-fit decreasing.
+one as often as the counts allow, which uses up a length or all but a remainder of it, so a descent is a few thousand
+steps. Branch and bound over fillings and multiplicities prunes by waste and by the lower bound of what is left. The
+first incumbent is best-fit decreasing.
 
 Pieces then take their places by rank among the pieces of their length. Ranks come from counts per (length, hash
 bucket), so one length that a third of all pieces share is still dealt over many tasks.
@@ -13,8 +13,11 @@ bucket), so one length that a third of all pieces share is still dealt over many
 
 from __future__ import annotations
 
+import hashlib
 import zlib
+from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -67,148 +70,183 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY
 def lower_bound(counts: np.ndarray) -> int:
     """Martello and Toth's L2 bound; counts[l] pieces have length l, and the last index is the capacity."""
     c = len(counts) - 1
-    lengths = np.arange(c + 1)
-    n, s = np.cumsum(counts), np.cumsum(counts * lengths)
+    n, s = np.cumsum(counts), np.cumsum(counts * np.arange(c + 1))
     half = c // 2
-    best = 0
-    for k in range(half + 1):
-        alone, pair, pair_sum = n[c] - n[c - k], n[c - k] - n[half], s[c - k] - s[half]
-        rest = s[half] - (s[k - 1] if k else 0)
-        best = max(best, int(alone + pair + max(0, -(-(rest - (pair * c - pair_sum)) // c))))
-    return best
+    k = np.arange(half + 1)
+    alone, pair, pair_sum = n[c] - n[c - k], n[c - k] - n[half], s[c - k] - s[half]
+    rest = s[half] - np.where(k > 0, s[k - 1], 0)
+    return int((alone + pair + np.maximum(0, -((pair * c - pair_sum - rest) // c))).max())
 
 
 def best_fit(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """Best-fit decreasing on a histogram: each filling takes the largest length that still fits, again and again."""
-    left, out = counts.copy(), []
+    """Best-fit decreasing on a histogram: each piece, longest first, goes where least room is left beside it. Open
+    sequences with the same contents are one entry, so a length costs a few steps however often it occurs."""
     top = len(counts) - 1
-    while (have := np.flatnonzero(left)).size:
-        room, take = top, []
-        use: Counter[int] = Counter()
-        while room > 0:
-            have_left = [x for x in have[: np.searchsorted(have, room, "right")][::-1][:64] if left[x] > use[x]]
-            if not have_left:
-                fits = [x for x in have[: np.searchsorted(have, room, "right")][::-1] if left[x] > use[x]]
-                if not fits:
-                    break
-                have_left = fits
-            take.append(int(have_left[0]))
-            use[int(have_left[0])] += 1
-            room -= int(have_left[0])
-        m = min(int(left[x]) // k for x, k in use.items())
-        for x, k in use.items():
-            left[x] -= m * k
-        out.append((tuple(take), m))
-    return out
-
-
-def fillings(left: np.ndarray, room: int, most: int = 6) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` from the lengths left, least waste first, at most ``most`` of them.
-
-    One length that fills the room exactly dominates everything. Otherwise fillings of one to four lengths compete,
-    fewer and longer first; a filling is dropped if a shorter one of no more waste was found, since its pieces could
-    take the other's places. Room that none of these uses well goes to best fit.
+    rooms = np.zeros(top + 1, bool)  # which amounts of room are left somewhere
+    open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+
+    def put(take: tuple[int, ...], m: int) -> None:
+        if m:
+            room = top - sum(take)
+            open_.setdefault(room, []).append((take, m))
+            rooms[room] = True
+
+    for x in np.flatnonzero(counts)[::-1].tolist():
+        n = int(counts[x])
+        while n:
+            at = np.flatnonzero(rooms[x:])
+            if len(at):
+                room = x + int(at[0])
+                take, m = open_[room].pop()
+                rooms[room] = bool(open_[room])
+            else:
+                room, take, m = top, (), n
+            each = room // x
+            full = min(m, n // each)
+            put((*take, *[x] * each), full)
+            n -= full * each
+            if n and full < m:  # the last one takes what is left of this length
+                put((*take, *[x] * n), 1)
+                n, full = 0, full + 1
+            if take:
+                put(take, m - full)
+    return [p for group in open_.values() for p in group]
+
+
+def fillings(left: np.ndarray, room: int, slack: int) -> Iterator[tuple[int, ...] | None]:
+    """The undominated fillings of ``room`` from the lengths left that waste at most ``slack`` of it: least waste first,
+    longest lengths first among these. None stands for a dominated one that was looked at.
+
+    A filling is dominated if some of its pieces could make way for one piece left out that is no shorter than they are
+    together and fits: that piece's place is then the better one for them (Martello and Toth's criterion in Korf's
+    form). Sets of sums are the bits of an integer, so the search for fillings of a given waste meets no dead end, and
+    the test for dominance is a few shifts.
     """
-    have = np.flatnonzero(left[: room + 1])
-    if not have.size:
-        return [()]
-    below = np.zeros(room + 1, np.int64)  # the largest length left that is no longer
-    below[have] = have
-    below = np.maximum.accumulate(below)
-    one = int(below[room])
-    found: list[tuple[int, tuple[int, ...]]] = [(room - one, (one,))]
-    if one == room:
-        return [(one,)]
-
-    def fits(take: tuple[int, ...]) -> bool:
-        return all(left[x] >= k for x, k in Counter(take).items())
-
-    def pairs(space: int, want: int) -> list[tuple[int, int]]:
-        a = have[: np.searchsorted(have, space, "right")][::-1]
-        b = below[space - a]
-        ok = (b > 0) & (b <= a)
-        ok &= (a != b) | (left[a] >= 2)
-        a, b = a[ok], b[ok]
-        order = np.argsort(space - a - b, kind="stable")[:want]
-        return [(int(a[k]), int(b[k])) for k in order]
-
-    for x, y in pairs(room, most):
-        if room - x - y < found[0][0]:
-            found.append((room - x - y, (x, y)))
-    if min(found)[0]:
-        firsts = have[::-1][np.linspace(0, len(have) - 1, min(24, len(have))).astype(int)]
-        low = min(found)[0]
-        for x in firsts:
-            for y, z in pairs(room - int(x), 2) if room > x else []:
-                take = (int(x), y, z)
-                if (w := room - sum(take)) < low and fits(take):
-                    found.append((w, take))
-        greedy, space = [], room
-        use: Counter[int] = Counter()
-        for x in have[::-1]:
-            while x <= space and left[x] > use[int(x)]:
-                greedy.append(int(x))
-                use[int(x)] += 1
-                space -= int(x)
-        if space < low:
-            found.append((space, tuple(greedy)))
-    found = sorted(set(found), key=lambda f: (f[0], len(f[1]), tuple(-x for x in f[1])))
-    return [take for _, take in found[:most]]
-
-
-def bin_completion(counts: np.ndarray, most_nodes: int = 10_000) -> list[tuple[tuple[int, ...], int]]:
+    have = np.flatnonzero(left[: room + 1])[::-1]
+    lengths, counts = have.tolist(), left[have].tolist()
+    places = (-have).tolist()
+    whole = (1 << (room + 1)) - 1
+    available = int.from_bytes(np.packbits(left[: room + 1] > 0, bitorder="little").tobytes(), "little")
+    reach, full = [1] * (len(lengths) + 1), 0  # reach[i]: the sums that lengths[i:] can make
+    for i in range(len(lengths) - 1, -1, -1):
+        r, x, n, step = reach[i + 1], lengths[i], min(counts[i], room // lengths[i]), 1
+        while n:
+            step = min(step, n)
+            r |= r << (step * x) & whole
+            n, step = n - step, step * 2
+        reach[i] = r
+        if r == whole:
+            full = i
+            break
+    reach[:full] = [whole] * full
+
+    def exactly(i: int, rest: int) -> Iterator[list[tuple[int, int]]]:
+        if not rest:
+            yield []
+            return
+        i = max(i, bisect_left(places, -rest))
+        while i < len(lengths) and reach[i] >> rest & 1:
+            for k in range(min(counts[i], rest // lengths[i]), 0, -1):
+                if reach[i + 1] >> (rest - k * lengths[i]) & 1:
+                    for more in exactly(i + 1, rest - k * lengths[i]):
+                        yield [(i, k), *more]
+            i += 1
+
+    def dominated(uses: list[tuple[int, int]], waste: int) -> bool:
+        one, several, outside = 0, 0, available  # sums of one piece, sums of several
+        for i, k in uses:
+            x = lengths[i]
+            if k == counts[i]:
+                outside &= ~(1 << x)
+            for _ in range(k):
+                several |= (several | one) << x
+                one |= 1 << x
+        spread, width = (several | one | 1) << 1 if waste else 0, 1
+        while width < waste:  # the sums raised by 1, 2, ... waste
+            step = min(width, waste - width)
+            spread |= spread << step
+            width += step
+        return bool((spread | several) & outside)
+
+    def each() -> Iterator[tuple[int, ...] | None]:
+        for waste in range(min(slack, room) + 1):
+            if reach[0] >> (room - waste) & 1:
+                for uses in exactly(0, room - waste):
+                    yield None if dominated(uses, waste) else tuple(lengths[i] for i, k in uses for _ in range(k))
+
+    return each()
+
+
+def bin_completion(counts: np.ndarray, most_nodes: int = 20_000) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths, times) that use up the histogram in as few sequences as the search finds.
 
-    The search ends when it meets the lower bound, has seen every branch, or has looked at ``most_nodes`` nodes; then
-    the best packing so far stands. It is complete in any case: every piece is placed.
+    A node is the histogram left. A branch fills sequences around the largest length left with one undominated filling,
+    as many times as the counts allow or, after all others, any number of times less (then another filling follows).
+    It is cut when its waste exceeds what a packing better than the incumbent can afford, when its sequences and the
+    lower bound of what is left reach the incumbent, or when its histogram was met before at no more sequences.
+
+    The search ends when it meets the lower bound, when it has seen every branch (its packing is then the best there
+    is), or when it has looked at ``most_nodes`` fillings; then the best packing so far stands, every piece placed.
     """
     top = len(counts) - 1
-    counts = counts.astype(np.int64)
-    total = int((counts * np.arange(top + 1)).sum())
-    best = best_fit(counts)
-    used = sum(m for _, m in best)
-    bound = lower_bound(counts)
-    left = counts.copy()
-    path: list[tuple[tuple[int, ...], int, list]] = []
-    waste = nodes = 0
-
-    def branches() -> list[tuple[int, ...]]:
+    left = counts.astype(np.int64)
+    total = int((left * np.arange(top + 1)).sum())
+    best = best_fit(left)
+    used, bound = sum(m for _, m in best), lower_bound(left)
+    nodes = bins = waste = 0
+    path: list[tuple[tuple[int, ...], int]] = []
+    met: dict[bytes, int] = {}
+
+    def branches(not_this: tuple[int, ...]) -> Iterator[tuple[tuple[int, ...], int, bool]]:
+        nonlocal nodes
         a = int(np.flatnonzero(left)[-1])
-        left[a] -= 1
-        out = [(a, *f) for f in fillings(left, top - a)] if a < top else [(a,)]
-        left[a] += 1
-        return out
-
-    def undo() -> list:
-        nonlocal waste
-        take, m, rest = path.pop()
+        here = left.copy()
+        here[a] -= 1
+        seen = []
+        for filling in fillings(here, top - a, (used - 1) * top - total - waste):
+            nodes += 1
+            if nodes >= most_nodes:
+                return
+            if filling is not None and (take := (a, *filling)) != not_this:
+                most = min(int(left[x]) // k for x, k in Counter(take).items())
+                seen.append((take, most))
+                yield take, most, True
+        for take, most in seen:
+            for m in range(most - 1, 0, -1):
+                nodes += 1
+                if nodes >= most_nodes:
+                    return
+                yield take, m, False
+
+    def move(take: tuple[int, ...], m: int) -> None:
+        nonlocal bins, waste
         for x in take:
-            left[x] += m
-        waste -= m * (top - sum(take))
-        return rest
-
-    todo = branches() if left.any() else []
-    while used > bound and nodes < most_nodes:
-        nodes += 1
-        if todo:
-            take, *todo = todo
-            m = min(int(left[x]) // k for x, k in Counter(take).items())
-            if waste + m * (top - sum(take)) <= (used - 1) * top - total:
-                for x in take:
-                    left[x] -= m
-                path.append((take, m, todo))
-                waste += m * (top - sum(take))
-                if left.any():
-                    todo = branches()
-                    continue
-                if sum(m for _, m, _ in path) < used:
-                    best, used = [(t, m) for t, m, _ in path], sum(m for _, m, _ in path)
-                todo = undo()
-            # else the other fillings of this node waste as much or more, but may differ in how often they apply
+            left[x] -= m
+        bins += m
+        waste += m * (top - sum(take))
+
+    todo = [branches(())] if used > bound else []
+    while todo and used > bound and nodes < most_nodes:
+        step = next(todo[-1], None)
+        if step is None:
+            todo.pop()
+            if path:
+                take, m = path.pop()
+                move(take, -m)
             continue
-        if not path:
-            break
-        todo = undo()
+        take, m, all_of_it = step
+        move(take, m)
+        if waste <= (used - 1) * top - total:
+            if not left.any():
+                best, used = [*path, (take, m)], bins
+            elif bins + lower_bound(left) < used:
+                key = hashlib.blake2b(left.tobytes(), digest_size=16).digest()
+                if met.get(key, bins + 1) > bins:
+                    met[key] = bins
+                    path.append((take, m))
+                    todo.append(branches(() if all_of_it else take))
+                    continue
+        move(take, -m)
     return best
 
 

@@ -1,5 +1,6 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -77,24 +78,47 @@ def best(items, capacity):
     return low[0]
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 20), min_size=0, max_size=11))
-def test_bin_completion_against_full_search(items):
-    counts = np.bincount(np.array(items, int), minlength=21)
+def packed(items, capacity):
+    counts = np.bincount(np.array(items, int), minlength=capacity + 1)
     patterns = packing.bin_completion(counts)
-    placed = np.zeros(21, int)
+    placed = np.zeros(capacity + 1, int)
     for take, m in patterns:
-        assert sum(take) <= 20
+        assert sum(take) <= capacity
         for x in take:
             placed[x] += m
     assert (placed == counts).all()
-    used = sum(m for _, m in patterns)
-    assert packing.lower_bound(counts) <= best(items, 20) <= used <= best(items, 20) + 1
+    return sum(m for _, m in patterns)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.sampled_from([20, 40, 60]).flatmap(lambda c: st.tuples(st.just(c), st.lists(st.integers(1, c), min_size=0, max_size=11))))
+def test_bin_completion_against_full_search(case):
+    capacity, items = case
+    assert packing.lower_bound(np.bincount(np.array(items, int), minlength=capacity + 1)) <= best(items, capacity) == packed(items, capacity)
+
+
+def test_bin_completion_where_best_fit_fails():
+    assert packed([13, 27, 14, 16, 19, 20, 27, 27, 23, 19, 15, 15], 60) == 4
+    assert packed([20, 19, 7, 7, 7, 5, 5, 5, 5], 40) == 2
+    assert packed([20, 19, 7, 7, 7, 5, 5, 5, 5] * 50, 40) == 100  # by multiplicities
+
+
+def test_fillings_are_those_that_no_swap_improves():
+    left = np.bincount([9, 7, 5, 5, 3, 2, 1], minlength=13)
+    got = {tuple(sorted(f)) for f in packing.fillings(left, 12, 12) if f is not None}
+    pieces = [9, 7, 5, 5, 3, 2, 1]
+    every = {tuple(sorted(c)) for n in range(8) for c in combinations(pieces, n) if sum(c) <= 12}
+
+    def improved(f):
+        out = list((Counter(pieces) - Counter(f)).elements())
+        return any(0 <= x - sum(part) <= 12 - sum(f) and part != (x,) for n in range(len(f) + 1) for part in combinations(f, n) for x in out)
+
+    assert got == {f for f in every if not improved(f)}
 
 
 @pytest.mark.parametrize("seed", range(3))
 def test_bin_completion_on_many_lengths(seed):
     rng = np.random.default_rng(seed)
     counts = np.bincount(np.minimum(4096, np.exp(rng.normal(6.3, 1, 20_000)).astype(int) + 1), minlength=4097)
-    used = sum(m for _, m in packing.bin_completion(counts, 2000))
-    assert used <= packing.lower_bound(counts) * 1.002 + 1
+    used = sum(m for _, m in packing.bin_completion(counts, 8000))
+    assert used <= packing.lower_bound(counts) * 1.0005 + 1
