@@ -14,7 +14,7 @@ from ridgeline.llm.ppm import score_corpus
 from ridgeline.llm.forest import nearest
 from ridgeline.llm.suffix_dedup import remove_repeats
 from ridgeline.llm.piece_bpe import encode
-from ridgeline.llm.token_counts import count_edited, sample_edits
+from ridgeline.llm.token_counts import TokenTrees, sample_edits
 from ridgeline.llm.shared import held_out, scan
 
 
@@ -58,8 +58,8 @@ def op9_language_id(spark, sf_dir):
 
 
 def op10_edit_token_counts(spark, sf_dir):
-    docs = scan(spark, sf_dir, "documents")
-    return count_edited(docs, public_tokenizers.path("word_bpe_49k.json"), sample_edits(F.col("doc_id"), F.col("text")))
+    trees = TokenTrees.build(scan(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return trees.edit(sample_edits(F.col("doc_id"), F.col("chars")[1])).drop("row")
 
 
 def queries():
