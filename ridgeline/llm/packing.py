@@ -29,6 +29,8 @@ from ridgeline.llm.shared import materialize
 from ridgeline.llm.word_tokens import tokens_from
 
 CAPACITY, END_ID = 4096, 1
+#: Nodes whose branches the search holds open, at up to a megabyte each.
+OPEN_NODES = 32
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -197,22 +199,28 @@ def bin_completion(counts: np.ndarray, most_nodes: int = 20_000) -> list[tuple[t
     path: list[tuple[tuple[int, ...], int]] = []
     met: dict[bytes, int] = {}
 
-    def branches(not_this: tuple[int, ...]) -> Iterator[tuple[tuple[int, ...], int, bool]]:
+    def branches(not_this: tuple[int, ...], skip: int = 0) -> Iterator[tuple[tuple[int, ...], int, bool]]:
+        """The branches of the node, after the first ``skip``, which have been looked at before."""
         nonlocal nodes
         a = int(np.flatnonzero(left)[-1])
         here = left.copy()
         here[a] -= 1
         seen = []
         for filling in fillings(here, top - a, (used - 1) * top - total - waste):
-            nodes += 1
+            nodes += len(seen) >= skip
             if nodes >= most_nodes:
                 return
             if filling is not None and (take := (a, *filling)) != not_this:
                 most = min(int(left[x]) // k for x, k in Counter(take).items())
                 seen.append((take, most))
-                yield take, most, True
+                if len(seen) > skip:
+                    yield take, most, True
+        skip = max(0, skip - len(seen))
         for take, most in seen:
             for m in range(most - 1, 0, -1):
+                if skip:
+                    skip -= 1
+                    continue
                 nodes += 1
                 if nodes >= most_nodes:
                     return
@@ -225,15 +233,21 @@ def bin_completion(counts: np.ndarray, most_nodes: int = 20_000) -> list[tuple[t
         bins += m
         waste += m * (top - sum(take))
 
-    todo = [branches(())] if used > bound else []
+    # per node of the path: its branches (of the last few nodes only, for the rest they are found again), how many were
+    # taken, and what must not follow
+    todo = [[branches(()), 0, ()]] if used > bound else []
     while todo and used > bound and nodes < most_nodes:
-        step = next(todo[-1], None)
+        here = todo[-1]
+        if here[0] is None:
+            here[0] = branches(here[2], here[1])
+        step = next(here[0], None)
         if step is None:
             todo.pop()
             if path:
                 take, m = path.pop()
                 move(take, -m)
             continue
+        here[1] += 1
         take, m, all_of_it = step
         move(take, m)
         if waste <= (used - 1) * top - total:
@@ -244,7 +258,10 @@ def bin_completion(counts: np.ndarray, most_nodes: int = 20_000) -> list[tuple[t
                 if met.get(key, bins + 1) > bins:
                     met[key] = bins
                     path.append((take, m))
-                    todo.append(branches(() if all_of_it else take))
+                    not_this = () if all_of_it else take
+                    todo.append([branches(not_this), 0, not_this])
+                    if len(todo) > OPEN_NODES:
+                        todo[-1 - OPEN_NODES][0] = None
                     continue
         move(take, -m)
     return best

@@ -97,6 +97,15 @@ def test_bin_completion_against_full_search(case):
     assert packing.lower_bound(np.bincount(np.array(items, int), minlength=capacity + 1)) <= best(items, capacity) == packed(items, capacity)
 
 
+def test_branches_found_again(monkeypatch):
+    monkeypatch.setattr(packing, "OPEN_NODES", 1)
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        capacity = int(rng.choice([20, 40, 60]))
+        items = rng.integers(1, capacity // 2 + 5, 11).tolist()
+        assert packed(items, capacity) == best(items, capacity)
+
+
 def test_bin_completion_where_best_fit_fails():
     assert packed([13, 27, 14, 16, 19, 20, 27, 27, 23, 19, 15, 15], 60) == 4
     assert packed([20, 19, 7, 7, 7, 5, 5, 5, 5], 40) == 2
