@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions.guards import nonzero
@@ -15,7 +15,7 @@ def rebalance_rows(rows: DataFrame, horizon: int = HORIZON) -> DataFrame:
     return rows.join(F.broadcast(dates.where(F.col("_k") % horizon == 0).select("date")), "date", "left_semi")
 
 
-def _edges(by: list[str], n: int) -> F.Column:
+def _edges(n: int) -> Column:
     return F.percentile("alpha", F.array(*(F.lit(k * (1 / n)) for k in range(n)), F.lit(1.0)))
 
 
@@ -27,9 +27,9 @@ def decile_periods(rows: DataFrame, buckets: int = BUCKETS, cost_bps: float = CO
     """
     cost = cost_bps / 10_000
     by = ["date", "sector"] if neutral else ["date"]
+    group = Window.partitionBy(*by)
     day = rebalance_rows(rows, horizon)
-    edges = day.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.array_distinct(_edges(by, buckets)).alias("_e")).where(F.col("_n") >= 2 * buckets)
-    met = day.join(edges, by)
+    met = day.withColumns({"_n": F.count(F.lit(1)).over(group), "_e": F.array_distinct(_edges(buckets).over(group))}).where(F.col("_n") >= 2 * buckets)
     some = F.size("_e") >= 2
     top = some & (F.col("alpha") > F.element_at("_e", F.when(some, F.size("_e") - 1).otherwise(1)))
     low = some & (F.col("alpha") <= F.element_at("_e", F.when(some, 2).otherwise(1)))

@@ -44,22 +44,36 @@ def rolling_correlation(rows: int) -> Column:
     return F.when(F.count(both).over(frame) == rows, F.try_divide(F.covar_pop(F.col("close"), F.col("volume")).over(frame), spread))
 
 
-def decayed_mean(halflife: int, place: str = "_i") -> Column:
-    """Exponentially weighted mean. Weights are powers of two of the row's place, counted anew every 500 half-lives so
-    that they stay finite on any length; sums run over 60 half-lives, beyond which a weight is lost in rounding."""
-    block = 500 * halflife
-    frame = by_ticker().rowsBetween(-60 * halflife, 0)
-    i = F.col(place)
-    even = F.floor(i / block) % 2 == 0
-    weight = F.when(F.col("close").isNotNull(), F.pow(F.lit(2.0), F.pmod(i, F.lit(block)) / halflife))
-
-    def total(x: Column) -> Column:
-        here = F.coalesce(F.sum(F.when(even, x)).over(frame), F.lit(0.0))
-        there = F.coalesce(F.sum(F.when(~even, x)).over(frame), F.lit(0.0))
-        old = F.lit(2.0**-500)
-        return F.when(even, here + there * old).otherwise(there + here * old)
-
-    return F.try_divide(total(weight * F.col("close")), total(weight))
+#: Rows of a ticker that count as one block of the decayed means. A power of two per half-life stays finite over a
+#: block for half-lives of 2.5 rows and more; two blocks back it is lost in rounding for those of up to 40 rows.
+BLOCK = 2500
+
+
+def with_decayed_means(rows: DataFrame, halflives: list[int]) -> DataFrame:
+    """``ewma_close_<h>``: exponentially weighted means over all rows so far.
+
+    Weighted sums grow along each block of a ticker, and what the last block with a close came to is carried into them,
+    so every row costs the same however long the half-life. All windows have one order, and one exchange.
+    """
+    if not all(BLOCK / 1000 <= h <= BLOCK / 60 for h in halflives):
+        raise ValueError(f"half-lives must lie between {BLOCK / 1000} and {BLOCK // 60} rows")
+    block = Window.partitionBy("ticker", "_b").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("ticker").orderBy("_b", "date").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_i", F.row_number().over(by_ticker()) - 1).withColumn("_b", F.floor(F.col("_i") / BLOCK))
+    weight = {h: F.when(F.col("close").isNotNull(), F.pow(F.lit(2.0), F.pmod("_i", F.lit(BLOCK)) / h)) for h in halflives}
+    sums = {f"_s{h}": w * F.col("close") for h, w in weight.items()} | {f"_w{h}": w for h, w in weight.items()}
+    rows = rows.withColumns({c: F.coalesce(F.sum(x).over(block), F.lit(0.0)) for c, x in sums.items()})
+    ends = {h: (F.pmod("_i", F.lit(BLOCK)) == BLOCK - 1) & (F.col(f"_w{h}") > 0) for h in halflives}
+    carried = {f"_{k}{h}_": F.last(F.when(ends[h], F.col(f"_{k}{h}" if k != "b" else "_b")), ignorenulls=True).over(before) for h in halflives for k in "swb"}
+    rows = rows.withColumns({c: F.coalesce(x, F.lit(0.0)) for c, x in carried.items()})
+
+    def mean(h: int) -> Column:
+        s, w, s_, w_, b_ = (F.col(c) for c in (f"_s{h}", f"_w{h}", f"_s{h}_", f"_w{h}_", f"_b{h}_"))
+        fade = F.pow(F.lit(2.0), (b_ - F.col("_b")) * (BLOCK / h))
+        return F.when(w > 0, (s + s_ * fade) / (w + w_ * fade)).otherwise(F.try_divide(s_, w_))
+
+    means = {f"ewma_close_{h}": mean(h) for h in halflives}
+    return rows.withColumns(means).drop("_i", "_b", *sums, *carried)
 
 
 def forward_return(horizon: int = HORIZON) -> Column:
@@ -73,19 +87,17 @@ def operand_expressions() -> dict[str, Column]:
         out[f"std_close_{w}"] = _full(F.col("close"), F.stddev_samp(F.col("close")), w)
         out[f"sum_volume_{w}"] = _full(F.col("volume"), F.sum(F.col("volume")), w)
         out[f"delta_close_{w}"] = change(w)
-        out[f"ewma_close_{w}"] = decayed_mean(w)
     return out | {"mom_60": change(60), "corr_close_volume_10": rolling_correlation(10)}
 
 
 def with_operands(panel: DataFrame, names: list[str] | None = None, target: bool = False) -> DataFrame:
     """The panel and the named rolling columns (all 19 by default), and ``fwd_ret`` if asked."""
     made = operand_expressions()
-    names = names or list(made)
+    names = names or FEATURE_COLS
     rows = clean(panel)
-    if any(n.startswith("ewma") for n in names):
-        rows = rows.withColumn("_i", F.row_number().over(by_ticker()))
-    extra = {n: made[n] for n in names} | ({"fwd_ret": forward_return()} if target else {})
-    return rows.withColumns(extra).drop("_i")
+    if decayed := [int(n.rsplit("_", 1)[1]) for n in names if n.startswith("ewma")]:
+        rows = with_decayed_means(rows, decayed)
+    return rows.withColumns({n: made[n] for n in names if n in made} | ({"fwd_ret": forward_return()} if target else {}))
 
 
 def attach_sector(rows: DataFrame, universe: DataFrame) -> DataFrame:
@@ -103,18 +115,32 @@ def sector_neutral(rows: DataFrame, column: str = "fwd_ret", name: str = "fwd_re
     return rows.withColumn(name, F.col(column) - F.avg(column).over(Window.partitionBy("date", "sector")))
 
 
+def build_operands(panel: DataFrame, universe: DataFrame) -> DataFrame:
+    """Rows with all operands known, their sector, and the label where it is known already."""
+    return complete(attach_sector(with_operands(panel, target=True), universe), FEATURE_COLS)
+
+
+def training(operands: DataFrame) -> DataFrame:
+    """Training rows of ``build_operands``: a known label, the sector-neutral label, operands z-scored by date."""
+    return zscored(sector_neutral(operands.where("fwd_ret is not null")), FEATURE_COLS)
+
+
 def build_features(panel: DataFrame, universe: DataFrame) -> DataFrame:
-    """Training rows: complete operands and label, the sector-neutral label, z-scored operands."""
-    rows = complete(attach_sector(with_operands(panel, target=True), universe), [*FEATURE_COLS, "fwd_ret"])
-    return zscored(sector_neutral(rows), FEATURE_COLS)
+    return training(build_operands(panel, universe))
 
 
 def live_features(panel: DataFrame, universe: DataFrame) -> DataFrame:
     """Scoring rows: as for training, without a label."""
-    return zscored(complete(attach_sector(with_operands(panel), universe), FEATURE_COLS), FEATURE_COLS)
+    return zscored(build_operands(panel, universe).drop("fwd_ret"), FEATURE_COLS)
 
 
 def latest(rows: DataFrame) -> DataFrame:
     """The rows of the last date."""
     last = rows.agg(F.max("date").alias("_last"))
     return rows.join(F.broadcast(last), F.col("date") == F.col("_last"), "left_semi")
+
+
+def live_latest(operands: DataFrame) -> DataFrame:
+    """Scoring rows of the last date there is, from stored operands: only that date is read and z-scored."""
+    last = operands.agg(F.max("date")).first()[0]
+    return zscored(operands.where(F.col("date") == F.lit(last)).drop("fwd_ret"), FEATURE_COLS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions.guards import average_rank, correlation
@@ -29,7 +29,33 @@ def mean_ic(rows: DataFrame, pred: str, y: str, method: str = "pearson", policy:
     return daily_ic(rows, pred, y, policy, method).agg(F.coalesce(F.avg("ic"), F.lit(0.0)).alias("ic"))
 
 
-def global_corr(rows: DataFrame, pred: str, y: str) -> DataFrame:
+def ic_series(rows: DataFrame, pred: str, y: str, method: str = "pearson", policy: str = "skip") -> DataFrame:
+    """``date, ic`` in the order of dates."""
+    return daily_ic(rows, pred, y, policy, method).orderBy("date")
+
+
+def _below(value: Column):
+    return lambda x: x < value
+
+
+def global_corr(rows: DataFrame, pred: str, y: str, method: str = "pearson") -> DataFrame:
+    """One row ``ic`` over all rows, whatever their date. By rank, ties are counted per value and only distinct values
+    are ordered, each with the number of rows below it."""
+    if method == "spearman":
+        rows = rows.select(F.col(pred).alias("_p"), F.col(y).alias("_y")).where("_p is not null and _y is not null")
+        for c in ("_p", "_y"):
+            counts = rows.groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
+            # values in 256 runs of about as many rows: sizes of runs are added up, values are ordered in a run only
+            edges = rows.agg(F.percentile_approx(c, F.array(*(F.lit(k / 256) for k in range(1, 256))), 10_000)).first()[0] or []
+            value, edges = F.col(c), F.array(*map(F.lit, sorted(set(edges)))).cast("array<double>")
+            counts = counts.withColumn("_run", F.size(F.filter(edges, _below(value))))
+            sizes = counts.groupBy("_run").agg(F.sum("_n").alias("_all"))
+            below = sizes.select("_run", (F.sum("_all").over(Window.orderBy("_run")) - F.col("_all")).alias("_before"))  # 256 rows
+            within = F.sum("_n").over(Window.partitionBy("_run").orderBy(c)) - F.col("_n")
+            ranks = counts.withColumn("_within", within).join(F.broadcast(below), "_run")
+            ranks = ranks.select(c, (F.col("_before") + F.col("_within") + (F.col("_n") + 1) / 2).alias(f"{c}r"))
+            rows = rows.join(ranks, c)
+        rows, pred, y = rows.select("_pr", "_yr"), "_pr", "_yr"
     return rows.agg(F.coalesce(F.when((F.stddev_pop(pred) < FLAT) | (F.stddev_pop(y) < FLAT), F.lit(0.0)).otherwise(correlation(pred, y)), F.lit(0.0)).alias("ic"))
 
 

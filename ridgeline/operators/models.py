@@ -38,6 +38,7 @@ def elastic_net(train: DataFrame, features: list[str], y: str = "fwd_ret") -> tu
     for p in parts[1:]:
         whole = whole + p
     centred, means = _centred(whole, k)
+    tolerance = 1e-5 * max(centred.yy / max(1, centred.n), 1e-24) ** 0.5  # of the target's deviation
     best = (np.inf, 0.0, 1.0)
     for ratio in RATIOS:
         top = max(np.abs(centred.xy).max() / max(1, centred.n) / ratio, 1e-12)
@@ -48,13 +49,13 @@ def elastic_net(train: DataFrame, features: list[str], y: str = "fwd_ret") -> tu
             fit, mu = _centred(rest, k)
             w = np.zeros(k)
             for a, alpha in enumerate(path):
-                w = descend(fit, alpha, ratio, 5000, 1e-10, w)
+                w = descend(fit, alpha, ratio, 5000, tolerance, w)
                 b = mu[k] - mu[:k] @ w
                 full = np.append(w, b)
                 errors[a] += objective(p, full, 0.0) * 2
         a = int(errors.argmin())
         best = min(best, (errors[a], path[a], ratio))
-    w = descend(centred, best[1], best[2], 5000, 1e-10)
+    w = descend(centred, best[1], best[2], 5000, tolerance * 1e-3)
     return w, float(means[k] - means[:k] @ w), best[1], best[2]
 
 

@@ -53,23 +53,25 @@ def baseline(ics: DataFrame) -> DataFrame:
     return ics.agg(F.avg("ic").alias("mean"), F.stddev_pop("ic").alias("std"))
 
 
-def drift_timeline(ics: DataFrame, mean: float, std: float, window: int = 8, least: int = 3, level: float = 0.10) -> DataFrame:
-    """The drift test as of every date of ``date, ic``: trailing mean against the baseline, one-sided. Fewer than
-    ``least`` dates so far are not enough. One row per period, so one partition orders them."""
+def drift_timeline(ics: DataFrame, mean: Column | float, std: Column | float, window: int = 8, least: int = 3, level: float = 0.10) -> DataFrame:
+    """The drift test as of every date of ``date, ic``: trailing mean against the baseline (numbers, or columns of
+    ``ics``), one-sided. Fewer than ``least`` dates so far are not enough. One row per period, so one partition orders
+    them."""
     w = Window.orderBy("date").rowsBetween(1 - window, 0)
-    rows = ics.select("date", "ic", F.row_number().over(Window.orderBy("date")).alias("as_of"), F.count("ic").over(w).alias("n_weeks"), F.avg("ic").over(w).alias("_m"))
+    mean, std = (x if isinstance(x, Column) else F.lit(x) for x in (mean, std))
+    rows = ics.select("date", "ic", mean.alias("_mean"), std.alias("_std"), F.row_number().over(Window.orderBy("date")).alias("as_of"), F.count("ic").over(w).alias("n_weeks"), F.avg("ic").over(w).alias("_m"))
     enough = F.col("n_weeks") >= least
-    z = F.when(enough, (F.col("_m") - F.lit(mean)) / nonzero(F.lit(std) / F.sqrt("n_weeks")))
+    z = F.when(enough, (F.col("_m") - F.col("_mean")) / nonzero(F.col("_std") / F.sqrt("n_weeks")))
     rows = rows.withColumn("z_score", z).withColumn("p_value", normal_cdf(F.col("z_score")))
     status = F.when(~enough, "insufficient_data").when(F.col("p_value") < level, "drift_flagged").otherwise("normal")
-    return rows.select("as_of", "date", status.alias("status"), "n_weeks", F.when(enough, F.col("_m")).alias("recent_mean_ic"), F.lit(mean).alias("baseline_mean_ic"), "z_score", "p_value")
+    return rows.select("as_of", "date", status.alias("status"), "n_weeks", F.when(enough, F.col("_m")).alias("recent_mean_ic"), F.col("_mean").alias("baseline_mean_ic"), "z_score", "p_value")
 
 
 def replay(scored: DataFrame, horizon: int = HORIZON, window: int = 8) -> DataFrame:
     """Every state of the monitor over a scored history, from the first full window on; the baseline is that history's own."""
-    ics = period_ic(scored, horizon)
-    base = baseline(ics).first()
-    return drift_timeline(ics, base.mean, base.std, window).where(F.col("as_of") >= window)
+    every = Window.partitionBy()  # one row a period
+    ics = period_ic(scored, horizon).withColumns({"_all": F.avg("ic").over(every), "_spread": F.stddev_pop("ic").over(every)})
+    return drift_timeline(ics, F.col("_all"), F.col("_spread"), window).where(F.col("as_of") >= window)
 
 
 def should_remine(last: str, status: str | None, now: datetime, most_days: int = 90) -> tuple[bool, list[str], int]:

@@ -1,8 +1,14 @@
-"""Registered queries of the panel operators, over panels, universes and books adapted from the star-schema tables."""
+"""Registered queries of the panel operators, over panels, universes and books adapted from the star-schema tables.
+
+Bars, operands and features are stored tables (see ``ridgeline.sources.testdata``): the first query of a session that
+needs one builds it, the others read it. ``features_full`` and ``store_*`` are the builds themselves.
+"""
 
 from __future__ import annotations
 
+import uuid
 from datetime import date, datetime
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,11 +27,17 @@ from ridgeline.operators import screen as S
 from ridgeline.operators import selection as L
 from ridgeline.operators import significance as G
 from ridgeline.plans import mining as N
+from ridgeline.plans import serving as R
 from ridgeline.plans import validation as W
 from ridgeline.schema import FEATURE_COLS
 from ridgeline.sources import testdata as T
+from ridgeline.sources.store import forget, sampled, shared_dir
 
-SCREENED = ["vwap", "ret_1d", "mean_close_5", "std_close_10", "sum_volume_20", "delta_close_5", "corr_close_volume_10"]
+#: Sharpe ratios per period of the configurations that the deflated ratio counts as tried.
+TRIALS = [0.01, 0.03, -0.02, 0.04]
+#: What the registered searches may spend. The defaults of ``Settings`` (500 formulas, 25 generations, 8 seeds) are
+#: 100,000 evaluations of the table, hours of work; the searches below read the same rows for a few minutes at most.
+SEARCH = {"population": 40, "generations": 3, "tournament": 8}
 #: The formulas that the scoring queries evaluate, and their weights; one is a constant, one has no weight.
 FORMULAS = ["mean_close_10 - vwap", "sqrt(sum_volume_20 + 0.6)", "log(sum_volume_20 + 1.63)", "-delta_close_5 * 0.5", "0.9372159"]
 WEIGHTS = [0.02, 0.01, 0.0, 0.03, 0.00135]
@@ -33,6 +45,8 @@ PREFIX = ["div(vwap, ret_1d)", "log(sub(mean_close_5, vwap))", "sqrt(neg(abs(mom
 #: Means of short decimals often lie halfway between two rounded values; this moves them off, before they are rounded.
 NUDGE = 1.2345e-7
 EXPLAINED = "sqrt(abs(sum_volume_20 - delta_close_5)) / 2"
+#: Predictions from this date on have no outcome yet.
+RESOLVED_BEFORE = date(2000, 1, 1)
 
 
 def _round(df: DataFrame) -> DataFrame:
@@ -40,11 +54,11 @@ def _round(df: DataFrame) -> DataFrame:
 
 
 def _panel(spark, d, *names, target=False):
-    return P.with_operands(T.panel(spark, d), list(names) or ["vwap"], target).select("date", "ticker", *names, *(["fwd_ret"] if target else []))
+    return P.with_operands(T.bars(spark, d), list(names) or ["vwap"], target).select("date", "ticker", *names, *(["fwd_ret"] if target else []))
 
 
 def _features(spark, d):
-    return P.build_features(T.panel(spark, d), T.universe(spark, d))
+    return T.features(spark, d)
 
 
 def _alpha(spark, d):
@@ -57,7 +71,7 @@ def _folds(rows, embargo=0):
 
 def _screened(spark, d):
     rows = _features(spark, d)
-    return S.fold_ics(rows, SCREENED, _folds(rows))
+    return S.fold_ics(rows, FEATURE_COLS, _folds(rows))
 
 
 def _oos(spark, d):
@@ -66,14 +80,14 @@ def _oos(spark, d):
 
 
 def _log(spark, d):
-    """A prediction log of every fifth date; even tickers are resolved already."""
+    """A prediction log of every fifth date; the outcomes of the last dates are still open."""
     rows = B.rebalance_rows(_alpha(spark, d))
-    done = F.col("ticker").cast("int") % 2 == 0
+    done = F.col("date") < F.lit(RESOLVED_BEFORE)
     return rows.select(F.col("date").alias("predict_date"), "ticker", "alpha", F.when(done, F.col("fwd_ret")).alias("realized_fwd_ret"), done.alias("resolved"))
 
 
 def _search(spark, d):
-    rows = _features(spark, d).select("date", "ticker", "sector", "fwd_ret", *SCREENED)
+    rows = _features(spark, d).select("date", "ticker", "sector", "fwd_ret", *FEATURE_COLS)
     return rows, _folds(rows)
 
 
@@ -119,25 +133,35 @@ def fwd_return(spark, d):
 
 
 def sector_attach(spark, d):
-    known = T.universe(spark, d).where(F.col("ticker").cast("int") % 7 != 0)
-    return P.attach_sector(T.panel(spark, d), known).select("date", "ticker", "sector")
+    return P.attach_sector(T.bars(spark, d), T.universe(spark, d)).select("date", "ticker", "sector")
 
 
 def sector_neutral_target(spark, d):
-    rows = P.attach_sector(P.with_operands(T.panel(spark, d), ["vwap"], True), T.universe(spark, d)).where("fwd_ret is not null")
+    rows = P.attach_sector(P.with_operands(T.bars(spark, d), ["vwap"], True), T.universe(spark, d)).where("fwd_ret is not null")
     return _round(P.sector_neutral(rows).select("date", "ticker", "sector", "fwd_ret_neutral"))
 
 
 def zscore(spark, d):
-    return _round(P.zscored(T.panel(spark, d), ["close", "volume"]).select("date", "ticker", "close", "volume"))
+    return _round(P.zscored(T.bars(spark, d), ["close", "volume"]).select("date", "ticker", "close", "volume"))
 
 
 def features_full(spark, d):
-    return _round(_features(spark, d).select("date", "ticker", "sector", *FEATURE_COLS, "fwd_ret", "fwd_ret_neutral"))
+    rows = P.build_features(T.bars(spark, d), T.universe(spark, d))
+    return _round(rows.select("date", "ticker", "sector", *FEATURE_COLS, "fwd_ret", "fwd_ret_neutral"))
+
+
+def store_bars(spark, d):
+    """The bars, aggregated anew."""
+    forget(spark, d)
+    return T.bars(spark, d).select("date", "ticker", "open", "high", "low", "close", "volume")
+
+
+def store_operands(spark, d):
+    return T.operands(spark, d).select("date", "ticker", "sector", "mom_60", rounded("fwd_ret").alias("fwd_ret"))
 
 
 def live_latest(spark, d):
-    return _round(P.latest(P.live_features(T.panel(spark, d), T.universe(spark, d))).select("date", "ticker", "sector", *FEATURE_COLS))
+    return _round(P.live_latest(T.operands(spark, d)).select("date", "ticker", "sector", *FEATURE_COLS))
 
 
 def daily_ic(spark, d):
@@ -150,13 +174,21 @@ def daily_rank_ic(spark, d):
 
 def ic_series_skip(spark, d):
     rows = _alpha(spark, d).withColumn("alpha", F.when(F.month("date") % 2 == 0, F.lit(1.0)).otherwise(F.col("alpha")))
-    return _round(I.daily_ic(rows, "alpha", "fwd_ret", policy="skip"))
+    return _round(I.ic_series(rows, "alpha", "fwd_ret"))
 
 
 def global_ic(spark, d):
     return _round(I.global_corr(_alpha(spark, d), "alpha", "fwd_ret"))
 
 
+def global_rank_ic(spark, d):
+    return _round(I.global_corr(_alpha(spark, d), "alpha", "fwd_ret", "spearman"))
+
+
+def distinct_counts(spark, d):
+    return _alpha(spark, d).agg(*(F.count_distinct(c).alias(c) for c in ("date", "ticker", "sector")))
+
+
 def feature_screen(spark, d):
     return _round(S.screen(_screened(spark, d)))
 
@@ -170,6 +202,15 @@ def consensus_rank(spark, d):
     return _round(S.consensus(ics.select("feature", F.abs("ic").alias("importance")), S.screen(ics)))
 
 
+def select_features(spark, d):
+    chosen = S.select_features(S.screen(_screened(spark, d)), 6, -0.5, 4.0)
+    return _round(chosen.select("feature", "information_ratio", "variance_ratio"))
+
+
+def mean_importance(spark, d):
+    return _round(S.mean_importance(_screened(spark, d).select("feature", F.col("ic").alias("importance"))))
+
+
 def go_rule(spark, d):
     return _round(S.go_rule(_screened(spark, d).where("feature = 'delta_close_5'")))
 
@@ -225,8 +266,8 @@ def deflated_sharpe(spark, d):
     rows = _mild(spark, d)
     if rows.count() < 2:
         return spark.createDataFrame([], "n_trials int, sharpe double, expected_best double, deflated double")
-    r = G.deflated_sharpe(rows, [0.01, 0.03, -0.02, 0.04])
-    return spark.createDataFrame([tuple(r)], "n_trials int, sharpe double, expected_best double, deflated double")
+    r = G.deflated_sharpe(rows, TRIALS)
+    return _round(spark.createDataFrame([tuple(r)], "n_trials int, sharpe double, expected_best double, deflated double"))
 
 
 def formula_eval(spark, d):
@@ -243,8 +284,13 @@ def formula_dedup(spark, d):
 
 
 def explain_nodes(spark, d):
-    rows = P.latest(_features(spark, d))
-    return _round(X.explain_nodes(rows, EXPLAINED))
+    return _round(X.explain_nodes(P.live_latest(T.operands(spark, d)), EXPLAINED))
+
+
+def explain_ticker(spark, d):
+    """The weighted formulas of one name, explained: a point lookup on the last date."""
+    model = R.StoredModel([EXPLAINED, "vwap"], [0.5, 0.0], FEATURE_COLS)
+    return _round(R.explain_ticker(T.operands(spark, d), model, "7"))
 
 
 def pool_report(spark, d):
@@ -265,6 +311,19 @@ def lasso_combine(spark, d):
     return spark.createDataFrame(list(zip(FORMULAS, map(float, w), strict=True)), "formula string, weight double").where(F.abs("weight") >= 1e-10)
 
 
+def least_squares(spark, d):
+    """The combination without a penalty, for two formulas: coordinate descent on the Gram matrix."""
+    rows = X.evaluate(_features(spark, d), FORMULAS[:1] + FORMULAS[3:4])
+    a, b = C.combine(rows, ["f0", "f1"], "fwd_ret", 0.0)
+    return _round(spark.createDataFrame([(float(a), float(b))], "w0 double, w1 double"))
+
+
+def lasso_one(spark, d):
+    """The combination of one formula, whose weight is the soft-thresholded ratio of two sums."""
+    rows = X.evaluate(_features(spark, d), FORMULAS[:1])
+    return _round(spark.createDataFrame([(float(C.combine(rows, ["f0"], "fwd_ret", 1e-5)[0]),)], "weight double"))
+
+
 def walk_forward_combine(spark, d):
     names = [f"f{k}" for k in range(len(FORMULAS))]
     rows = X.evaluate(_features(spark, d), FORMULAS)
@@ -278,7 +337,7 @@ def composite_score(spark, d):
 
 
 def _scored_latest(spark, d):
-    return X.score(P.latest(_features(spark, d)), FORMULAS, WEIGHTS).select("ticker", "sector", "alpha")
+    return R.score_live(T.operands(spark, d), R.StoredModel(FORMULAS, WEIGHTS, FEATURE_COLS)).select("ticker", "sector", "alpha")
 
 
 def top_n(spark, d):
@@ -286,8 +345,14 @@ def top_n(spark, d):
 
 
 def top_n_sector_capped(spark, d):
-    longs, shorts = (L.top(_scored_latest(spark, d), 8, 2, up) for up in (False, True))
-    return _round(longs.withColumn("side", F.lit("long")).unionByName(shorts.withColumn("side", F.lit("short"))))
+    return _round(L.both_sides(_scored_latest(spark, d), 8, 2))
+
+
+def serve_stored_model(spark, d):
+    """Save a model, load it, and list both ends of the last date's names."""
+    path = f"{shared_dir(spark)}/ridgeline-model-{uuid.uuid4().hex}"
+    R.save_model(spark, path, R.StoredModel(FORMULAS, WEIGHTS, FEATURE_COLS))
+    return _round(R.candidates(T.operands(spark, d), R.load_model(spark, path), 10))
 
 
 def sector_counts(spark, d):
@@ -295,7 +360,7 @@ def sector_counts(spark, d):
 
 
 def resolve_predictions(spark, d):
-    realized = _alpha(spark, d).where(F.col("ticker").cast("int") % 3 == 0).select("date", "ticker", (F.col("fwd_ret") + 1).alias("fwd_ret"))
+    realized = _alpha(spark, d).select("date", "ticker", (F.col("fwd_ret") + 1).alias("fwd_ret"))
     return _round(D.resolve(_log(spark, d), realized))
 
 
@@ -346,6 +411,12 @@ def union_oos(spark, d):
     return _round(_oos(spark, d).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("alpha").alias("mean_alpha"), correlation("alpha", "fwd_ret").alias("corr")))
 
 
+def oos_sample(spark, d):
+    """At most 5,000 out-of-sample rows, for a plot of predictions against outcomes."""
+    rows = _oos(spark, d).select("date", "ticker", "alpha", "fwd_ret", F.concat_ws("|", "ticker", F.col("date").cast("string")).alias("key"))
+    return _round(sampled(rows, 5000, "key").drop("key"))
+
+
 def windowed_events(spark, d):
     from ridgeline.streaming.flows import windowed_counts
 
@@ -355,42 +426,55 @@ def windowed_events(spark, d):
 def genetic_search(spark, d):
     rows, (*_, fold) = _search(spark, d)
     train = rows.where(F.col("date") <= F.lit(fold.train_cutoff)).cache()
-    pool = N.Genetic(N.Settings(population=20, generations=3)).mine(train, SCREENED, "fwd_ret", 7)
+    pool = N.mine_seeds(N.Genetic(N.Settings(**SEARCH)), train, FEATURE_COLS, "fwd_ret", [7, 8])
+    train.unpersist()
     return spark.createDataFrame(list(zip(pool.formulas, pool.scores, strict=True)), "formula string, train_ic double")
 
 
 def pareto_search(spark, d):
     rows, (*_, fold) = _search(spark, d)
     train = rows.where(F.col("date") <= F.lit(fold.train_cutoff)).cache()
-    pool = N.Pareto(N.Settings(population=20, generations=3, ops=N.PLAIN_OPS, dialect="plain", batch_days=60)).mine(train, SCREENED, "fwd_ret", 7)
+    pool = N.Pareto(N.Settings(**SEARCH, ops=N.PLAIN_OPS, dialect="plain", metric="pearson", batch_days=60)).mine(train, FEATURE_COLS, "fwd_ret", 7)
+    train.unpersist()
     return spark.createDataFrame(list(zip(pool.formulas, pool.scores, strict=True)), "formula string, train_ic double")
 
 
 def second_stage_search(spark, d):
     rows, _ = _search(spark, d)
-    pool, uses = N.second_stage(rows.cache(), SCREENED, ["mean_close_5 - vwap", "square(ret_1d)"], "fwd_ret", N.Genetic(N.Settings(population=16, generations=2)), 3)
+    rows = rows.cache()
+    pool, uses = N.second_stage(rows, FEATURE_COLS, ["mean_close_5 - vwap", "square(ret_1d)"], "fwd_ret", N.Genetic(N.Settings(**SEARCH)), 3)
+    rows.unpersist()
     return spark.createDataFrame([(f, v, uses) for f, v in zip(pool.formulas, pool.scores, strict=True)], "formula string, train_ic double, with_meta int")
 
 
 def walk_forward(spark, d):
     rows, folds = _search(spark, d)
-    return W.walk_forward(rows, SCREENED, folds, settings=N.Settings(population=16, generations=2), alpha=1e-5)[0]
+    return W.walk_forward(rows, FEATURE_COLS, folds, settings=N.Settings(**SEARCH | {"generations": 2}), alpha=1e-5)[0]
 
 
 def complexity_sweep(spark, d):
     rows, folds = _search(spark, d)
-    return W.complexity_sweep(rows, SCREENED, folds, [5, 12], N.Settings(population=12, generations=2), alpha=1e-5)
+    return W.complexity_sweep(rows, FEATURE_COLS, folds, [5, 12], N.Settings(**SEARCH | {"population": 16, "generations": 2}), alpha=1e-5)
 
 
 def elasticnet_baseline(spark, d):
     rows, folds = _search(spark, d)
-    return W.baseline(rows, SCREENED, folds)[0]
+    return W.baseline(rows, FEATURE_COLS, folds)[0]
 
 
 def boosted_trees_importance(spark, d):
     rows, (*_, fold) = _search(spark, d)
     train = rows.where(F.col("date") <= F.lit(fold.train_cutoff))
-    return M.boosted_trees_fit_predict(train, rows.where(F.col("date") > F.lit(fold.train_cutoff)), SCREENED, trees=10)[1]
+    return M.boosted_trees_fit_predict(train, rows.where(F.col("date") > F.lit(fold.train_cutoff)), FEATURE_COLS, trees=10)[1]
+
+
+def preflight(spark, d):
+    """One row: both baselines, the go rule and the consensus ranking, from the linear model and ten-tree boosting."""
+    rows, folds = _search(spark, d)
+    M.FIT_PREDICT.setdefault("ten_trees", partial(M.boosted_trees_fit_predict, trees=10))
+    found = W.preflight(rows, FEATURE_COLS, folds, 5, "ten_trees")
+    row = (found["elasticnet"]["mean_ic"], found["elasticnet"]["mean_sharpe"], found["ten_trees"]["mean_ic"], found["go"], found["reasoning"], found["recommended_top_n"])
+    return spark.createDataFrame([row], "linear_ic double, linear_sharpe double, trees_ic double, go boolean, reasoning array<string>, recommended_top_n array<string>")
 
 
 def remine_policy(spark, d):
@@ -399,12 +483,12 @@ def remine_policy(spark, d):
 
 
 _ORDER = [
-    typical_price, ret_1d, rolling_mean, rolling_std, rolling_sum, delta, ewma, momentum, rolling_corr, fwd_return, sector_attach, sector_neutral_target, zscore, features_full, live_latest,
-    daily_ic, daily_rank_ic, ic_series_skip, global_ic, feature_screen, variance_flags, consensus_rank, go_rule, folds, time_split, embargo_split, decile_backtest, decile_sector_neutral, ic_weighted,
-    ic_weighted_sector_neutral, period_metrics, equity_curve, psr_moments, deflated_sharpe, formula_eval, formula_eval_protected, formula_dedup, explain_nodes, pool_report, gram_matrix, lasso_combine,
-    walk_forward_combine, composite_score, top_n, top_n_sector_capped, sector_counts, record_prediction, resolve_predictions, weekly_ic, baseline_stats, drift_timeline, remine_decision, remine_policy,
-    book_best, book_depth_imbalance, book_features, fold_summary, overfit_rule, union_oos, windowed_events, genetic_search, pareto_search, second_stage_search, walk_forward, complexity_sweep,
-    elasticnet_baseline, boosted_trees_importance,
+    typical_price, ret_1d, rolling_mean, rolling_std, rolling_sum, delta, ewma, momentum, rolling_corr, fwd_return, sector_attach, sector_neutral_target, zscore, store_bars, store_operands, features_full, live_latest,
+    daily_ic, daily_rank_ic, ic_series_skip, global_ic, global_rank_ic, distinct_counts, feature_screen, variance_flags, consensus_rank, select_features, mean_importance, go_rule, folds, time_split, embargo_split, decile_backtest, decile_sector_neutral, ic_weighted,
+    ic_weighted_sector_neutral, period_metrics, equity_curve, psr_moments, deflated_sharpe, formula_eval, formula_eval_protected, formula_dedup, explain_nodes, explain_ticker, pool_report, gram_matrix, lasso_combine, least_squares, lasso_one,
+    walk_forward_combine, composite_score, top_n, top_n_sector_capped, serve_stored_model, sector_counts, record_prediction, resolve_predictions, weekly_ic, baseline_stats, drift_timeline, remine_decision, remine_policy,
+    book_best, book_depth_imbalance, book_features, fold_summary, overfit_rule, union_oos, oos_sample, windowed_events, genetic_search, pareto_search, second_stage_search, walk_forward, complexity_sweep,
+    elasticnet_baseline, boosted_trees_importance, preflight,
 ]
 
 

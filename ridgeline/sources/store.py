@@ -1,11 +1,64 @@
-"""Sinks and their readers: tables as Parquet, reports as JSON."""
+"""Sinks and their readers: tables as Parquet, reports as JSON; and tables that a session builds once and reads often."""
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors and the driver can read: ``spark.checkpoint.dir``.
+
+    A session whose executors are threads of the driver and that names none gets a temporary folder; any other session
+    without one is an error, since a machine-local folder would lose data there.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"ridgeline-{os.getuid()}"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+#: Rows that a bucket of a stored table holds, about.
+BUCKET_ROWS = 2_000_000
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def bucket_count(spark: SparkSession, rows: int) -> int:
+    return max(spark.sparkContext.defaultParallelism, -(-rows // BUCKET_ROWS))
+
+
+def stored(spark: SparkSession, source: str, name: str, key: str, order: str, build: Callable[[], tuple[DataFrame, int]]) -> DataFrame:
+    """The table that ``build`` makes from the tables in ``source``, written by the first use in a session.
+
+    ``build`` returns the rows and a number of buckets. The table is bucketed by ``key`` and sorted by ``order`` in each
+    bucket, so windows and aggregates by ``key`` read it without a shuffle. It is external, in the shared folder.
+    """
+    found = (spark.sparkContext.applicationId, source, name)
+    if found not in _stored or not spark.catalog.tableExists(_stored[found]):
+        rows, buckets = build()
+        table = f"{name}_{uuid.uuid4().hex}"
+        writer = rows.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(*dict.fromkeys((key, order)))
+        writer.option("path", f"{shared_dir(spark)}/ridgeline-{table}").saveAsTable(table)
+        _stored[found] = table
+    return spark.table(_stored[found])
+
+
+def forget(spark: SparkSession, source: str) -> None:
+    """Build the tables of ``source`` anew at their next use, since what they were made from has changed."""
+    for found in [k for k in _stored if k[:2] == (spark.sparkContext.applicationId, source)]:
+        spark.sql(f"DROP TABLE IF EXISTS {_stored.pop(found)}")
+
+
 def write_table(rows: DataFrame, path: str, by: list[str] | None = None, mode: str = "overwrite") -> None:
     writer = rows.write.mode(mode)
     (writer.partitionBy(*by) if by else writer).parquet(path)
@@ -20,6 +73,23 @@ def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
+def rewrite_log(spark: SparkSession, path: str, schema: T.StructType, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Replace the log by ``change`` of it. The new log is written beside the old one before it takes its place."""
+    new = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    change(read_log(spark, path, schema)).write.option("header", True).csv(new)
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.rename(fs_path(path), fs_path(f"{new}-old"))
+    fs.rename(fs_path(new), fs_path(path))
+    fs.delete(fs_path(f"{new}-old"), True)
+    return read_log(spark, path, schema)
+
+
+def sampled(rows: DataFrame, most: int, key: str, seed: int = 0) -> DataFrame:
+    """At most ``most`` rows, drawn by hash of the text ``key`` and ``seed``: a top-k per task, no sort of the whole."""
+    return rows.orderBy(F.md5(F.concat_ws("|", key, F.lit(str(seed))).cast("binary")), key).limit(most)
+
+
 def write_report(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgeline.operators import features as P
+from ridgeline.sources.store import bucket_count, stored
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,6 +33,35 @@ def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").join(F.broadcast(named), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").cast("string").alias("ticker"), F.col("r_name").alias("sector"))
 
 
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``panel``, stored in buckets of tickers, so that windows over a ticker's history need no shuffle."""
+
+    def build():
+        return panel(spark, sf_dir), bucket_count(spark, table(spark, sf_dir, "lineitem").count())
+
+    return stored(spark, sf_dir, "bars", "ticker", "date", build)
+
+
+def operands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operand rows of all bars with sector and label, stored in buckets of dates."""
+
+    def build():
+        rows = bars(spark, sf_dir)
+        return P.build_operands(rows, universe(spark, sf_dir)), bucket_count(spark, rows.count())
+
+    return stored(spark, sf_dir, "operands", "date", "ticker", build)
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training rows, stored in buckets of dates; made from the stored operands without a shuffle."""
+
+    def build():
+        rows = operands(spark, sf_dir)
+        return P.training(rows), bucket_count(spark, rows.count())
+
+    return stored(spark, sf_dir, "features", "date", "ticker", build)
+
+
 def book_levels(events: DataFrame) -> DataFrame:
     """One row per level: events in six-hour buckets, even ids bids below 500, odd ids asks above."""
     bid = F.col("event_id") % 2 == 0

@@ -1,3 +1,4 @@
+import datetime as dt
 import math
 
 import duckdb
@@ -16,10 +17,14 @@ from ridgeline.operators import monitor as D
 from ridgeline.operators import orderbook as O
 from ridgeline.operators import selection as L
 from ridgeline.operators import significance as G
+from ridgeline import schema
 from ridgeline.plans import mining as N
+from ridgeline.plans import serving as R2
 from ridgeline.plans.oracles import oracle_sql
 from ridgeline.plans.queries import queries
 from ridgeline.sources import providers as R
+from ridgeline.sources import store
+from ridgeline.sources import testdata as T
 
 SF = "/root/testdata/sf0.001"
 
@@ -192,7 +197,7 @@ def test_search_is_repeatable(spark):
     assert pool.formulas == engine.mine(frame, ["a", "b"], "fwd_ret", 1).formulas and pool.scores[0] > 0.5
 
 
-@pytest.mark.parametrize("name", ["rolling_std", "ewma", "features_full", "daily_ic", "feature_screen", "top_n_sector_capped", "book_features", "drift_timeline"])
+@pytest.mark.parametrize("name", ["rolling_std", "ewma", "features_full", "daily_ic", "feature_screen", "top_n_sector_capped", "explain_ticker", "book_features", "drift_timeline", "decile_sector_neutral", "global_rank_ic", "pool_report", "oos_sample", "deflated_sharpe", "least_squares"])
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events".split():
@@ -200,7 +205,7 @@ def test_queries_against_sql(spark, name):
     got = queries()[name](spark, SF).toPandas()
     want = con.execute(oracle_sql()[name]).df()[list(got.columns)]
     keys = [c for c in got.columns if got[c].dtype == object or c in ("bucket", "as_of")]
-    got, want = (x.assign(**{c: x[c].astype(str).str[:10] for c in keys}).sort_values(keys).reset_index(drop=True) for x in (got, want))
+    got, want = (x.assign(**{c: x[c].astype(str).str[: 10 if "date" in c else None] for c in keys}).sort_values(keys).reset_index(drop=True) for x in (got, want))
     assert len(got) == len(want)
     for c in got.columns:
         if c in keys or got[c].dtype == bool:
@@ -209,6 +214,158 @@ def test_queries_against_sql(spark, name):
             assert np.allclose(got[c].astype(float), want[c].astype(float), atol=2e-6, equal_nan=True), c
 
 
+def test_decayed_mean_over_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK", 300)
+    rng = np.random.default_rng(4)
+    closes = [None, None, *rng.uniform(50, 60, 1300).tolist()]
+    closes[900:1250] = [None] * 350
+    got = column(P.with_operands(one_ticker(spark, closes), ["ewma_close_5"]), "ewma_close_5")
+    want = pd.Series(closes, dtype=float).ewm(halflife=5, ignore_na=False).mean()
+    assert got[:2] == [None, None] and None not in got[2:] and np.allclose(got[2:], want[2:], rtol=1e-12)
+    with pytest.raises(ValueError):
+        P.with_decayed_means(one_ticker(spark, closes), [50])
+
+
+def test_ticker_outside_the_universe(spark):
+    rows = P.attach_sector(one_ticker(spark, [1.0]), spark.createDataFrame([("B", "Energy")], "ticker string, sector string"))
+    assert rows.first().sector == "Unknown"
+
+
+def test_stored_tables_need_no_shuffle(spark):
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    assert "Exchange" not in plan(P.with_operands(T.bars(spark, SF)))
+    features = T.features(spark, SF)
+    ics = plan(I.daily_ic(features, "vwap", "fwd_ret"))
+    assert "Exchange" not in ics and "ReadSchema: struct<date:date,vwap:double,fwd_ret:double>" in ics
+    assert "PushedFilters: [IsNotNull(date), EqualTo(date" in plan(T.operands(spark, SF).where("date = date'2000-01-03'"))
+    same = T.features(spark, SF)
+    assert same.inputFiles() == features.inputFiles()
+    store.forget(spark, SF)
+    assert T.features(spark, SF).inputFiles() != same.inputFiles()
+
+
+def test_live_rows_are_the_last_bars(spark):
+    operands = T.operands(spark, SF)
+    last = operands.agg(F.max("date")).first()[0]
+    live = P.live_latest(operands)
+    assert {r.date for r in live.collect()} == {last} and T.features(spark, SF).agg(F.max("date")).first()[0] < last
+    slow = P.latest(P.live_features(T.panel(spark, SF), T.universe(spark, SF)))
+    assert {r.ticker: round(r.vwap, 9) for r in live.collect()} == {r.ticker: round(r.vwap, 9) for r in slow.collect()}
+
+
+def test_stored_model_and_its_checks(spark, tmp_path):
+    model = R2.StoredModel(["vwap + mom_60", "ret_1d"], [0.5, 0.0], ["vwap", "mom_60", "ret_1d"])
+    R2.save_model(spark, str(tmp_path / "m"), model)
+    assert R2.load_model(spark, str(tmp_path / "m")) == model
+    with pytest.raises(ValueError, match="no model"):
+        R2.load_model(spark, str(tmp_path / "none"))
+    with pytest.raises(ValueError, match="2 formulas, 1 weights"):
+        R2.StoredModel(model.formulas, [1.0], model.features).check()
+    with pytest.raises(ValueError, match="mom_60"):
+        R2.StoredModel(model.formulas, model.weights, ["vwap", "ret_1d"]).check()
+    with pytest.raises(ValueError, match="lacks columns"):
+        R2.score_live(T.operands(spark, SF).drop("mom_60"), model)
+    with pytest.raises(ValueError, match="no formula"):
+        R2.explain_ticker(T.operands(spark, SF), R2.StoredModel(["vwap"], [0.0], ["vwap"]), "1")
+
+
+def test_both_sides_are_the_two_lists(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"t{k:02}", f"s{rng.integers(4)}", float(rng.integers(20))) for k in range(50)] + [("x", "s0", None), ("nan", "s1", float("nan"))]
+    frame = spark.createDataFrame(rows, "ticker string, sector string, alpha double")
+    for cap in (None, 2):
+        got = {(r.ticker, r.side) for r in L.both_sides(frame, 6, cap).collect()}
+        assert got == {(r.ticker, s) for s, up in (("long", False), ("short", True)) for r in L.top(frame, 6, cap, up).collect()}
+
+
+def test_global_rank_correlation_with_ties(spark):
+    rng = np.random.default_rng(7)
+    x, y = rng.integers(0, 40, 3000).astype(float), rng.normal(size=3000)
+    y[:1500] += x[:1500] / 10
+    frame = spark.createDataFrame([*((float(a), float(b)) for a, b in zip(x, y, strict=True)), (None, 1.0), (1.0, None)], "p double, y double")
+    want = np.corrcoef(pd.Series(x).rank(), pd.Series(y).rank())[0, 1]
+    assert I.global_corr(frame, "p", "y", "spearman").first().ic == pytest.approx(want, abs=1e-12)
+    assert I.global_corr(frame.limit(0), "p", "y", "spearman").first().ic == 0.0
+
+
+def test_population_ic_by_rank(spark):
+    rng = np.random.default_rng(9)
+    rows = [(d, float(a), float(b), float(a + rng.normal())) for d in range(5) for a, b in rng.normal(size=(30, 2))]
+    frame = spark.createDataFrame(rows, "date int, a double, b double, fwd_ret double")
+    nodes = [X.parse("a"), X.parse("mul(a, b)"), X.parse("0.5")]
+    got = N.population_ic(frame, nodes, "fwd_ret", "protected", "spearman")
+    data = pd.DataFrame(rows, columns=["date", "a", "b", "y"]).assign(ab=lambda t: t.a * t.b)
+    want = [np.mean([t[c].rank().corr(t.y.rank()) for _, t in data.groupby("date")]) for c in ("a", "ab")]
+    assert got == pytest.approx([*want, 0.0])
+
+
+def test_pools_of_several_seeds_hold_each_formula_once(spark):
+    class Fixed:
+        def mine(self, rows, features, y, seed):
+            return N.Pool([f"a{seed % 3}", "b"], [seed / 10, 0.5], "plain")
+
+    pool = N.mine_seeds(Fixed(), None, [], "y")
+    assert pool.formulas == ["a0", "b", "a1", "a2"] and pool.scores == [0.0, 0.5, 0.1, 0.2] and pool.dialect == "plain"
+
+
+def test_trials_from_fold_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"sharpe": 0.5, "fold": 1}, {"sharpe": NaN}, {"sharpe": 1.5}, {"other": 1}]')
+    (tmp_path / "b.json").write_text('[{"sharpe": -1.0}]')
+    got = {r.trial: r.sharpe for r in G.per_period_trials(G.read_trials(spark, {n: str(tmp_path / f"{n}.json") for n in "ab"})).collect()}
+    assert got == pytest.approx({"a": 1.0 / 50.4**0.5, "b": -1.0 / 50.4**0.5})
+
+
+def test_feature_subsets():
+    assert schema.feature_columns(["date", "ticker", "close", "vwap", "sector", "fwd_ret", "mom_60"]) == ["vwap", "mom_60"]
+    assert schema.resolve_subset(None, ["a"]) == ["a"] and schema.resolve_subset(" a, b", ["a", "b", "c"]) == ["a", "b"] and schema.resolve_subset("preflight", ["a"], ["x"]) == ["x"]
+    for bad in ("a,z", "preflight"):
+        with pytest.raises(ValueError):
+            schema.resolve_subset(bad, ["a"])
+
+
+def test_preflight_of_a_clear_signal(spark):
+    from ridgeline.plans.validation import preflight
+
+    rng = np.random.default_rng(3)
+    days = [dt.date(2024, 1, 1) + dt.timedelta(k) for k in range(50)]
+    rows = [(d, f"t{i:02}", "s", float(a), float(b), float(0.2 * a + rng.normal() * 0.05)) for d in days for i, (a, b) in enumerate(rng.normal(size=(25, 2)))]
+    frame = spark.createDataFrame(rows, "date date, ticker string, sector string, a double, b double, fwd_ret double").cache()
+    found = preflight(frame, ["a", "b"], V.make_folds(days, 2, 0.4), 1, "elasticnet")
+    assert found["go"] and found["recommended_top_n"] == ["a"] and found["elasticnet"]["mean_ic"] > 0.9 and "worth" in found["reasoning"][0]
+    frame.unpersist()
+
+
+def test_logs_and_reports_round_trip(spark, tmp_path):
+    log = spark.createDataFrame([(dt.date(2024, 1, 1), "A", 1.0, None, False), (dt.date(2024, 1, 1), "B", 2.0, None, False)], schema.PREDICTIONS)
+    path = str(tmp_path / "log")
+    store.append_log(log.where("ticker = 'A'"), path)
+    store.append_log(log.where("ticker = 'B'"), path)
+    assert store.read_log(spark, path, schema.PREDICTIONS).count() == 2
+    new = spark.createDataFrame([(dt.date(2024, 1, 1), "A", 0.25)], "date date, ticker string, fwd_ret double")
+    got = store.rewrite_log(spark, path, schema.PREDICTIONS, lambda old: D.resolve(old, new))
+    assert sorted((r.ticker, r.realized_fwd_ret, r.resolved) for r in got.collect()) == [("A", 0.25, True), ("B", None, False)]
+    store.write_report(log, str(tmp_path / "report"))
+    assert store.read_report(spark, str(tmp_path / "report")).count() == 2
+
+
+def test_streamed_outcomes_meet_predictions(spark, tmp_path):
+    from ridgeline.streaming.flows import resolve_stream
+
+    t0 = dt.datetime(2024, 1, 1)
+    day = dt.timedelta(days=1)
+    p = spark.createDataFrame([(t0, "A", 1.0), (t0, "B", 2.0), (t0 + 60 * day, "C", 0.0)], "predict_ts timestamp, ticker string, alpha double")
+    o = spark.createDataFrame([(t0 + 5 * day, "A", 0.1), (t0 + 30 * day, "B", 0.9), (t0 + 61 * day, "Z", 0.0)], "outcome_ts timestamp, ticker string, fwd_ret double")
+    for name, rows in (("p", p), ("o", o)):
+        rows.coalesce(1).write.parquet(str(tmp_path / name))
+    streams = [spark.readStream.schema(x.schema).parquet(str(tmp_path / n)) for n, x in (("p", p), ("o", o))]
+    out = resolve_stream(*streams).writeStream.format("memory").queryName("met").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
+    out.awaitTermination(120)
+    got = {(r.ticker, r.fwd_ret, r.resolved) for r in spark.table("met").collect()}
+    assert ("A", 0.1, True) in got and ("B", None, False) in got
+
+
 def test_validation_goes_over_all_folds(spark, monkeypatch):
     from ridgeline.plans import queries as Q
 
