@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions.guards import complete
-from ridgeline.operators.combine import Gram, _gram, descend, gram_aggregates, objective, weighted
+from ridgeline.operators.combine import Gram, descend, descend_together, objective, weighted, wide_grams
 
 #: Mixing ratios, folds and path length of the elastic-net search.
 RATIOS, CV_FOLDS, PATH, LEAST = (0.1, 0.5, 0.9, 1.0), 3, 100, 1e-3
@@ -33,29 +33,23 @@ def elastic_net(train: DataFrame, features: list[str], y: str = "fwd_ret") -> tu
     Gram matrices come from one aggregation."""
     k = len(features)
     rows = contiguous_folds(complete(train, [*features, y]), CV_FOLDS).withColumn("_one", F.lit(1.0))
-    parts = [_gram(r, k + 1) for r in rows.groupBy("_cv").agg(*gram_aggregates([*features, "_one"], y)).orderBy("_cv").collect()]  # a row per fold
+    parts = wide_grams(rows, [*features, "_one"], y, "_cv")
     whole = parts[0]
     for p in parts[1:]:
         whole = whole + p
     centred, means = _centred(whole, k)
-    tolerance = 1e-5 * max(centred.yy / max(1, centred.n), 1e-24) ** 0.5  # of the target's deviation
-    best = (np.inf, 0.0, 1.0)
-    for ratio in RATIOS:
-        top = max(np.abs(centred.xy).max() / max(1, centred.n) / ratio, 1e-12)
-        path = np.geomspace(top, top * LEAST, PATH)
-        errors = np.zeros(PATH)
-        for p in parts:
-            rest = Gram(whole.n - p.n, whole.xx - p.xx, whole.xy - p.xy, whole.yy - p.yy)
-            fit, mu = _centred(rest, k)
-            w = np.zeros(k)
-            for a, alpha in enumerate(path):
-                w = descend(fit, alpha, ratio, 5000, tolerance, w)
-                b = mu[k] - mu[:k] @ w
-                full = np.append(w, b)
-                errors[a] += objective(p, full, 0.0) * 2
-        a = int(errors.argmin())
-        best = min(best, (errors[a], path[a], ratio))
-    w = descend(centred, best[1], best[2], 5000, tolerance * 1e-3)
+    fits = [_centred(Gram(whole.n - p.n, whole.xx - p.xx, whole.xy - p.xy, whole.yy - p.yy), k) for p in parts]
+    top = {r: max(np.abs(centred.xy).max() / max(1, centred.n) / r, 1e-12) for r in RATIOS}
+    paths = {r: np.geomspace(t, t * LEAST, PATH) for r, t in top.items()}
+    cases = [(r, f) for r in RATIOS for f in range(len(parts))]
+    w, errors = np.zeros((len(cases), k)), {r: np.zeros(PATH) for r in RATIOS}
+    for a in range(PATH):  # all ratios and folds walk down their paths together
+        w = descend_together([fits[f][0] for _, f in cases], np.array([paths[r][a] for r, _ in cases]), np.array([r for r, _ in cases]), 5000, 1e-4, w)
+        for row, (r, f) in zip(w, cases, strict=True):
+            mu = fits[f][1]
+            errors[r][a] += objective(parts[f], np.append(row, mu[k] - mu[:k] @ row), 0.0) * 2
+    best = min((errors[r].min(), paths[r][errors[r].argmin()], r) for r in RATIOS)
+    w = descend(centred, best[1], best[2], 5000, 1e-8 * max(centred.yy / max(1, centred.n), 1e-24) ** 0.5)
     return w, float(means[k] - means[:k] @ w), best[1], best[2]
 
 

@@ -128,6 +128,26 @@ def test_lasso_keeps_constant_columns(spark):
     assert all(C.objective(g, w, 1e-3) <= C.objective(g, w + d, 1e-3) + 1e-12 for d in np.eye(3) * 1e-4)
 
 
+def test_wide_grams_are_the_sums(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 3))
+    frame = spark.createDataFrame([(int(k % 2), *map(float, r)) for k, r in enumerate(x)], "part int, a double, b double, y double").repartition(3)
+    for got, part in zip(C.wide_grams(frame, ["a", "b"], "y", "part"), (x[::2], x[1::2]), strict=True):
+        assert got.n == 30 and np.allclose(got.xx, part[:, :2].T @ part[:, :2]) and np.allclose(got.xy, part[:, :2].T @ part[:, 2]) and np.isclose(got.yy, part[:, 2] @ part[:, 2])
+
+
+def test_descents_together_are_those_alone():
+    rng = np.random.default_rng(2)
+    grams = []
+    for n in (50, 80):
+        x = rng.normal(size=(n, 4)) * [1, 1, 0, 2]
+        y = x @ [0.5, -1, 0, 0.2] + rng.normal(size=n)
+        grams.append(C.Gram(n, x.T @ x, x.T @ y, float(y @ y)))
+    got = C.descend_together(grams, np.array([0.1, 0.02]), np.array([1.0, 0.5]), 5000, 1e-13, np.zeros((2, 4)))
+    for row, g, a, r in zip(got, grams, (0.1, 0.02), (1.0, 0.5), strict=True):
+        assert np.allclose(row, C.descend(g, a, r), atol=1e-9)
+
+
 def test_capped_list_is_the_greedy_one(spark):
     rng = np.random.default_rng(5)
     rows = [(f"t{k:02}", f"s{rng.integers(4)}", float(rng.integers(30))) for k in range(60)]
