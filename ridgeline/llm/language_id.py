@@ -169,19 +169,26 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
 def fit(train: DataFrame, sample: int = 2400) -> Model | None:
     """Fit on ``train(doc_id, text, lang)``; rows without a language are left out. None if no row is left.
 
-    ``sample`` bounds the rows that reach the driver, in equal shares per language (at least 8 each).
+    ``sample`` bounds the rows that reach the driver, in equal shares per language (at least 8 each). The rows of a
+    language are cut by a hash of the id that lets about twice its share through, so no task sees a language's rows;
+    of those the ones with the smallest hashes count. Of rows that repeat an id and language one counts: the one with
+    the smallest n-grams.
     """
     train = train.where("lang is not null")
-    languages = sorted(r.lang for r in train.select("lang").distinct().collect())  # one row per language
+    sizes = {r.lang: r.n for r in train.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()}  # one row per language
+    languages = sorted(sizes)
     if not languages:
         return None
     df, n = document_frequencies(train.select(F.coalesce("text", F.lit("")).alias("text")))
     idf = np.log((1 + n) / (1 + df)) + 1.0
     share = max(8, sample // len(languages))
     order = F.xxhash64(F.col("doc_id").cast("string"))
-    # ids alone are ranked: texts would meet in one task per language, as many from each input split as the sample has
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
-    picked = train.where("doc_id is not null").select("doc_id", "lang", place.alias("place")).where(F.col("place") <= share).select("doc_id", "lang").distinct()
+    cut = F.lit(None).cast("double")
+    for lang, n in sizes.items():
+        cut = F.when(F.col("lang") == lang, F.lit((2 * share + 50) / max(1, n))).otherwise(cut)
+    near = train.where("doc_id is not null").where(order / F.lit(2.0**64) + 0.5 < cut).select("doc_id", "lang", order.alias("h")).distinct()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))  # about 2 * share + 50 rows each
+    picked = near.withColumn("place", place).where(F.col("place") <= share).select("doc_id", "lang")
     held = train.join(F.broadcast(picked), ["doc_id", "lang"])  # at most ``sample`` ids, or 8 a language
 
     def sparse(batches):
@@ -192,11 +199,13 @@ def fit(train: DataFrame, sample: int = 2400) -> Model | None:
                 found = grams(points, first)
                 cells = [np.unique(_text_grams(found, a, b), return_counts=True) for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("lang").slice(i, j - i), pa.array([c.astype(np.int32).tobytes() for c, _ in cells], pa.binary()), pa.array([v.astype(np.int32).tobytes() for _, v in cells], pa.binary())],
-                    ["lang", "cells", "counts"],
+                    [batch.column("doc_id").slice(i, j - i), batch.column("lang").slice(i, j - i), pa.array([c.astype(np.int32).tobytes() for c, _ in cells], pa.binary()), pa.array([v.astype(np.int32).tobytes() for _, v in cells], pa.binary())],
+                    ["doc_id", "lang", "cells", "counts"],
                 )
 
-    got = held.select("text", "lang").mapInArrow(sparse, "lang string, cells binary, counts binary").collect()
+    each = held.select("doc_id", "text", "lang").mapInArrow(sparse, "doc_id long, lang string, cells binary, counts binary")
+    one = each.groupBy("doc_id", "lang").agg(F.min(F.struct("cells", "counts")).alias("x")).select("lang", "x.cells", "x.counts")
+    got = one.collect()  # at most as many rows as ids were picked
     rows, y = [], []
     for r in sorted(got, key=lambda r: (r.lang, r.cells, r.counts)):
         cells = np.frombuffer(r.cells, np.int32)
