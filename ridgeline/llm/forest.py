@@ -3,16 +3,19 @@
 Largest inner product becomes smallest angle by one more component, sqrt(M^2 - |x|^2) with M the largest norm (0 for
 queries). Each tree splits a bounded sample at medians of projections on differences of two sample points; every row is
 then routed to its leaf in every tree. A query walks all trees through one priority queue: the node whose smallest
-margin on its path is best is opened next, and leaves are taken until they hold ``search`` times as many candidates as
-there are distinct vectors. Candidates are scored exactly, in double precision on the original vectors.
+margin on its path is best is opened next, and leaves are taken until they hold a given number of candidates. Candidates
+are scored exactly, in double precision on the original vectors.
+
+How many candidates that must be hangs on the data, so it is measured: a bounded number of queries is scored against every
+vector, and the search goes as deep as nine in ten and a half of their true neighbours need (``target``). On clustered
+vectors that is a small share of the table. Vectors without structure (independent directions in 64 dimensions) have no
+near neighbours to speak of: there any partition tree must look at most of the table to find the 20 largest of many
+near-equal products, and the measurement says so.
 
 Equal vectors are one entry with its ``k + 1`` smallest ids: no other id of that vector can be among anyone's k
 nearest. Leaves lie in groups of bounded size, of which a task sees one with a bounded block of the queries that visit
-it, and hands on at most k + 1 entries a query (more only at exact ties).
-
-Vectors without structure (independent directions in 64 dimensions) have no near neighbours to speak of: there any
-partition tree must look at most of the table to find the 20 largest of many near-equal products. The default
-``search`` is set for that case; for clustered vectors a small share does.
+it, and hands on at most k + 1 entries a query (more only at exact ties). Vectors that many rows or many queries share
+are joined by broadcast, so none of them meets all its rows in one task.
 """
 
 from __future__ import annotations
@@ -25,9 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.shared import let_workers_import, materialize
+from ridgeline.llm.shared import join_hot, let_workers_import, materialize
 
-TREES, LEAF_ROWS, SAMPLE, SEARCH, QUERY_BLOCK = 8, 400, 16_000, 1.5, 8192
+TREES, LEAF_ROWS, SAMPLE, QUERY_BLOCK = 8, 400, 16_000, 8192
+#: Share of the true neighbours of the ``PROBES`` measured queries that the search must reach.
+TARGET, PROBES = 0.95, 128
 #: Bytes of vectors that a task holds; every group of leaves hands on its own k + 1 entries a query, so few large ones.
 GROUP_BYTES = 32 << 20
 _SAMPLE_PER_LEAF = 16
@@ -53,7 +58,7 @@ class Forest(NamedTuple):
         return at - (2**self.depth - 1)
 
     def visit(self, query: np.ndarray, sizes: np.ndarray, want: float) -> list[tuple[int, int]]:
-        """(tree, leaf) in the order of the shared queue until the leaves hold ``want`` entries."""
+        """(tree, leaf) in the order of the shared queue until the leaves hold ``want`` entries, empty leaves left out."""
         lifted = np.append(query, 0.0)
         margins = self.normals @ lifted - self.splits
         inner = 2**self.depth - 1
@@ -114,11 +119,62 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.size("v") == (sizes.d if sizes else 1))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, leaf_rows: int = LEAF_ROWS, search: float = SEARCH, sample: int = SAMPLE) -> DataFrame:
+def needed(forest: Forest, sizes: np.ndarray, queries: np.ndarray, found: list[np.ndarray], target: float) -> float:
+    """How many entries the leaves visited must hold so that a share ``target`` of the neighbours ``found`` (a matrix for
+    each query) is among them."""
+    costs = []
+    for query, near in zip(queries, found, strict=True):
+        if not len(near):
+            continue
+        order = forest.visit(query, sizes, np.inf)
+        total = np.cumsum([sizes[t, leaf] for t, leaf in order])
+        at = np.full(sizes.shape, np.inf)
+        for (t, leaf), n in zip(order, total, strict=True):
+            at[t, leaf] = n
+        lifted = forest.lift(near)
+        costs.append(np.min([at[t, forest.leaves(lifted, t)] for t in range(len(sizes))], axis=0))
+    return float(np.quantile(np.concatenate(costs), target, method="higher")) if costs else 0.0
+
+
+def probe(entries: DataFrame, queries: np.ndarray, k: int, dim: int) -> list[np.ndarray]:
+    """The true k nearest entries of each of a few query vectors, themselves left out: a scan in which every task keeps
+    its best and Spark merges those."""
+    shared = entries.sparkSession.sparkContext.broadcast(queries)
+
+    def best(batches):
+        q = shared.value
+        top, held = np.full((len(q), k), -np.inf), np.zeros((len(q), k, dim))
+        for batch in batches:
+            x = _matrix(batch.column("v"), dim)
+            for s in range(0, len(x), 4096):
+                part = x[s : s + 4096]
+                score = q @ part.T
+                i, j = np.nonzero(q[:, None, 0] == part[None, :, 0])
+                own = (q[i] == part[j]).all(axis=1)
+                score[i[own], j[own]] = -np.inf
+                both = np.concatenate((top, score), axis=1)
+                pick = np.argsort(-both, axis=1, kind="stable")[:, :k]
+                held = np.stack([np.concatenate((held[i], part[np.maximum(p - k, 0)]))[np.where(p < k, p, k + np.arange(k))] for i, p in enumerate(pick)])
+                top = np.take_along_axis(both, pick, axis=1)
+        i, j = np.nonzero(top > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(top[i, j]), pa.array(list(held[i, j]), pa.list_(pa.float64()))], ["q", "score", "v"])
+
+    each = entries.select("v").mapInArrow(best, "q int, score double, v array<double>")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "v"))
+    rows = each.withColumn("n", place).where(F.col("n") <= k).select("q", "v").collect()  # k rows for each of a few queries
+    out: list[list] = [[] for _ in queries]
+    for r in rows:
+        out[r.q].append(r.v)
+    return [np.array(v, np.float64).reshape(-1, dim) for v in out]
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, leaf_rows: int = LEAF_ROWS, search: float | None = None, sample: int = SAMPLE, target: float = TARGET) -> DataFrame:
     """``query_id, rank, <id_col>, score``: the k nearest found for each row where ``is_query``, among all other rows.
 
     Nearest first by inner product, ties to the smaller id; fewer than k only if there are fewer candidates found.
-    ``sample`` bounds the rows that the trees are fitted on; every row is indexed. Rows that repeat an id count once per
+    ``sample`` bounds the rows that the trees are fitted on; every row is indexed. ``search``: how many candidates a query
+    looks at, as a share of the distinct vectors (each is in every tree, so shares above 1 make sense); without it the
+    share is measured for ``target``, on ``PROBES`` queries chosen by hash. Rows that repeat an id count once per
     distinct vector. Unusable vectors (see ``usable``) take no part; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
@@ -155,11 +211,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         sizes[r.tree, r.leaf] = r.n
         where[r.tree, r.leaf] = r.lo, r.hi
     shared_sizes = spark.sparkContext.broadcast((sizes, where))
-    want = search * total
-
     asked = rows.where(is_query if isinstance(is_query, Column) else F.expr(is_query)).select("id", "v")
-    asking = materialize(asked.withColumn("first", F.min("id").over(Window.partitionBy("v"))), "asking")
-    distinct = asking.where("id = first").dropDuplicates(["first", "v"]).select(F.col("first").alias("q"), "v")
+    asked = materialize(asked, "asked")
+    distinct = materialize(asked.groupBy("v").agg(F.min("id").alias("q"), F.count(F.lit(1)).alias("askers")), "queries")
+    asking = materialize(join_hot(asked, distinct, "v", "askers", asked.count()).select(F.col("id").alias("query_id"), "q").distinct(), "asking")
+    if search is None:
+        few = distinct.orderBy(F.xxhash64("v")).limit(PROBES).select("v").toArrow()
+        probes = _matrix(few.column("v"), dim)
+        want = needed(forest, sizes, probes, probe(entries, probes, k, dim), target) if len(probes) else 0.0
+    else:
+        want = search * total
 
     def walk(batches):
         f = Forest(*shared.value)
@@ -178,7 +239,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out.values(), kinds, strict=True)], list(out))
 
-    visits = materialize(distinct.mapInArrow(walk, "tree int, grp long, q long, v array<double>, leaves array<int>"), "visits")
+    visits = materialize(distinct.select("q", "v").mapInArrow(walk, "tree int, grp long, q long, v array<double>, leaves array<int>"), "visits")
     blocks = visits.groupBy("tree", "grp").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("blocks"))
     left = routed.join(blocks, ["tree", "grp"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     right = visits.join(blocks, ["tree", "grp"]).withColumn("block", F.pmod(F.xxhash64("q"), F.col("blocks")).cast("int")).drop("blocks")
@@ -220,6 +281,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     each = met.select("q", "score", F.explode("ids").alias("hit"))
     by = Window.partitionBy("q").orderBy(F.desc("score"), "hit")
     best = materialize(each.withColumn("n", F.row_number().over(by)).where(F.col("n") <= k + 1).drop("n"), "nearest")
-    answers = asking.select(F.col("id").alias("query_id"), F.col("first").alias("q")).distinct().join(best, "q").where("hit <> query_id")
+    sized = best.join(asking.groupBy("q").agg(F.count(F.lit(1)).alias("askers")), "q")
+    answers = join_hot(asking, sized, "q", "askers", asking.count()).where("hit <> query_id")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "hit"))
     return answers.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", F.col("hit").alias(id_col), "score")

@@ -3,6 +3,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from ridgeline.llm import forest
 from ridgeline.llm.forest import nearest
 
 SCHEMA = "vec_id long, embedding array<float>, label int, q long, v string, score double"
@@ -54,8 +55,41 @@ def test_recall_on_driver_vectors(spark):
     assert all(abs(s - scores[i][j]) < 1e-12 for i, g in got.items() for j, s in g if j in scores[i])
 
 
+def test_small_groups_and_blocks_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(900)] + [(900 + i, [1.0] * 8) for i in range(400)]
+    want = run(spark, rows, search=0.6)
+    monkeypatch.setattr(forest, "GROUP_BYTES", 4000)
+    monkeypatch.setattr(forest, "QUERY_BLOCK", 3)
+    assert run(spark, rows, search=0.6) == want
+
+
+def clustered(rng, n, clusters, dim=16):
+    centres = rng.normal(size=(clusters, dim))
+    return [(i, (centres[i % clusters] + rng.normal(size=dim) * 0.05).tolist()) for i in range(n)]
+
+
 def test_clustered_vectors_need_a_small_share(spark):
-    rng = np.random.default_rng(8)
-    centres = rng.normal(size=(60, 16))
-    rows = [(i, (centres[i % 60] + rng.normal(size=16) * 0.05).tolist()) for i in range(3000)]
+    rows = clustered(np.random.default_rng(8), 3000, 60)
     assert recall(run(spark, rows, search=0.15, leaf_rows=60), brute(rows)) >= 0.9
+
+
+def test_the_depth_of_the_search_is_measured(spark, monkeypatch):
+    found = []
+    plain = forest.needed
+    monkeypatch.setattr(forest, "needed", lambda *a: found.append(plain(*a)) or found[-1])
+    rng = np.random.default_rng(8)
+    rows = clustered(rng, 6000, 100)
+    assert recall(run(spark, rows, leaf_rows=60), brute(rows)) >= 0.9 and found[0] < 0.15 * len(rows)
+    rows = [(i, rng.normal(size=64).tolist()) for i in range(1500)]
+    assert recall(run(spark, rows), brute(rows)) >= 0.9 and found[1] > found[0]
+
+
+def test_probe_is_exact(spark):
+    rng = np.random.default_rng(1)
+    x = rng.integers(-3, 4, (500, 5)).astype(float)
+    entries = spark.createDataFrame([(r.tolist(),) for r in np.unique(x, axis=0)], "v array<double>").repartition(4)
+    for q, got in zip(x[:9], forest.probe(entries, x[:9], 7, 5), strict=True):
+        others = np.unique(x, axis=0)
+        others = others[~(others == q).all(axis=1)]
+        assert sorted((got @ q).tolist()) == sorted(np.sort(others @ q)[-7:].tolist()) and not (got == q).all(axis=1).any()
