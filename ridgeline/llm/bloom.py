@@ -1,4 +1,5 @@
-"""A Bloom filter of fixed size over a column of longs, built on the executors and broadcast.
+"""A Bloom filter over a column of longs, built on the executors and broadcast: twelve bits a key or more, as far as 8 MB
+(5 million keys) go; beyond that it lets more and more through.
 
 It only saves work: who uses it must get right results from a filter that lets everything through.
 """
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 
 from ridgeline.llm.kernels import mix
 
+LEAST_BITS, MOST_BITS = 20, 26
 _PARTS = 128
 
 
@@ -19,8 +21,9 @@ def slots(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([((h >> np.uint64(s)) & np.uint64(bits - 1)).astype(np.int64) for s in (0, 18, 36)])
 
 
-def packed(keys: DataFrame, bits: int = 1 << 23) -> np.ndarray:
-    """Packed bits (``bits / 8`` bytes, a power of two) of the only column of ``keys``."""
+def packed(keys: DataFrame) -> np.ndarray:
+    """Packed bits (a power of two of them) of the only column of ``keys``."""
+    bits = 1 << min(MOST_BITS, max(LEAST_BITS, (12 * keys.count()).bit_length()))
 
     def fill(batches):
         held = np.zeros(bits, bool)

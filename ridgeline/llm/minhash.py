@@ -8,12 +8,14 @@ Plan, none of whose steps pairs up a whole group:
 2. Each band bucket names its smallest node; members pair with it (at most 32 pairs a node). A pair goes on if its
    collision-corrected estimate from bit counts is within five standard deviations of the threshold.
 3. What goes on is confirmed on the full sets: ``100 * |A and B| >= 75 * |A or B|``.
-4. Components of the confirmed links. Buckets that still span several components are looked through to the end: their
-   nodes form families (nodes that share such buckets, directly or through others), which meet in square blocks of
-   bounded size, each node's full set shipped once per block pair. Pairs of different components whose estimate passes
-   are confirmed as in 3 right there, best estimate first and only while their components are apart, so a block hands on
-   at most one link per node. So no link that shares a bucket is lost, however large the bucket. A pair at similarity
-   0.75 shares no bucket with probability (1 - 0.75**4)**32, about 5e-6.
+4. Components of the confirmed links. Buckets that still span several components are looked through to the end, first
+   on signatures alone, bucket by bucket in square blocks of bounded size: a member stays if some member of another
+   component passes the estimate. Nodes that share a bucket by chance go here, so what stays are groups of documents that
+   are alike. These form families (nodes that share such buckets, directly or through others), which meet in blocks once
+   more, with their full sets. Pairs of different components whose estimate passes are confirmed as in 3 right there,
+   best estimate first and only while their components are apart, so a block hands on at most one link per node, and
+   never a pair that only looks alike. So no link that shares a bucket is lost, however large the bucket. A pair at
+   similarity 0.75 shares no bucket with probability (1 - 0.75**4)**32, about 5e-6.
 """
 
 from __future__ import annotations
@@ -32,7 +34,6 @@ PERMUTATIONS, ROWS, BITS = 128, 4, 4
 BANDS, LANES = PERMUTATIONS // ROWS, PERMUTATIONS * BITS // 64
 #: Members a side that meet in one task when a family is looked through.
 BLOCK = 1024
-BLOOM_BITS = 1 << 23
 
 _rng = np.random.default_rng(88001)
 _A = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,7 +112,7 @@ def least_estimate(threshold: float) -> float:
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(doc_id, set_node, shingles) of at least the ids in ``wanted(node)``, filtered at the scan by the Bloom filter.
     The node goes along, since rows may repeat an id with another text."""
-    bits = docs.sparkSession.sparkContext.broadcast(bloom.packed(wanted, BLOOM_BITS))
+    bits = docs.sparkSession.sparkContext.broadcast(bloom.packed(wanted))  # at most 8 MB
 
     def emit(batches):
         for batch in batches:
@@ -152,17 +153,70 @@ def _shared_with(one: np.ndarray, flat: np.ndarray, start: np.ndarray) -> np.nda
     return np.add.reduceat((one[at] == flat).astype(np.int64), start[:-1])
 
 
+def _differing(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """In how many of the 128 places the packed signatures ``rows`` and ``cols`` differ, all against all."""
+    z = rows[:, None, :] ^ cols[None, :, :]
+    z |= z >> np.uint64(1)
+    z = (z | (z >> np.uint64(2))) & np.uint64(0x1111111111111111)
+    return np.bitwise_count(z).sum(axis=2, dtype=np.int64)
+
+
+def most_differing(least: float) -> int:
+    return int((1 - 1 / 2**BITS) * (1 - least) * PERMUTATIONS)
+
+
+def _alike(rest: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The members of ``rest(key, node, component)`` that have a member of another component in their bucket whose
+    signature passes the estimate. Only signatures are shuffled; every bucket pair of blocks is one run of sorted rows."""
+    sizes = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = rest.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(nodes.select("node", *_SIG), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "component", *_SIG)
+    most, names = most_differing(least), ["key", "lo", "hi", "block", "node", "component", *_SIG]
+
+    def near(batches):
+        held: list[np.ndarray] | None = None
+
+        def settle(cols, edges):
+            key, _, _, block, node, comp = cols[:6]
+            sig = np.stack(cols[6:], axis=1).view(np.uint64)
+            stays = np.zeros(len(key), bool)
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                lo, hi = cols[1][a], cols[2][a]
+                left = a + np.flatnonzero(block[a:b] == lo)
+                right = a + np.flatnonzero(block[a:b] == hi)
+                for s in range(0, len(left), 128):
+                    part = left[s : s + 128]
+                    ok = (_differing(sig[part], sig[right]) <= most) & (comp[part][:, None] != comp[right][None, :])
+                    stays[part[ok.any(axis=1)]] = True
+                    stays[right[ok.any(axis=0)]] = True
+            return pa.RecordBatch.from_arrays([pa.array(c[stays]) for c in (key, node, comp)], ["key", "node", "component"])
+
+        for batch in batches:
+            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            if not len(cols[0]):
+                continue
+            new = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])
+            edges = np.concatenate(([0], np.flatnonzero(new) + 1))
+            if len(edges) > 1:
+                yield settle([c[: edges[-1]] for c in cols], edges)
+            held = [c[edges[-1] :] for c in cols]
+        if held is not None:
+            yield settle(held, np.array([0, len(held[0])]))
+
+    runs = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return runs.mapInArrow(near, "key long, node long, component long").distinct()
+
+
 def links_between(rows, cols, node, comp, sig, sets, least: float, percent: int) -> tuple[list[int], list[int]]:
     """Confirmed links between members ``rows`` and ``cols`` that join different components, at most one per join."""
     label = np.unique(comp, return_inverse=True)[1]  # of each member's component, as links join them
-    most = int((1 - 1 / 2**BITS) * (1 - least) * PERMUTATIONS)
-    ones = np.uint64(0x1111111111111111)
+    most = most_differing(least)
     near: list[tuple[np.ndarray, ...]] = []
     for r in rows:
-        z = sig[cols] ^ sig[r]
-        z |= z >> np.uint64(1)
-        z = (z | (z >> np.uint64(2))) & ones
-        differ = np.bitwise_count(z).sum(axis=1, dtype=np.int64)
+        differ = _differing(sig[r][None], sig[cols])[0]
         k = np.flatnonzero((differ <= most) & (comp[cols] != comp[r]) & (node[cols] != node[r]))
         near.append((np.full(len(k), r), cols[k], differ[k]))
     if not near or not sum(len(x[0]) for x in near):
@@ -247,6 +301,7 @@ def near_dedup(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
     placed = materialize(placed.select("key", "node", "component"), "placed")
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     rest = materialize(placed.join(split, "key"), "split-buckets")
+    rest = rest if rest.isEmpty() else materialize(_alike(rest, nodes, least), "alike")
     if not rest.isEmpty():
         more = materialize(_family_links(rest, nodes, docs, least, percent), "confirmed-more")
         if not more.isEmpty():

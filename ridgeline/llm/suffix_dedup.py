@@ -101,7 +101,7 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 def candidates(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """``doc_id, th, start, n, anchor, content, raw`` of the chunks whose anchor repeats."""
-    bits = docs.sparkSession.sparkContext.broadcast(bloom.packed(repeated.select("anchor"), 1 << 25))  # 4 MB
+    bits = docs.sparkSession.sparkContext.broadcast(bloom.packed(repeated.select("anchor")))  # at most 8 MB
 
     def emit(batches):
         for batch, texts in _texts(batches):

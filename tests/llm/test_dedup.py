@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridgeline.llm.exact_dedup import DigestIndex, exact_dedup
+from ridgeline.llm import minhash
 from ridgeline.llm.minhash import near_dedup
 from ridgeline.llm.shared import fresh_path, scratch
 
@@ -70,8 +71,11 @@ def test_near_dedup_of_driver_documents(spark):
     assert got == brute(rows)
 
 
-def test_near_dedup_chain_through_other_centres(spark, monkeypatch):
-    """A bucket whose smallest node links with nobody must not hide the links among its other members."""
+@pytest.mark.parametrize("block", [4, 1024])
+def test_near_dedup_chain_through_other_centres(spark, monkeypatch, block):
+    """A bucket whose smallest node links with nobody must not hide the links among its other members, nor must the
+    blocks that it is looked through in."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = random.Random(3)
     base = [f"t{i}" for i in range(300)]
     rows = []
@@ -84,6 +88,18 @@ def test_near_dedup_chain_through_other_centres(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_members_that_share_a_bucket_by_chance_go(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(100_000)}" for _ in range(60))) for i in range(40)]
+    rows += [(40 + i, rows[3][1] + f" tail{i} of the text") for i in range(5)]
+    sketched = frame(spark, rows).select("doc_id", "text").mapInArrow(minhash._sketch, ", ".join(["doc_id long, n_shingles long, node long, bands array<long>", *minhash._SIGNED])).cache()
+    nodes = sketched.select("node", "doc_id", *minhash._SIG)
+    one_bucket = nodes.select(F.lit(1).cast("long").alias("key"), "node", F.col("node").alias("component"))
+    kept = minhash._alike(one_bucket, nodes, minhash.least_estimate(0.75)).join(nodes, "node")
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 40, 41, 42, 43, 44]
+    sketched.unpersist()
+
+
 def test_near_dedup_id_repeated_with_other_text(spark):
     a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
     rows = [(5, a), (5, b), (2, b + " tail"), (9, a + " tail")]
