@@ -3,8 +3,9 @@
 Encoding merges the best-scored adjacent pair again and again, the leftmost of equals, as the agenda of the library
 does. With dropout each candidate merge (its place in the word, the border between its parts, the piece it makes) is
 skipped if a hash keyed by seed, variant and word falls below the rate; a skipped candidate stays out of the agenda.
-Every occurrence of a word takes one of a fixed number of variants, keyed by seed, document and place, so segmentations
-vary from place to place, yet any rerun gives the same. Decoding gives back the text whatever was skipped.
+Every occurrence of a word has a key of its own, from seed, document and place, so segmentations vary from place to
+place, yet any rerun gives the same; ``variants`` can bound how many keys a word has, which saves time where texts repeat
+their words. Decoding gives back the text whatever was skipped.
 
 No piece holds a blank after another sign, so words (with the blanks before them) are encoded apart; the constructor
 checks that of the model. The distinct words and variants of a slice run their agendas side by side in NumPy, one merge
@@ -25,7 +26,7 @@ from ridgeline.llm import kernels as K
 from ridgeline.llm.ppm import Hashed
 from ridgeline.llm.shared import let_workers_import
 
-BLANK, VARIANTS, LONG = "▁", 8, 48
+BLANK, LONG = "▁", 48
 _U = np.uint64
 _NONE = np.int64(1 << 40)
 
@@ -201,7 +202,7 @@ def _points(data: np.ndarray, lead: np.ndarray) -> np.ndarray:
     return np.where(b0 < 0x80, b0, np.where(b0 < 0xE0, (b0 & 31) << 6 | b1, np.where(b0 < 0xF0, (b0 & 15) << 12 | b1 << 6 | b2, (b0 & 7) << 18 | b1 << 12 | b2 << 6 | b3)))
 
 
-def encode_slice(p: Pieces, data: np.ndarray, offsets: np.ndarray, doc_keys: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def encode_slice(p: Pieces, data: np.ndarray, offsets: np.ndarray, doc_keys: np.ndarray, dropout: float, seed: int, variants: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of texts laid end to end, and where each text's begin. An empty text has no ids, as in the library."""
     texts = len(offsets) - 1
     full = np.diff(offsets) > 0
@@ -225,7 +226,9 @@ def encode_slice(p: Pieces, data: np.ndarray, offsets: np.ndarray, doc_keys: np.
     if most:
         place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
         doc = np.repeat(doc_keys.view(np.uint64), np.diff(first))
-        variant = K.mix(doc * _U(0x9E3779B97F4A7C15) ^ (place.astype(np.uint64) + _U(seed * 0x51ED27))) % _U(VARIANTS)
+        variant = K.mix(doc * _U(0x9E3779B97F4A7C15) ^ (place.astype(np.uint64) + _U(seed * 0x51ED27)))
+        if variants:
+            variant %= _U(variants)
         h = K.mix(h ^ K.mix(variant + _U((seed + 1) * 0x2545F491)))
     keys, at, back = np.unique(h, return_index=True, return_inverse=True)
     a, b = begins[at], ends[at]
@@ -279,11 +282,12 @@ def pieces_from(path: str) -> Pieces:
     return _loaded[path]
 
 
-def encode(docs: DataFrame, model_path: str, dropout: float = 0.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, dropout: float = 0.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, variants: int | None = None) -> DataFrame:
     """``id_col, ids`` of every row of ``docs``; with ``digest`` instead ``id_col, n_ids, ids_crc32, n_bytes, lossless``.
 
     ``lossless``: the ids, decoded, give back exactly the text. ``ids_crc32`` is over unsigned little-endian 32-bit ids.
-    Null counts as empty, and an empty text has no ids. Dropout 0 gives the library's own segmentation. Rows that repeat
+    Null counts as empty, and an empty text has no ids. Dropout 0 gives the library's own segmentation. ``variants`` bounds
+    the segmentations of a word over the whole corpus; None is no bound. Rows that repeat
     an id and text get equal segmentations. Whole texts, other columns not read; an empty table gives an empty result.
     """
     let_workers_import(docs.sparkSession)
@@ -295,7 +299,7 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.0, seed: int = 0
             names = batch.column("doc_id")
             doc_keys = names.fill_null(-1).to_numpy(zero_copy_only=False)
             for i, j, part, off in K.slices(data, offsets):
-                ids, first = encode_slice(p, part, off, doc_keys[i:j], dropout, seed)
+                ids, first = encode_slice(p, part, off, doc_keys[i:j], dropout, seed, variants)
                 own = names.slice(i, j - i)
                 if not digest:
                     yield pa.RecordBatch.from_arrays([own, pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))], [id_col, "ids"])

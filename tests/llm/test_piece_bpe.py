@@ -69,3 +69,21 @@ def test_operator_round_trip(spark):
     assert sorted((r.doc_id or -1, r.text) for r in back) == sorted((i or -1, t or "") for i, t, _ in rows)
     assert all(r.lossless for r in B.encode(frame, PATH, 0.3, 9, digest=True).collect())
     assert B.encode(frame.limit(0), PATH, 0.1, 1).count() == 0
+
+
+def test_every_occurrence_has_its_own_segmentation_unless_bounded(pieces):
+    text = " ".join(["internationalization"] * 600)
+    data, off = K.text_bytes(pa.array([text]))
+
+    def kinds(variants):
+        ids, _ = B.encode_slice(pieces, data, off, np.array([5]), 0.3, 1, variants)
+        spelled, words = "", set()
+        for i in [*ids.tolist(), None]:
+            piece = "" if i is None else next(t for t, k in pieces.of.items() if k == i)
+            if i is None or piece.startswith(B.BLANK):
+                words.add(spelled)
+                spelled = ""
+            spelled += piece + "|"
+        return len(words - {""})
+
+    assert kinds(8) <= 8 < kinds(None)
