@@ -11,7 +11,9 @@ hash in it. Equal windows have equal anchors at equal places, so a window whose
 windows always meet where one anchor's windows meet. Runs of windows with one anchor (chunks) are compared by content
 hash; a chunk whose whole content occurs twice repeats as a whole, and the distinct contents of an anchor with several
 of them are sorted together. Buckets of anchors make one sort of about a megabyte each, so the sort is distributed by
-anchor and no task sees more than its buckets and the largest anchor's distinct contents.
+anchor. An anchor with more than four megabytes of distinct contents is not sorted in one task: its windows are counted
+by their 64-bit hashes, which Spark spreads over all tasks. Equality of contents, and of the windows of such an anchor,
+is that of the anchor's hash and of one more 64-bit hash.
 """
 
 from __future__ import annotations
@@ -25,11 +27,13 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm import bloom
 from ridgeline.llm import kernels as K
-from ridgeline.llm.shared import materialize
+from ridgeline.llm.shared import join_hot, materialize
 
 WINDOW, GRAM = 200, 32
 SEGMENT = 1 << 22
 BUCKET_BYTES = 1 << 20
+#: Bytes of distinct contents beyond which an anchor's windows are counted by hash instead of sorted.
+LARGE_ANCHOR = 1 << 22
 _U = np.uint64
 _STEPS = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -221,8 +225,9 @@ def covered(found: DataFrame) -> DataFrame:
     """``anchor, content, lo, hi``: ranges of windows of each content that repeat, from ``candidates``."""
     contents = materialize(found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"), F.first("raw").alias("raw")), "contents")
     whole = contents.where("c > 1").select("anchor", "content", F.array(F.lit(0).cast("long")).alias("lo"), F.array("n").alias("hi"))
-    several = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("single")).where("k > 1 and single > 0").select("anchor")
-    mixed = materialize(contents.join(several, "anchor").select("anchor", "content", "c", "n", "raw"), "mixed")
+    several = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0)).alias("single"), F.sum(F.length("raw")).alias("bytes")).where("k > 1 and single > 0").select("anchor", "k", "bytes")
+    both = materialize(join_hot(contents, several, "anchor", "k", contents.count()).select("anchor", "content", "c", "n", "raw", "bytes"), "mixed")
+    mixed, large = both.where(F.col("bytes") <= LARGE_ANCHOR), both.where(F.col("bytes") > LARGE_ANCHOR)
     total = mixed.agg(F.sum(F.length("raw"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
 
@@ -242,7 +247,37 @@ def covered(found: DataFrame) -> DataFrame:
         return pa.table({"anchor": table.column("anchor").take(take), "content": table.column("content").take(take), "lo": pa.array(lo, kind), "hi": pa.array(hi, kind)})
 
     part = mixed.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("bucket").applyInArrow(sort, "anchor long, content long, lo array<long>, hi array<long>")
-    return whole.unionByName(part)
+    out = whole.unionByName(part)
+    return out if large.isEmpty() else out.unionByName(_by_window(large))
+
+
+def _by_window(large: DataFrame) -> DataFrame:
+    """``anchor, content, lo, hi`` of contents that occur once, with every window counted by its hash."""
+
+    def windows(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                data = np.frombuffer(batch.column("raw")[k].as_py(), np.uint8)
+                n = batch.column("n")[k].as_py()
+                h = K.span_hashes(data, np.arange(n), np.arange(n) + WINDOW, lower=False)
+                cols = [np.full(n, batch.column(c)[k].as_py()) for c in ("anchor", "content", "c")]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(np.arange(n)), pa.array(h.view(np.int64))], ["anchor", "content", "c", "w", "h"])
+
+    def runs(batches):
+        for batch in batches:
+            lo, hi = [], []
+            for w in batch.column("w").to_pylist():
+                w = np.sort(w)
+                edge = np.flatnonzero(np.diff(w) > 1)
+                lo.append(w[np.concatenate(([0], edge + 1))])
+                hi.append(w[np.concatenate((edge, [len(w) - 1]))] + 1)
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("anchor"), batch.column("content"), pa.array(lo, kind), pa.array(hi, kind)], ["anchor", "content", "lo", "hi"])
+
+    each = materialize(large.select("anchor", "content", "c", "n", "raw").mapInArrow(windows, "anchor long, content long, c long, w long, h long").withColumn("key", F.xxhash64("anchor", "h")), "windows")
+    seen = each.groupBy("key").agg(F.sum("c").alias("times"), F.count(F.lit(1)).alias("rows")).where("times > 1")
+    met = join_hot(each.where("c = 1"), seen, "key", "rows", each.count())
+    return met.groupBy("anchor", "content").agg(F.collect_list("w").alias("w")).mapInArrow(runs, "anchor long, content long, lo array<long>, hi array<long>")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:

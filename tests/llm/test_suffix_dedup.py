@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 
+from ridgeline.llm import suffix_dedup
 from ridgeline.llm.suffix_dedup import remove_repeats, suffix_order
 
 W = 200
@@ -63,6 +64,24 @@ def test_against_every_window(spark):
     assert sorted(got, key=str) == brute(rows)
 
 
+def test_large_anchors_are_counted_by_window(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "LARGE_ANCHOR", 600)
+    rows = rows_with_repeats()
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((tuple(r)[:5] for r in remove_repeats(frame).collect()), key=str) == brute(rows)
+
+
+def test_text_of_several_segments(spark):
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    long = "".join(rng.choice("abcdefghijklmnop ") for _ in range(4_500_000))
+    at = suffix_dedup.SEGMENT - 450  # over the border of two segments
+    long = long[:at] + passage + long[at + 900 :]
+    rows = [(1, long), (2, "before " + passage + " after")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1][0] == len(long) and 900 <= got[1][1] <= 905 and got[1][2] == 1 and 900 <= got[2][1] <= 905 and got[2][2] == 1
+
+
 def test_driver_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
