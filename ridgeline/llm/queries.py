@@ -85,5 +85,33 @@ FROM d
 """
 
 
+#: Every 200-byte window of every text, on hexadecimal text since SQL cuts characters, not bytes.
+OP6_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, p, md5_number(substr(h, 2 * p + 1, 400)) AS k FROM (SELECT r, h, unnest(range(0, greatest(length(h) // 2 - 199, 0))) AS p FROM d)),
+again AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
+runs AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS g
+         FROM (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= 200 THEN 0 ELSE 1 END AS new FROM again)),
+spans AS (SELECT r, min(p) AS lo, max(p) + 200 AS hi FROM runs GROUP BY r, g),
+gaps AS (SELECT r, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS a, lo AS b, hi - lo AS gone FROM spans),
+cut AS (SELECT r, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS kept, max(b + gone) AS tail, sum(gone) AS gone, count(*) AS n FROM gaps JOIN d USING (r) GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+       sha256(unhex(CASE WHEN n IS NULL THEN h ELSE kept || substr(h, 2 * tail + 1) END)) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
+
+OP8_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [list_aggregate(w, 'string_agg', ' ')]
+      ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' '))) END AS x FROM t),
+e AS (SELECT doc_id, md5_number(unnest(x)) AS k FROM s),
+n AS (SELECT doc_id, len(x) AS n FROM s),
+links AS (SELECT a, b FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM e p JOIN e q ON p.k = q.k AND p.doc_id <> q.doc_id GROUP BY ALL)
+          JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, links.b FROM r JOIN links ON links.a = r.b)
+SELECT doc_id, n AS n_shingles, c AS component_id, doc_id = c AS kept FROM n JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) ON a = doc_id
+"""
+
+
 def oracle_sql():
-    return {"op3_exact_dedup": OP3_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op6_suffix_array_dedup": OP6_SQL, "op8_minhash_near_dedup": OP8_SQL}

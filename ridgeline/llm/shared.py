@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -12,6 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridgeline.sources import store
+
 #: A key that holds at least one row in this many is hot; there are at most this many hot keys, whatever the data.
 HOT_SHARE = 1000
 
@@ -25,20 +25,9 @@ def let_workers_import(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver can read: ``spark.checkpoint.dir``.
-
-    A session whose executors are threads of the driver and that names none gets a temporary folder; any other session
-    without one is an error, since a machine-local folder would lose data there.
-    """
+    """The folder all executors and the driver can read: ``spark.checkpoint.dir`` (see ``sources.store``)."""
     let_workers_import(spark)
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = os.path.join(tempfile.gettempdir(), f"ridgeline-{os.getuid()}")
-    spark.sparkContext.setCheckpointDir(own)
-    return spark.sparkContext.getCheckpointDir()
+    return store.shared_dir(spark)
 
 
 _open: list[list[str]] = []

@@ -211,13 +211,16 @@ def test_scratch_folders_go(spark):
     assert not os.path.exists(path)
 
 
-@pytest.mark.parametrize("sql", [True])
-def test_exact_dedup_oracle(spark, sql):
+@pytest.mark.parametrize("name", ["op3_exact_dedup", "op6_suffix_array_dedup", "op8_minhash_near_dedup"])
+def test_queries_against_sql(spark, name):
     import duckdb
 
     from ridgeline.llm import oracle_sql, queries
 
-    name = "op3_exact_dedup"
-    duckdb.sql("CREATE OR REPLACE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
-    want = sorted(duckdb.sql(oracle_sql()[name]).fetchall())
-    assert sorted(tuple(r) for r in queries()[name](spark, "/root/testdata/sf0.001").collect()) == want
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    want = con.execute(oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    got = queries()[name](spark, "/root/testdata/sf0.001")
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(tuple(r) for r in got.select(*columns).collect()) == sorted(want.fetchall())
