@@ -22,10 +22,6 @@ def complete(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumn("_unknown", unknown).where("_unknown = 0").drop("_unknown")
 
 
-def divide(a: Column, b: Column) -> Column:
-    return F.try_divide(a, b)
-
-
 def nonzero(c: Column) -> Column:
     return F.nullif(c, F.lit(0.0))
 

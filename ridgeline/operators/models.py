@@ -18,7 +18,7 @@ def contiguous_folds(rows: DataFrame, folds: int) -> DataFrame:
     counts = rows.groupBy("ticker").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("ticker", (F.sum("_n").over(Window.orderBy("ticker")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
     place = F.col("_before") + F.row_number().over(Window.partitionBy("ticker").orderBy("date")) - 1
-    return rows.join(F.broadcast(before), "ticker").withColumn("_cv", F.floor(place * folds / F.col("_all")).cast("int")).drop("_before", "_all")
+    return rows.join(before, "ticker").withColumn("_cv", F.floor(place * folds / F.col("_all")).cast("int")).drop("_before", "_all")
 
 
 def _centred(g: Gram, k: int) -> tuple[Gram, np.ndarray]:

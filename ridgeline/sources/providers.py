@@ -89,10 +89,12 @@ def tickers(universe: DataFrame) -> DataFrame:
 
 
 def long_bars(wide: DataFrame, ticker: str | None = None) -> DataFrame:
-    """Panel rows from a wide table ``date, <field>|<ticker>, ...`` (or plain fields for the one ``ticker``): names in
-    lower case, rows without any value dropped."""
+    """Panel rows from a wide table ``date, <field>|<ticker>, ...`` (or plain fields for the one ``ticker``, or a table that
+    is long already): names in lower case, rows without any value dropped."""
     if ticker is not None:
         rows = wide.select(*(F.col(c).alias(c.lower()) for c in wide.columns), F.lit(ticker).alias("ticker"))
+    elif "ticker" in wide.columns:
+        rows = wide
     else:
         pairs = [c for c in wide.columns if "|" in c]
         made = [F.struct(F.lit(t).alias("ticker"), *(F.col(f"`{c}`").cast("double").alias(c.split("|")[0].lower()) for c in sorted(pairs) if c.endswith(f"|{t}"))) for t in sorted({c.split("|")[1] for c in pairs})]

@@ -198,6 +198,31 @@ def test_providers_and_payloads(spark):
         R.read_keyed(keyed.withColumn("payload", F.lit('{"error": ["EGeneral"], "result": null}'))).collect()
 
 
+def test_sources_behind_addresses(spark, tmp_path):
+    from ridgeline.sources import web
+    from ridgeline.streaming.flows import collect_books
+
+    (tmp_path / "page.html").write_text("<table><tr><th>Symbol</th><th>GICS Sector</th></tr><tr><td>BRK.B</td><td>Financials</td></tr><tr><td>ZZZ</td><td>Energy</td></tr></table>")
+    (tmp_path / "BRK-B.csv").write_text("Date,Open,High,Low,Close,Volume\n2024-01-02,1,2,0.5,1.5,10\n2024-01-03,,,,,\n2024-01-04,2,3,1,2.5,20\n")
+    base = tmp_path.as_uri()
+    market = R.market("web", f"{base}/page.html", base + "/{ticker}.csv", str(tmp_path / "universe"))
+    assert sorted(r.ticker for r in market.universe(spark).collect()) == ["BRK-B", "ZZZ"]
+    (tmp_path / "page.html").write_text("<table><tr><th>Symbol</th><th>GICS Sector</th></tr><tr><td>NEW</td><td>Energy</td></tr></table>")
+    assert market.universe(spark).count() == 2 and [r.ticker for r in market.universe(spark, refresh=True).collect()] == ["NEW"]
+    bars = market.bars(spark, ["BRK-B", "ZZZ"]).orderBy("date").collect()
+    assert [(r.ticker, r.close, r.volume) for r in bars] == [("BRK-B", 1.5, 10.0), ("BRK-B", 2.5, 20.0)]
+    with pytest.raises(Exception, match="ZZZ"):
+        web.payloads(spark, {"ZZZ": f"{base}/ZZZ.csv"}).collect()
+
+    (tmp_path / "book.json").write_text('{"bids": [["9.5", "2"]], "asks": [["10", "4"]]}')
+    books = R.order_books("web_books", {"X": f"{base}/book.json"})
+    assert books.snapshots(spark).first().symbol == "X"
+    query = collect_books(books.snapshots(spark, stream=True), str(tmp_path / "features"), str(tmp_path / "ck"))
+    query.awaitTermination(60)
+    query.stop()
+    assert spark.read.parquet(str(tmp_path / "features")).first().mid_price == 9.75
+
+
 def test_book_stream_appends(spark, tmp_path):
     from ridgeline.streaming.flows import collect_books
 
