@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ridgeline.llm import bloom
 from ridgeline.llm import kernels as K
 from ridgeline.llm.components import components
-from ridgeline.llm.shared import materialize
+from ridgeline.llm.shared import join_hot, materialize
 
 PERMUTATIONS, ROWS, BITS = 128, 4, 4
 BANDS, LANES = PERMUTATIONS // ROWS, PERMUTATIONS * BITS // 64
@@ -166,10 +166,9 @@ def most_differing(least: float) -> int:
 
 
 def _alike(rest: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The members of ``rest(key, node, component)`` that have a member of another component in their bucket whose
+    """The members of ``rest(key, node, component, members)`` (how many the bucket has) that have a member of another component in their bucket whose
     signature passes the estimate. Only signatures are shuffled; every bucket pair of blocks is one run of sorted rows."""
-    sizes = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = rest.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = rest.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.join(nodes.select("node", *_SIG), "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "component", *_SIG)
     most, names = most_differing(least), ["key", "lo", "hi", "block", "node", "component", *_SIG]
@@ -289,7 +288,7 @@ def near_dedup(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
     )
     slots = nodes.select("node", F.explode("bands").alias("key"))
     heads = slots.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = materialize(slots.join(heads.select("key", "head"), "key"), "buckets")
+    shared = materialize(join_hot(slots, materialize(heads, "heads"), "key", "members", BANDS * nodes.count()), "buckets")
     pairs = shared.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     sig_a = nodes.select(F.col("node").alias("a"), *(F.col(s).alias(f"a_{s}") for s in _SIG))
     sig_b = nodes.select(F.col("node").alias("b"), *(F.col(s).alias(f"b_{s}") for s in _SIG))
@@ -299,8 +298,8 @@ def near_dedup(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
 
     placed = shared.join(found.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = materialize(placed.select("key", "node", "component"), "placed")
-    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    rest = materialize(placed.join(split, "key"), "split-buckets")
+    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi")
+    rest = materialize(join_hot(placed, materialize(split.select("key", "members"), "split"), "key", "members", placed.count()), "split-buckets")
     rest = rest if rest.isEmpty() else materialize(_alike(rest, nodes, least), "alike")
     if not rest.isEmpty():
         more = materialize(_family_links(rest, nodes, docs, least, percent), "confirmed-more")

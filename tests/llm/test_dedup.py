@@ -94,7 +94,7 @@ def test_members_that_share_a_bucket_by_chance_go(spark):
     rows += [(40 + i, rows[3][1] + f" tail{i} of the text") for i in range(5)]
     sketched = frame(spark, rows).select("doc_id", "text").mapInArrow(minhash._sketch, ", ".join(["doc_id long, n_shingles long, node long, bands array<long>", *minhash._SIGNED])).cache()
     nodes = sketched.select("node", "doc_id", *minhash._SIG)
-    one_bucket = nodes.select(F.lit(1).cast("long").alias("key"), "node", F.col("node").alias("component"))
+    one_bucket = nodes.select(F.lit(1).cast("long").alias("key"), "node", F.col("node").alias("component"), F.lit(45).alias("members"))
     kept = minhash._alike(one_bucket, nodes, minhash.least_estimate(0.75)).join(nodes, "node")
     assert sorted(r.doc_id for r in kept.collect()) == [3, 40, 41, 42, 43, 44]
     sketched.unpersist()
