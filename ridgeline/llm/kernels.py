@@ -109,7 +109,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[
     factors = np.resize(_SHINGLE, width) * (_U(2) * np.arange(width, dtype=np.uint64) + _U(1))
     run = np.zeros(max(0, len(h) - width + 1), np.uint64)
     for k in range(width):
-        run += h[k : len(h) - width + 1 + k] * factors[k]
+        run += h[k : k + len(run)] * factors[k]
     run = mix(run)
     sets = []
     for a, b in zip(first[:-1], first[1:], strict=True):

@@ -109,6 +109,8 @@ def test_near_dedup_id_repeated_with_other_text(spark):
 
 def test_near_dedup_empty_and_repeated_rows(spark):
     assert near_dedup(frame(spark, [])).count() == 0
+    assert {r.doc_id: r.component_id for r in near_dedup(frame(spark, [(2, "only three words"), (1, "Only three WORDS")]).coalesce(1)).collect()} == {1: 1, 2: 1}
+    assert [r.n_shingles for r in near_dedup(frame(spark, [(2, "word")])).collect()] == [1]
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "A B C D E F"), (3, None), (3, "")]
     got = sorted(tuple(r) for r in near_dedup(frame(spark, rows)).select(F.coalesce("doc_id", F.lit(-1)), "n_shingles", F.coalesce("component_id", F.lit(-1)), "kept").collect())
     assert got == [(-1, 2, -1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (3, 0, 3, True)]
