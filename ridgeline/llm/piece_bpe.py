@@ -4,8 +4,8 @@ Encoding merges the best-scored adjacent pair again and again, the leftmost of e
 does. With dropout each candidate merge (its place in the word, the border between its parts, the piece it makes) is
 skipped if a hash keyed by seed, variant and word falls below the rate; a skipped candidate stays out of the agenda.
 Every occurrence of a word has a key of its own, from seed, document and place, so segmentations vary from place to
-place, yet any rerun gives the same; ``variants`` can bound how many keys a word has, which saves time where texts repeat
-their words. Decoding gives back the text whatever was skipped.
+place, yet any rerun gives the same. With ``variants``, a power of two, words too short to have more segmentations than
+that share so many keys, which saves time. Decoding gives back the text whatever was skipped.
 
 No piece holds a blank after another sign, so words (with the blanks before them) are encoded apart; the constructor
 checks that of the model. The distinct words and variants of a slice run their agendas side by side in NumPy, one merge
@@ -227,8 +227,8 @@ def encode_slice(p: Pieces, data: np.ndarray, offsets: np.ndarray, doc_keys: np.
         place = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
         doc = np.repeat(doc_keys.view(np.uint64), np.diff(first))
         variant = K.mix(doc * _U(0x9E3779B97F4A7C15) ^ (place.astype(np.uint64) + _U(seed * 0x51ED27)))
-        if variants:
-            variant %= _U(variants)
+        if variants:  # n bytes have at most 2**(n - 1) segmentations
+            variant = np.where(ends - begins <= variants.bit_length(), variant % _U(variants), variant)
         h = K.mix(h ^ K.mix(variant + _U((seed + 1) * 0x2545F491)))
     keys, at, back = np.unique(h, return_index=True, return_inverse=True)
     a, b = begins[at], ends[at]
@@ -286,8 +286,8 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.0, seed: int = 0
     """``id_col, ids`` of every row of ``docs``; with ``digest`` instead ``id_col, n_ids, ids_crc32, n_bytes, lossless``.
 
     ``lossless``: the ids, decoded, give back exactly the text. ``ids_crc32`` is over unsigned little-endian 32-bit ids.
-    Null counts as empty, and an empty text has no ids. Dropout 0 gives the library's own segmentation. ``variants`` bounds
-    the segmentations of a word over the whole corpus; None is no bound. Rows that repeat
+    Null counts as empty, and an empty text has no ids. Dropout 0 gives the library's own segmentation. ``variants``
+    lets words that can't have more segmentations share that many keys; None gives every occurrence its own. Rows that repeat
     an id and text get equal segmentations. Whole texts, other columns not read; an empty table gives an empty result.
     """
     let_workers_import(docs.sparkSession)
