@@ -201,6 +201,7 @@ def oracle_sql() -> dict[str, str]:
         "explain_nodes": f"WITH {LIVE.strip()}\n{nodes}",
         "explain_ticker": f"WITH {LIVE.strip()}\nSELECT 'sqrt(abs(sum_volume_20 - delta_close_5)) / 2' AS formula, CAST(0.5 AS DOUBLE) AS weight, * FROM ({nodes}) WHERE ticker = '7'",
         "pool_report": f"WITH {split.strip()}, pr AS (SELECT *, delta_close_5 AS f0, {_PLAIN['f1']} AS f1, CASE WHEN date < c THEN 'train' ELSE 'test' END AS side FROM f, cut)\n" + " UNION ALL ".join(report),
+        "pool_values": _q(FEATURES + f", pv AS (SELECT 0 AS i, date, ticker, mom_60 AS v FROM f UNION ALL SELECT 1, date, ticker, {_PLAIN['f1']} FROM f)", "CAST(i AS INT) AS formula_id; date; ticker; ~v AS value", "pv WHERE v IS NOT NULL"),
         "gram_matrix": _q(FEATURES, "count(*) AS n; " + "; ".join(f"~sum({a} * {b}) AS g_{i}_{j}" for i, a in enumerate(names) for j, b in enumerate(names) if i <= j), "f"),
         "least_squares": _q(FEATURES + f", e AS (SELECT {_PLAIN['f0']} AS a, {_PLAIN['f3']} AS b, fwd_ret AS y FROM f), t AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS bb_y FROM e)", "~(ay * bb - bb_y * ab) / (aa * bb - ab * ab) AS w0; ~(bb_y * aa - ay * ab) / (aa * bb - ab * ab) AS w1", "t"),
         "lasso_one": _q(FEATURES + f", t AS (SELECT avg(({_PLAIN['f0']}) * fwd_ret) AS r, avg(({_PLAIN['f0']}) ** 2) AS s FROM f)", "~sign(r) * greatest(abs(r) - 1e-5, 0) / s AS weight", "t"),

@@ -299,6 +299,10 @@ def pool_report(spark, d):
     return _round(N.pool_report(train, test, N.Pool(["delta_close_5", FORMULAS[1]], [0.0, 0.0], "plain")))
 
 
+def pool_values(spark, d):
+    return _round(N.pool_values(_features(spark, d), N.Pool(["mom_60", FORMULAS[1]], [0.0, 0.0], "plain")))
+
+
 def gram_matrix(spark, d):
     rows = _features(spark, d)
     return _round(rows.agg(*C.gram_aggregates(["vwap", "mom_60"], "fwd_ret")))
@@ -485,7 +489,7 @@ def remine_policy(spark, d):
 _ORDER = [
     typical_price, ret_1d, rolling_mean, rolling_std, rolling_sum, delta, ewma, momentum, rolling_corr, fwd_return, sector_attach, sector_neutral_target, zscore, store_bars, store_operands, features_full, live_latest,
     daily_ic, daily_rank_ic, ic_series_skip, global_ic, global_rank_ic, distinct_counts, feature_screen, variance_flags, consensus_rank, select_features, mean_importance, go_rule, folds, time_split, embargo_split, decile_backtest, decile_sector_neutral, ic_weighted,
-    ic_weighted_sector_neutral, period_metrics, equity_curve, psr_moments, deflated_sharpe, formula_eval, formula_eval_protected, formula_dedup, explain_nodes, explain_ticker, pool_report, gram_matrix, lasso_combine, least_squares, lasso_one,
+    ic_weighted_sector_neutral, period_metrics, equity_curve, psr_moments, deflated_sharpe, formula_eval, formula_eval_protected, formula_dedup, explain_nodes, explain_ticker, pool_report, pool_values, gram_matrix, lasso_combine, least_squares, lasso_one,
     walk_forward_combine, composite_score, top_n, top_n_sector_capped, serve_stored_model, sector_counts, record_prediction, resolve_predictions, weekly_ic, baseline_stats, drift_timeline, remine_decision, remine_policy,
     book_best, book_depth_imbalance, book_features, fold_summary, overfit_rule, union_oos, oos_sample, windowed_events, genetic_search, pareto_search, second_stage_search, walk_forward, complexity_sweep,
     elasticnet_baseline, boosted_trees_importance, preflight,
