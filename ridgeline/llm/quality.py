@@ -118,7 +118,7 @@ def word_odds(cells: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray,
     return np.log(share[1]) - np.log(share[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, ridge: float = 1e-2) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, ridge: float = 1e-2) -> Model:
     """Fit on at most ``sample`` labelled documents, those with the smallest hashes of the id. Without labels of both
     kinds every document gets the share of good labels (1 if there are none).
 
@@ -264,7 +264,7 @@ def _judged(docs: DataFrame, labels: DataFrame, sites: list[Column] | None, keep
     return narrow.join(table, keys).select(*keep, "p_doc", *rates, quality.alias("quality"), (quality >= threshold).alias("kept"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, sites: list[Column] | None = None, threshold: float = 0.5, sample: int = 20_000) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, sites: list[Column] | None = None, threshold: float = 0.5, sample: int = 10_000) -> DataFrame:
     """``doc_id, p_doc, host_rate, path_rate, quality, kept`` for every row of ``docs(doc_id, text, ...)``.
 
     ``sites`` are the levels of its site, coarsest first (``source`` and ``source/lang`` by default, ``url_sites`` where
@@ -276,7 +276,7 @@ def classify(docs: DataFrame, labels: DataFrame, sites: list[Column] | None = No
     return _judged(docs, labels, sites, ["doc_id"], threshold, sample)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, sites: list[Column] | None = None, threshold: float = 0.5, sample: int = 20_000) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, sites: list[Column] | None = None, threshold: float = 0.5, sample: int = 10_000) -> DataFrame:
     """The rows of ``docs`` that ``classify`` keeps, with their columns as they were. The keys of rejected rows are
     broadcast while they are few, so that no text is shuffled."""
     keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")

@@ -16,8 +16,16 @@ from ridgeline.sources import store
 HOT_SHARE = 1000
 
 
+#: Rows of an Arrow batch where the session has Spark's default of ten times as many: texts of a few kilobytes then make
+#: batches of a few megabytes, of which the JVM and the worker hold a copy each for every running task.
+BATCH_ROWS, _BATCH = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def let_workers_import(spark: SparkSession) -> None:
-    """Put the folder that holds this package on the Python workers' path, for sessions started without --py-files."""
+    """Put the folder that holds this package on the Python workers' path, for sessions started without --py-files, and
+    keep Arrow batches small unless the session says otherwise."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
