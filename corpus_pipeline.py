@@ -7,6 +7,7 @@ columns of ``documents``. Every stage reads its own input more than once, so ``r
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from ridgeline.llm.exact_dedup import exact_dedup
 from ridgeline.llm.minhash import near_dedup
 from ridgeline.llm.packing import pack
 from ridgeline.llm.quality import keep_good
-from ridgeline.llm.shared import materialize, scan
+from ridgeline.llm.shared import delete, materialize, recorded, scan
 from ridgeline.llm.suffix_dedup import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -64,7 +65,27 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("suffix_dedup", passages), ("packing", packing)]
+_left: list[str] = []
+
+
+def _clearing(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``stage``, which first deletes what the stage before wrote on its way, unless its input still reads from there."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        used = docs.inputFiles() if _left else []
+        for path in [p for p in _left if not any(p.rsplit("/", 1)[1] in f for f in used)]:
+            delete(spark, path)
+            _left.remove(path)
+        with recorded() as paths:
+            out = stage(spark, docs, sf_dir)
+        _left[:] = [*_left, *paths] if stage is not packing else []
+        return out
+
+    return run_stage
+
+
+STAGES = [(name, _clearing(stage)) for name, stage in (("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("suffix_dedup", passages), ("packing", packing))]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

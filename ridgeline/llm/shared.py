@@ -64,6 +64,18 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             delete(spark, path)
 
 
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The list of folders that operators write inside."""
+    _open.append([])
+    try:
+        yield _open[-1]
+    finally:
+        paths = _open.pop()
+        if _open:
+            _open[-1].extend(paths)
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, so a lost executor costs nothing."""
     path = fresh_path(df.sparkSession, what)
