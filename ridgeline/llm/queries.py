@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ from ridgeline.llm.forest import nearest
 from ridgeline.llm.suffix_dedup import remove_repeats
 from ridgeline.llm.piece_bpe import encode
 from ridgeline.llm.token_counts import TokenTrees, sample_edits
+from ridgeline.llm.vector_codes import label_errors, lloyd_codes
+from ridgeline.llm.periodic_runs import looped, periodic_runs, strongest
+from ridgeline.llm.impact_search import top_products
 from ridgeline.llm.shared import held_out, scan
 
 
@@ -62,6 +67,29 @@ def op10_edit_token_counts(spark, sf_dir):
     return trees.edit(sample_edits(F.col("doc_id"), F.col("chars")[1])).drop("row")
 
 
+def op11_lloyd_codes(spark, sf_dir):
+    codes, books = lloyd_codes(scan(spark, sf_dir, "embeddings"))
+    digest = hashlib.sha256(",".join(str(c) for book in books for c in book.ravel().tolist()).encode()).hexdigest()
+    digits = F.array_join(F.transform("code", lambda c: F.lower(F.lpad(F.hex(c.cast("long")), 2, "0"))), "")
+    return label_errors(codes).select("vec_id", digits.alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    docs = scan(spark, sf_dir, "documents")
+    found = periodic_runs(docs.select("doc_id", looped(F.col("doc_id"), F.col("text")).alias("text")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = found.withColumn("best", strongest(F.col("runs")))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_impact_search(spark, sf_dir):
+    return top_products(scan(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def queries():
     return {
         "op1_forest_search": op1_forest_search,
@@ -74,6 +102,9 @@ def queries():
         "op8_minhash_near_dedup": op8_minhash_near_dedup,
         "op9_language_id": op9_language_id,
         "op10_edit_token_counts": op10_edit_token_counts,
+        "op11_lloyd_codes": op11_lloyd_codes,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_impact_search": op13_impact_search,
     }
 
 
@@ -113,5 +144,38 @@ SELECT doc_id, n AS n_shingles, c AS component_id, doc_id = c AS kept FROM n JOI
 """
 
 
+#: The usable vectors as whole numbers; {scale} is filled in.
+_INTEGERS = """
+v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor({scale} * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+                   WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding))"""
+
+_ROUND = """
+a{r} AS MATERIALIZED (SELECT vec_id, part, arg_min(entry, far * 16 + entry) AS entry, min(far) AS far
+                      FROM (SELECT vec_id, part, entry, list_sum(list_transform(range(1, len(y) + 1), lambda i: (y[i] - c[i]) * (y[i] - c[i]))) AS far FROM p JOIN b{r} USING (part))
+                      GROUP BY ALL)"""
+_UPDATE = """,
+m{r} AS MATERIALIZED (SELECT part, entry, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS c
+                      FROM (SELECT part, entry, i, sum(y[i]) AS s, count(*) AS n FROM a{r} JOIN p USING (vec_id, part), range(1, 1 + (SELECT max(len(y)) FROM p)) AS t(i) WHERE i <= len(y) GROUP BY ALL)
+                      GROUP BY ALL),
+b{q} AS MATERIALIZED (SELECT part, entry, coalesce(m{r}.c, b{r}.c) AS c FROM b{r} LEFT JOIN m{r} USING (part, entry)),"""
+
+
+def _op11_sql(rounds: int = 6) -> str:
+    steps = "".join(_ROUND.format(r=r) + (_UPDATE.format(r=r, q=r + 1) if r < rounds else "") for r in range(rounds + 1))
+    return f"""WITH {_INTEGERS.format(scale=4096)},
+p AS MATERIALIZED (SELECT vec_id, k AS part, x[k * (len(x) // 8) + 1 : (k + 1) * (len(x) // 8)] AS y FROM v, range(8) AS t(k)),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, y AS c FROM p QUALIFY entry < 16),
+{steps},
+e AS (SELECT vec_id, string_agg(lower(lpad(to_hex(entry), 2, '0')), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS h FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM e JOIN v USING (vec_id), books"""
+
+
+OP13_SQL = f"""WITH {_INTEGERS.format(scale=256)},
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_sum(list_transform(range(1, len(v.x) + 1), lambda i: q.x[i] * v.x[i])) AS score FROM v AS q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
 def oracle_sql():
-    return {"op3_exact_dedup": OP3_SQL, "op6_suffix_array_dedup": OP6_SQL, "op8_minhash_near_dedup": OP8_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op6_suffix_array_dedup": OP6_SQL, "op8_minhash_near_dedup": OP8_SQL, "op11_lloyd_codes": _op11_sql(), "op13_impact_search": OP13_SQL}
