@@ -60,6 +60,11 @@ def drift_timeline(ics: DataFrame, mean: Column | float, std: Column | float, wi
     w = Window.orderBy("date").rowsBetween(1 - window, 0)
     mean, std = (x if isinstance(x, Column) else F.lit(x) for x in (mean, std))
     rows = ics.select("date", "ic", mean.alias("_mean"), std.alias("_std"), F.row_number().over(Window.orderBy("date")).alias("as_of"), F.count("ic").over(w).alias("n_weeks"), F.avg("ic").over(w).alias("_m"))
+    return drift_status(rows, least, level)
+
+
+def drift_status(rows: DataFrame, least: int = 3, level: float = 0.10) -> DataFrame:
+    """The one-sided test of trailing means ``as_of, date, n_weeks, _m`` against ``_mean, _std``, for tables and streams."""
     enough = F.col("n_weeks") >= least
     z = F.when(enough, (F.col("_m") - F.col("_mean")) / nonzero(F.col("_std") / F.sqrt("n_weeks")))
     rows = rows.withColumn("z_score", z).withColumn("p_value", normal_cdf(F.col("z_score")))
