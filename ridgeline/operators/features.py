@@ -49,31 +49,43 @@ def rolling_correlation(rows: int) -> Column:
 BLOCK = 2500
 
 
-def with_decayed_means(rows: DataFrame, halflives: list[int]) -> DataFrame:
+def with_decayed_means(rows: DataFrame, halflives: list[int], sums: bool = False, seeded: bool = False) -> DataFrame:
     """``ewma_close_<h>``: exponentially weighted means over all rows so far.
 
     Weighted sums grow along each block of a ticker, and what the last block with a close came to is carried into them,
     so every row costs the same however long the half-life. All windows have one order, and one exchange.
+
+    ``sums`` adds ``_closes<h>`` and ``_weights<h>``, the decayed sums of closes and of weights as of each row. ``seeded`` goes on from
+    them: rows with ``_old`` are the end of a history, of which the last row's sums stand for all of it.
     """
     if not all(BLOCK / 1000 <= h <= BLOCK / 60 for h in halflives):
         raise ValueError(f"half-lives must lie between {BLOCK / 1000} and {BLOCK // 60} rows")
     block = Window.partitionBy("ticker", "_b").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("ticker").orderBy("_b", "date").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_i", F.row_number().over(by_ticker()) - 1).withColumn("_b", F.floor(F.col("_i") / BLOCK))
-    weight = {h: F.when(F.col("close").isNotNull(), F.pow(F.lit(2.0), F.pmod("_i", F.lit(BLOCK)) / h)) for h in halflives}
-    sums = {f"_s{h}": w * F.col("close") for h, w in weight.items()} | {f"_w{h}": w for h, w in weight.items()}
-    rows = rows.withColumns({c: F.coalesce(F.sum(x).over(block), F.lit(0.0)) for c, x in sums.items()})
+    if seeded:
+        rows = rows.withColumn("_seed", F.col("_old") & ~F.coalesce(F.lead("_old").over(by_ticker()), F.lit(False)))
+    growth = {h: F.pow(F.lit(2.0), F.pmod("_i", F.lit(BLOCK)) / h) for h in halflives}
+
+    def share(h: int, held: str, value: Column) -> Column:
+        own = F.when(F.col("close").isNotNull(), growth[h] * value)
+        return F.when(F.col("_seed"), growth[h] * F.col(f"{held}{h}")).when(~F.col("_old"), own) if seeded else own
+
+    parts = {f"_s{h}": share(h, "_closes", F.col("close")) for h in halflives} | {f"_w{h}": share(h, "_weights", F.lit(1.0)) for h in halflives}
+    rows = rows.withColumns({c: F.coalesce(F.sum(x).over(block), F.lit(0.0)) for c, x in parts.items()})
     ends = {h: (F.pmod("_i", F.lit(BLOCK)) == BLOCK - 1) & (F.col(f"_w{h}") > 0) for h in halflives}
     carried = {f"_{k}{h}_": F.last(F.when(ends[h], F.col(f"_{k}{h}" if k != "b" else "_b")), ignorenulls=True).over(before) for h in halflives for k in "swb"}
     rows = rows.withColumns({c: F.coalesce(x, F.lit(0.0)) for c, x in carried.items()})
 
-    def mean(h: int) -> Column:
-        s, w, s_, w_, b_ = (F.col(c) for c in (f"_s{h}", f"_w{h}", f"_s{h}_", f"_w{h}_", f"_b{h}_"))
-        fade = F.pow(F.lit(2.0), (b_ - F.col("_b")) * (BLOCK / h))
-        return F.when(w > 0, (s + s_ * fade) / (w + w_ * fade)).otherwise(F.try_divide(s_, w_))
+    def total(h: int, k: str) -> Column:
+        fade = F.pow(F.lit(2.0), (F.col(f"_b{h}_") - F.col("_b")) * (BLOCK / h))
+        return F.when(F.col(f"_w{h}") > 0, F.col(f"_{k}{h}") + F.col(f"_{k}{h}_") * fade).otherwise(F.col(f"_{k}{h}_"))
 
-    means = {f"ewma_close_{h}": mean(h) for h in halflives}
-    return rows.withColumns(means).drop("_i", "_b", *sums, *carried)
+    out = {f"ewma_close_{h}": F.try_divide(total(h, "s"), total(h, "w")) for h in halflives}
+    if sums:
+        shrink = {h: F.when(F.col(f"_w{h}") > 0, F.lit(1.0)).otherwise(F.pow(F.lit(2.0), (F.col(f"_b{h}_") - F.col("_b")) * (BLOCK / h))) / growth[h] for h in halflives}
+        out |= {f"{name}{h}": total(h, k) * shrink[h] for h in halflives for k, name in (("s", "_closes"), ("w", "_weights"))}
+    return rows.withColumns(out).drop("_i", "_b", "_seed", *parts, *carried)
 
 
 def forward_return(horizon: int = HORIZON) -> Column:
@@ -90,13 +102,14 @@ def operand_expressions() -> dict[str, Column]:
     return out | {"mom_60": change(60), "corr_close_volume_10": rolling_correlation(10)}
 
 
-def with_operands(panel: DataFrame, names: list[str] | None = None, target: bool = False) -> DataFrame:
-    """The panel and the named rolling columns (all 19 by default), and ``fwd_ret`` if asked."""
+def with_operands(panel: DataFrame, names: list[str] | None = None, target: bool = False, sums: bool = False, seeded: bool = False) -> DataFrame:
+    """The panel and the named rolling columns (all 19 by default), and ``fwd_ret`` if asked; for ``sums`` and ``seeded``
+    see ``with_decayed_means``."""
     made = operand_expressions()
     names = names or FEATURE_COLS
     rows = clean(panel)
     if decayed := [int(n.rsplit("_", 1)[1]) for n in names if n.startswith("ewma")]:
-        rows = with_decayed_means(rows, decayed)
+        rows = with_decayed_means(rows, decayed, sums, seeded)
     return rows.withColumns({n: made[n] for n in names if n in made} | ({"fwd_ret": forward_return()} if target else {}))
 
 

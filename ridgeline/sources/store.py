@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,33 +33,68 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Rows that a bucket of a stored table holds, about.
 BUCKET_ROWS = 2_000_000
-_stored: dict[tuple[str, str, str], str] = {}
+
+
+class _Stored(NamedTuple):
+    table: str
+    path: str
+    sources: str
+    built: float
+
+
+_stored: dict[tuple[str, str, str], _Stored] = {}
 
 
 def bucket_count(spark: SparkSession, rows: int) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-rows // BUCKET_ROWS))
 
 
-def stored(spark: SparkSession, source: str, name: str, key: str, order: str, build: Callable[[], tuple[DataFrame, int]]) -> DataFrame:
-    """The table that ``build`` makes from the tables in ``source``, written by the first use in a session.
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """A digest of the files under ``paths``: their names, sizes and times of change. A missing path has none."""
+    jvm, conf, seen = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for path in sorted(paths):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(conf)
+        if fs.exists(where):
+            files = fs.listFiles(where, True)
+            while files.hasNext():
+                f = files.next()
+                seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()
+
+
+def stored(spark: SparkSession, source: str, name: str, key: str, order: str, build: Callable[[], tuple[DataFrame, int]], tables: list[str], max_age: float | None = None) -> DataFrame:
+    """The table that ``build`` makes from the Parquet ``tables`` in the folder ``source``, written by the first use in a
+    session, and anew as soon as a file of those has changed or the table is ``max_age`` seconds old.
 
     ``build`` returns the rows and a number of buckets. The table is bucketed by ``key`` and sorted by ``order`` in each
-    bucket, so windows and aggregates by ``key`` read it without a shuffle. It is external, in the shared folder.
+    bucket, so windows and aggregates by ``key`` read it without a shuffle. It is external, in the shared folder. One that is
+    built anew takes the place of the old one, whose files go; what still reads those must be made again.
     """
-    found = (spark.sparkContext.applicationId, source, name)
-    if found not in _stored or not spark.catalog.tableExists(_stored[found]):
+    found, now = (spark.sparkContext.applicationId, source, name), fingerprint(spark, [f"{source}/{t}.parquet" for t in tables])
+    have = _stored.get(found)
+    if have is None or have.sources != now or (max_age is not None and time.time() - have.built > max_age) or not spark.catalog.tableExists(have.table):
         rows, buckets = build()
         table = f"{name}_{uuid.uuid4().hex}"
+        path = f"{shared_dir(spark)}/ridgeline-{table}"
         writer = rows.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(*dict.fromkeys((key, order)))
-        writer.option("path", f"{shared_dir(spark)}/ridgeline-{table}").saveAsTable(table)
-        _stored[found] = table
-    return spark.table(_stored[found])
+        writer.option("path", path).saveAsTable(table)
+        _drop(spark, found)
+        _stored[found] = _Stored(table, path, now, time.time())
+    return spark.table(_stored[found].table)
+
+
+def _drop(spark: SparkSession, found: tuple[str, str, str]) -> None:
+    if (old := _stored.pop(found, None)) is not None:
+        spark.sql(f"DROP TABLE IF EXISTS {old.table}")
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old.path)  # dropping an external table leaves its files
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def forget(spark: SparkSession, source: str) -> None:
-    """Build the tables of ``source`` anew at their next use, since what they were made from has changed."""
+    """Drop the stored tables of ``source`` with their files; their next use builds them anew."""
     for found in [k for k in _stored if k[:2] == (spark.sparkContext.applicationId, source)]:
-        spark.sql(f"DROP TABLE IF EXISTS {_stored.pop(found)}")
+        _drop(spark, found)
 
 
 def write_table(rows: DataFrame, path: str, by: list[str] | None = None, mode: str = "overwrite") -> None:
@@ -73,18 +111,6 @@ def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-def rewrite_log(spark: SparkSession, path: str, schema: T.StructType, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Replace the log by ``change`` of it. The new log is written beside the old one before it takes its place."""
-    new = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    change(read_log(spark, path, schema)).write.option("header", True).csv(new)
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.rename(fs_path(path), fs_path(f"{new}-old"))
-    fs.rename(fs_path(new), fs_path(path))
-    fs.delete(fs_path(f"{new}-old"), True)
-    return read_log(spark, path, schema)
-
-
 def sampled(rows: DataFrame, most: int, key: str, seed: int = 0) -> DataFrame:
     """At most ``most`` rows, drawn by hash of the text ``key`` and ``seed``: a top-k per task, no sort of the whole."""
     return rows.orderBy(F.md5(F.concat_ws("|", key, F.lit(str(seed))).cast("binary")), key).limit(most)

@@ -9,6 +9,9 @@ from ridgeline.operators import features as P
 from ridgeline.sources.store import bucket_count, stored
 
 
+UNIVERSE_TABLES = ["supplier", "nation", "region"]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,7 +42,7 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build():
         return panel(spark, sf_dir), bucket_count(spark, table(spark, sf_dir, "lineitem").count())
 
-    return stored(spark, sf_dir, "bars", "ticker", "date", build)
+    return stored(spark, sf_dir, "bars", "ticker", "date", build, ["lineitem"])
 
 
 def operands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +52,7 @@ def operands(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = bars(spark, sf_dir)
         return P.build_operands(rows, universe(spark, sf_dir)), bucket_count(spark, rows.count())
 
-    return stored(spark, sf_dir, "operands", "date", "ticker", build)
+    return stored(spark, sf_dir, "operands", "date", "ticker", build, ["lineitem", *UNIVERSE_TABLES])
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +62,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = operands(spark, sf_dir)
         return P.training(rows), bucket_count(spark, rows.count())
 
-    return stored(spark, sf_dir, "features", "date", "ticker", build)
+    return stored(spark, sf_dir, "features", "date", "ticker", build, ["lineitem", *UNIVERSE_TABLES])
 
 
 def book_levels(events: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -291,6 +292,28 @@ def test_stored_tables_need_no_shuffle(spark):
     assert T.features(spark, SF).inputFiles() != same.inputFiles()
 
 
+def test_stored_tables_follow_their_sources(spark, tmp_path):
+    """A changed file, or a table too old, is built anew by itself, and the old files go."""
+    for name in ("lineitem", "supplier", "nation", "region"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    first = T.bars(spark, str(tmp_path))
+    n, files = first.count(), first.inputFiles()
+    assert T.bars(spark, str(tmp_path)).inputFiles() == files
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").where("l_suppkey <= 3")
+    lines.write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+    again = T.bars(spark, str(tmp_path))
+    assert again.count() == T.panel(spark, str(tmp_path)).count() < n
+    assert not any(Path(f.removeprefix("file://")).exists() for f in files)
+    features = T.features(spark, str(tmp_path)).inputFiles()
+    spark.read.parquet(f"{SF}/supplier.parquet").where("s_suppkey <= 2").write.mode("overwrite").parquet(f"{tmp_path}/supplier.parquet")
+    assert T.bars(spark, str(tmp_path)).inputFiles() == again.inputFiles() and T.features(spark, str(tmp_path)).inputFiles() != features
+    build = lambda: (spark.range(3).withColumnRenamed("id", "k"), 2)
+    old = store.stored(spark, str(tmp_path), "aged", "k", "k", build, ["lineitem"], max_age=3600).inputFiles()
+    assert store.stored(spark, str(tmp_path), "aged", "k", "k", build, ["lineitem"], max_age=3600).inputFiles() == old
+    assert store.stored(spark, str(tmp_path), "aged", "k", "k", build, ["lineitem"], max_age=0).inputFiles() != old
+    store.forget(spark, str(tmp_path))
+
+
 def test_live_rows_are_the_last_bars(spark):
     operands = T.operands(spark, SF)
     last = operands.agg(F.max("date")).first()[0]
@@ -389,7 +412,7 @@ def test_logs_and_reports_round_trip(spark, tmp_path):
     store.append_log(log.where("ticker = 'B'"), path)
     assert store.read_log(spark, path, schema.PREDICTIONS).count() == 2
     new = spark.createDataFrame([(dt.date(2024, 1, 1), "A", 0.25)], "date date, ticker string, fwd_ret double")
-    got = store.rewrite_log(spark, path, schema.PREDICTIONS, lambda old: D.resolve(old, new))
+    got = D.resolve(store.read_log(spark, path, schema.PREDICTIONS), new)
     assert sorted((r.ticker, r.realized_fwd_ret, r.resolved) for r in got.collect()) == [("A", 0.25, True), ("B", None, False)]
     store.write_report(log, str(tmp_path / "report"))
     assert store.read_report(spark, str(tmp_path / "report")).count() == 2
