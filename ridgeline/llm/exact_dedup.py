@@ -5,13 +5,15 @@ digests are grouped (with map-side partial aggregation, so a digest shared by a
 as a handful of partial rows) and met with the index by one sort-merge join, which reads the index in its buckets,
 without a shuffle. The digests that have no partner there, its anti-join, are appended in the same layout.
 
-Every entry names the batch that brought it. A batch that is run again, after a driver was lost between the append and
-the output or in the midst of the append, finds its own entries and gives the verdicts that it would have given.
+Every entry names the batch that brought it. A batch that is run again under its name, after a driver was lost between
+the append and the output or in the midst of the append, finds its own entries and gives the verdicts that it would have
+given. Without a name every call is new data, so documents that are delivered again are duplicates.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,10 @@ from ridgeline.llm.shared import fresh_path, join_hot, materialize, same
 _SORTED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
+#: Entries that a bucket of a new index is made for, about (48 bytes each).
+BUCKET_ROWS = 2_000_000
+
+
 def normalised(text: Column) -> Column:
     """The text with each run of ASCII white space as one space; null as the empty text."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
@@ -69,8 +75,7 @@ class DigestIndex:
         sorts first. Null and empty texts are equal to each other. Other columns of ``docs`` are not read. An empty
         table gives an empty result and leaves the index as it is.
 
-        ``batch`` names the batch. Without a name it goes by its count and an order-free checksum of its ids and
-        digests, so the same rows are the same batch whenever they come.
+        ``batch`` names the batch; give one, and the same one, to run it again. A batch without a name is new data.
         """
         rows = materialize(
             docs.select(
@@ -80,8 +85,8 @@ class DigestIndex:
             ),
             "digests",
         )
-        about = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("id", "digest").cast("decimal(38,0)")).alias("mark")).first()
-        name = batch if batch is not None else f"{about.n} rows, {about.mark}"
+        total = rows.count()
+        name = batch if batch is not None else uuid.uuid4().hex
         number = int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "big", signed=True)
         groups = rows.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("group_size"))
         index = self.read().select("digest", F.col("keep_id").alias("old_id"), F.col("batch").alias("old_batch"))
@@ -97,7 +102,7 @@ class DigestIndex:
             F.when(F.col("old_batch").isNull(), F.col("first.id")).otherwise(F.col("old_id")).alias("keep_id"),
             F.coalesce(F.col("old_batch") == number, F.lit(True)).alias("own"),
         )
-        return join_hot(rows, verdicts, "digest", "group_size", about.n).select(
+        return join_hot(rows, verdicts, "digest", "group_size", total).select(
             F.col("id").alias(id_col),
             "keep_id",
             "group_size",
@@ -107,5 +112,8 @@ class DigestIndex:
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None) -> DataFrame:
-    """``DigestIndex.dedup`` on the given index, or on a new one in the shared folder."""
-    return (index or DigestIndex(docs.sparkSession)).dedup(docs, id_col, text_col, batch)
+    """``DigestIndex.dedup`` on the given index, or on a new one in the shared folder with buckets for as many rows."""
+    if index is None:
+        size = docs.select(id_col).count()
+        index = DigestIndex(docs.sparkSession, buckets=max(32, -(-size // BUCKET_ROWS)))
+    return index.dedup(docs, id_col, text_col, batch)

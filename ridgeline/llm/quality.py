@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridgeline.llm import kernels as K
-from ridgeline.llm.shared import let_workers_import, materialize
+from ridgeline.llm.shared import let_workers_import, materialize, with_row_key
 
 SURFACE, WORDS = 16, 1 << 14
 FEATURES = SURFACE + 1
@@ -279,8 +279,8 @@ def classify(docs: DataFrame, labels: DataFrame, sites: list[Column] | None = No
 def keep_good(docs: DataFrame, labels: DataFrame, sites: list[Column] | None = None, threshold: float = 0.5, sample: int = 10_000) -> DataFrame:
     """The rows of ``docs`` that ``classify`` keeps, with their columns as they were. The keys of rejected rows are
     broadcast while they are few, so that no text is shuffled."""
-    keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    gone = materialize(_judged(keyed, labels, sites, ["_row"], threshold, sample).where("not kept").select("_row"), "rejected")
+    keyed, key = with_row_key(docs)
+    gone = materialize(_judged(keyed, labels, sites, [key], threshold, sample).where("not kept").select(key), "rejected")
     if gone.count() <= BROADCAST_KEYS:
         gone = F.broadcast(gone)
-    return keyed.join(gone, "_row", "left_anti").select(*docs.columns)
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)

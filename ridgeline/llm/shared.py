@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,13 +41,20 @@ def shared_dir(spark: SparkSession) -> str:
     return store.shared_dir(spark)
 
 
-_open: list[list[str]] = []
+class _Open(threading.local):
+    """The lists of folders that the surrounding ``scratch`` and ``recorded`` blocks of this thread keep."""
+
+    def __init__(self):
+        self.lists: list[list[str]] = []
+
+
+_open = _Open()
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
     path = f"{shared_dir(spark)}/ridgeline-{what}-{uuid.uuid4().hex}"
-    if _open:
-        _open[-1].append(path)
+    if _open.lists:
+        _open.lists[-1].append(path)
     return path
 
 
@@ -56,24 +66,24 @@ def delete(spark: SparkSession, path: str) -> None:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes on leaving what operators wrote in the shared folder inside; write results elsewhere before that."""
-    _open.append([])
+    _open.lists.append([])
     try:
         yield
     finally:
-        for path in _open.pop():
+        for path in _open.lists.pop():
             delete(spark, path)
 
 
 @contextmanager
 def recorded() -> Iterator[list[str]]:
     """The list of folders that operators write inside."""
-    _open.append([])
+    _open.lists.append([])
     try:
-        yield _open[-1]
+        yield _open.lists[-1]
     finally:
-        paths = _open.pop()
-        if _open:
-            _open[-1].extend(paths)
+        paths = _open.lists.pop()
+        if _open.lists:
+            _open.lists[-1].extend(paths)
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
@@ -83,6 +93,48 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, lengthened until it is none of ``taken`` in any case."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+#: Files that ``with_row_key`` numbers by a broadcast table (about 1 MB of paths).
+FILES = 10_000
+#: The same file is file:/x here and file:///x there.
+_SLASHES = "^([A-Za-z][A-Za-z0-9+.-]*):/+"
+
+
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether ``docs`` is columns and filters of one relation, so that no row of a file comes twice."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "LogicalRelation"
+
+
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column that tells its rows apart and stays the same however often they are read, and its name.
+
+    Rows of Parquet files are known by the number of their file and their place in it, so nothing is written; others are
+    written once with an id.
+    """
+    key = free_name(docs.columns, "_row")
+    try:
+        files = sorted(docs.inputFiles()) if _is_scan(docs) else []
+        if 0 < len(files) <= FILES:
+            file, place, number = (free_name(docs.columns, c) for c in ("_file", "_place", "_number"))
+            placed = docs.select("*", F.regexp_replace("_metadata.file_path", _SLASHES, "$1:/").alias(file), F.col("_metadata.row_index").alias(place))
+            numbers = docs.sparkSession.createDataFrame([(k, re.sub(_SLASHES, r"\1:/", f)) for k, f in enumerate(files)], f"`{number}` long, `{file}` string")
+            known = F.coalesce(F.col(number), F.raise_error(F.concat(F.lit("a file that was not there before: "), F.col(file))).cast("long"))
+            return placed.join(F.broadcast(numbers), file, "left").withColumn(key, F.shiftleft(known, 40) + F.col(place)).select(*docs.columns, key), key
+    except AnalysisException:
+        pass
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+
+
 def join_hot(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``table``, whose column ``size`` tells how many of the ``total`` rows have its ``key``.
 

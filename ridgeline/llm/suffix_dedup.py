@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm import bloom
 from ridgeline.llm import kernels as K
-from ridgeline.llm.shared import join_hot, materialize
+from ridgeline.llm.shared import free_name, join_hot, materialize
 
 WINDOW, GRAM = 200, 32
 SEGMENT = 1 << 22
@@ -296,30 +296,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ranges = materialize(covered(found), "ranges")
     spans = found.select("anchor", "content", "doc_id", "th", "start").join(ranges, ["anchor", "content"])
     moved = [F.transform(c, lambda x: x + F.col("start")).alias(c) for c in ("lo", "hi")]
-    spans = spans.select("doc_id", "th", *moved).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("lo")).alias("_lo"), F.flatten(F.collect_list("hi")).alias("_hi"))
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_lo", "_hi")
-    left = docs.select(*carry, F.col(id_col).cast("long").alias("_key"), F.col(text_col).cast("string").alias("_text"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_hash"))
-    met = left.join(spans, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_th")), "left").select(*carry, "_text", "_lo", "_hi")
+    # Rows that repeat an id and text bring the same ranges, each of which counts once.
+    spans = spans.select("doc_id", "th", *moved).distinct().groupBy("doc_id", "th").agg(F.flatten(F.collect_list("lo")).alias("_lo"), F.flatten(F.collect_list("hi")).alias("_hi"))
+    text, low, high, key, hashed, to, on = (free_name(docs.columns, c) for c in ("_text", "_lo", "_hi", "_key", "_hash", "_id", "_th"))
+    spans = spans.select(F.col("doc_id").alias(to), F.col("th").alias(on), F.col("_lo").alias(low), F.col("_hi").alias(high))
+    whole = F.col(text_col).cast("string")
+    left = docs.select(*carry, F.col(id_col).cast("long").alias(key), whole.alias(text), F.xxhash64(F.coalesce(whole, F.lit(""))).alias(hashed))
+    met = left.join(spans, F.col(key).eqNullSafe(F.col(to)) & (F.col(hashed) == F.col(on)), "left").select(*carry, text, low, high)
     fields = [met.schema[c] for c in carry]
 
     def cut(batches):
         for batch in batches:
-            data, offsets = K.text_bytes(batch.column("_text"))
-            lo, hi = batch.column("_lo"), batch.column("_hi")
+            data, offsets = K.text_bytes(batch.column(text))
+            lo, hi = batch.column(low), batch.column(high)
             out: list[list] = [[], [], [], [], []]
             for k in range(len(offsets) - 1):
-                text = data[offsets[k] : offsets[k + 1]]
+                own = data[offsets[k] : offsets[k + 1]]
                 removed = spans_ = 0
-                raw = text.tobytes()
+                raw = own.tobytes()
                 if lo[k].is_valid and len(lo[k]):
-                    turn = np.zeros(len(text) + 1, np.int64)
+                    turn = np.zeros(len(own) + 1, np.int64)
                     np.add.at(turn, lo[k].values.to_numpy(), 1)
                     np.subtract.at(turn, hi[k].values.to_numpy() - 1 + WINDOW, 1)
                     gone = np.cumsum(turn[:-1]) > 0
                     removed = int(gone.sum())
                     spans_ = int((np.diff(np.concatenate(([False], gone)).astype(np.int8)) == 1).sum())
-                    raw = text[~gone].tobytes()
-                for col, v in zip(out, (len(text), removed, spans_, hashlib.sha256(raw).hexdigest(), raw.decode("utf-8", "ignore")), strict=True):
+                    raw = own[~gone].tobytes()
+                for col, v in zip(out, (len(own), removed, spans_, hashlib.sha256(raw).hexdigest(), raw.decode("utf-8", "ignore")), strict=True):
                     col.append(v)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], [*carry, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])

@@ -161,10 +161,10 @@ def verdicts(df):
 def test_digest_index_gives_a_batch_its_verdicts_again(spark, monkeypatch):
     path = fresh_path(spark, "test-index")
     rows = [(1, "a"), (1, "a"), (None, "b"), (None, "b"), (3, "c")]
-    first = verdicts(DigestIndex(spark, path, 4).dedup(frame(spark, rows)))
+    first = verdicts(DigestIndex(spark, path, 4).dedup(frame(spark, rows), batch="first"))
     assert [r[2] for r in first].count(True) == 3
-    assert verdicts(DigestIndex(spark, path, 4).dedup(frame(spark, rows).repartition(3))) == first
-    # another batch, and a named one, of which none stays
+    assert verdicts(DigestIndex(spark, path, 4).dedup(frame(spark, rows).repartition(3), batch="first")) == first
+    # other batches, one with a name, of which none stays
     assert not any(r[2] for r in verdicts(DigestIndex(spark, path, 4).dedup(frame(spark, rows[:2]))))
     assert not any(r[2] for r in verdicts(DigestIndex(spark, path, 4).dedup(frame(spark, rows), batch="next")))
     assert DigestIndex(spark, path, 4).read().count() == 3
@@ -173,8 +173,16 @@ def test_digest_index_gives_a_batch_its_verdicts_again(spark, monkeypatch):
     with monkeypatch.context() as m:
         m.setattr("ridgeline.llm.exact_dedup.join_hot", lambda *a: 1 / 0)  # the driver is lost after the append
         with pytest.raises(ZeroDivisionError):
-            DigestIndex(spark, path, 4).dedup(frame(spark, more))
-    assert verdicts(DigestIndex(spark, path, 4).dedup(frame(spark, more))) == [(10, 10, True, 2), (11, 3, False, 1), (12, 10, False, 2)]
+            DigestIndex(spark, path, 4).dedup(frame(spark, more), batch="more")
+    assert verdicts(DigestIndex(spark, path, 4).dedup(frame(spark, more), batch="more")) == [(10, 10, True, 2), (11, 3, False, 1), (12, 10, False, 2)]
+
+
+def test_documents_delivered_again_are_duplicates(spark):
+    index = DigestIndex(spark, buckets=4)
+    rows = [(1, "a"), (2, "b")]
+    assert all(r[2] for r in verdicts(index.dedup(frame(spark, rows))))
+    assert not any(r[2] for r in verdicts(index.dedup(frame(spark, rows))))
+    assert [r[2] for r in verdicts(index.dedup(frame(spark, [*rows, (3, "c")])))] == [False, False, True]
 
 
 def test_digest_index_opened_by_another_process(spark, tmp_path):

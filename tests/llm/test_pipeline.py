@@ -40,6 +40,52 @@ def test_stages_one_by_one(spark):
     assert set(steps) == set(seen)
 
 
+def test_run_equals_its_stages_and_cleans_up(spark, tmp_path):
+    """Two runs at once, one over documents that run through a lazy input, keep off each other; what is left are the
+    folders that the result itself still reads."""
+    from pathlib import Path
+
+    from ridgeline.llm.shared import recorded
+
+    with recorded() as outer:
+        one = corpus_pipeline.run(spark, SF)
+        two = corpus_pipeline.run(spark, SF)
+        rows = [tuple(r) for r in one.orderBy("doc_id", "piece").collect()]
+        assert rows == [tuple(r) for r in two.orderBy("doc_id", "piece").collect()]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    stages = dict(corpus_pipeline.STAGES)["packing"](spark, docs, SF)
+    assert [r[:5] for r in rows] == [tuple(r)[:5] for r in stages.orderBy("doc_id", "piece").collect()]
+    left = [p for p in outer if Path(p.removeprefix("file:")).exists()]
+    assert len(left) < len(outer) / 2
+
+
+def test_a_stage_keeps_lazy_outputs_of_others_whole(spark):
+    """The output of a stage can still be read after the next stages have run on it, unwritten."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    steps = dict(corpus_pipeline.STAGES)
+    first = steps["exact_dedup"](spark, docs, SF)
+    second = steps["near_dedup"](spark, first, SF)
+    n = second.count()
+    assert steps["suffix_dedup"](spark, second, SF).count() == n == second.count() < first.count()
+
+
+def test_row_keys_tell_rows_of_files_apart(spark, tmp_path):
+    from ridgeline.llm.shared import with_row_key
+
+    rows = spark.range(1000).selectExpr("id % 7 as _row", "'x' as _FILE").repartition(5)
+    rows.write.parquet(f"{tmp_path}/t")
+    read = spark.read.parquet(f"{tmp_path}/t")
+    for docs in (read, read.where("_row < 3").select("_row"), rows, read.unionByName(read)):
+        keyed, key = with_row_key(docs)
+        assert key not in docs.columns and keyed.columns == [*docs.columns, key]
+        found = [(r[key], r["_row"]) for r in keyed.collect()]
+        assert len({k for k, _ in found}) == len(found) == docs.count()
+        assert sorted(found) == sorted((r[key], r["_row"]) for r in keyed.repartition(3).collect())
+
+
 def test_stages_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
