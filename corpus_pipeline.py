@@ -1,13 +1,13 @@
 """From raw documents to packed training sequences: quality, exact and near duplicates, repeated passages, packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all that its predecessor kept; all but the last return the
-columns of ``documents``. Every stage reads its own input more than once, so ``run`` writes it as Parquet first.
+columns of ``documents``. Stages read their input more than once, so it should be a written table, as in ``run``.
+Rows are known by their place in it: ids may be null or repeat. Extra columns of ``docs`` are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +17,7 @@ from ridgeline.llm.exact_dedup import exact_dedup
 from ridgeline.llm.minhash import near_dedup
 from ridgeline.llm.packing import pack
 from ridgeline.llm.quality import keep_good
-from ridgeline.llm.shared import delete, materialize, recorded, scan
+from ridgeline.llm.shared import delete, materialize, recorded, scan, with_row_key
 from ridgeline.llm.suffix_dedup import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,67 +32,59 @@ def _without_copies(docs: DataFrame, find: Callable[..., DataFrame], group: str)
 
     ``find`` sees a key of the row instead of its id, so rows that repeat an id or have none are told apart.
     """
-    keyed = materialize(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    found = find(keyed, id_col="_row").select("_row", F.col(group).alias("_group"))
-    found = materialize(found.join(keyed.select("_row", "doc_id"), "_row"), "groups")
-    first = found.groupBy("_group").agg(F.min(F.struct("doc_id", "_row")).alias("_first")).select(F.col("_first._row").alias("_row"))
-    gone = materialize(found.select("_row").join(first, "_row", "left_anti"), "gone")
+    keyed, key = with_row_key(docs.select(*COLUMNS))
+    found = find(keyed, id_col=key).select(key, F.col(group).alias("_group"))
+    found = materialize(found.join(keyed.select(key, "doc_id"), key), "groups")
+    first = found.groupBy("_group").agg(F.min(F.struct("doc_id", key)).alias("_first")).select(F.col("_first")[key].alias(key))
+    gone = materialize(found.select(key).join(first, key, "left_anti"), "gone")
     if gone.count() <= BROADCAST_IDS:  # then no text is shuffled
         gone = F.broadcast(gone)
-    return keyed.join(gone, "_row", "left_anti").select(*COLUMNS)
+    return keyed.join(gone, key, "left_anti").select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts. Null and wordless texts are judged by their site alone; rows that repeat an
+    id are judged one by one, all with that id's label."""
     return keep_good(docs.select(*COLUMNS), scan(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text but for white space; null and empty texts are one. The smallest id stays, of repeated rows one."""
     return _without_copies(docs, exact_dedup, "keep_id")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of documents that are linked by near-equal texts; texts without words are linked with nothing."""
     return _without_copies(docs, near_dedup, "component_id")
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document whose passages all go stays as an empty text; untouched null texts stay null."""
+    """Documents without the passages that stand anywhere else too. One whose passages all go stays as an empty text;
+    untouched null texts stay null; rows that repeat an id and text repeat each other, so nothing of both stays."""
     cut = remove_repeats(docs.select(*COLUMNS), carry=COLUMNS)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     return cut.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences, as ``packing.pack``: a null or empty text is its end token alone, repeated
+    rows have each their own pieces."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-_left: list[str] = []
-
-
-def _clearing(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """``stage``, which first deletes what the stage before wrote on its way, unless its input still reads from there."""
-
-    @wraps(stage)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        used = docs.inputFiles() if _left else []
-        for path in [p for p in _left if not any(p.rsplit("/", 1)[1] in f for f in used)]:
-            delete(spark, path)
-            _left.remove(path)
-        with recorded() as paths:
-            out = stage(spark, docs, sf_dir)
-        _left[:] = [*_left, *paths] if stage is not packing else []
-        return out
-
-    return run_stage
-
-
-STAGES = [(name, _clearing(stage)) for name, stage in (("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("suffix_dedup", passages), ("packing", packing))]
+STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("suffix_dedup", passages), ("packing", packing)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each stage's rows are written in the shared folder and read again by the next."""
-    docs = scan(spark, sf_dir, "documents").select(*COLUMNS)
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, name)
-    return docs
+    """All stages on ``documents``. Each stage's rows are written in the shared folder and read again by the next; what it
+    wrote on its way, and its input, goes as soon as they are. The last stage's result still reads its own."""
+    docs, before = scan(spark, sf_dir, "documents").select(*COLUMNS), []
+    for name, stage in STAGES[:-1]:
+        with recorded() as own:
+            out = stage(spark, docs, sf_dir)
+        with recorded() as written:
+            docs = materialize(out, name)
+        for path in [*own, *before]:
+            delete(spark, path)
+        before = written
+    return STAGES[-1][1](spark, docs, sf_dir)
