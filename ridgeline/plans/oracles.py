@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from ridgeline.operators.significance import expected_best
-from ridgeline.plans.queries import NUDGE, RESOLVED_BEFORE, TRIALS
+from ridgeline.plans.queries import RESOLVED_BEFORE, TRIALS
 from ridgeline.schema import FEATURE_COLS
 
 PANEL = """
@@ -101,6 +100,10 @@ def _q(ctes: str, cols: str, tail: str) -> str:
     return f"WITH {ctes.strip()}\nSELECT {', '.join(items)} FROM {tail}"
 
 
+def _short_decimals(*names: str) -> str:
+    return _q(OPERANDS, "date; ticker; " + "; ".join(f"CAST(round(CAST({n} AS DECIMAL(38, 9)), 6) AS DOUBLE) AS {n}" for n in names), "o")
+
+
 def _operand(*names: str) -> str:
     return _q(OPERANDS, "date; ticker; " + "; ".join(f"~{n}" for n in names), "o")
 
@@ -126,16 +129,19 @@ _BEST = "~bp AS best_bid; ~ap AS best_ask; ~mid AS mid_price; ~ap - bp AS spread
 _DEPTH = "; ".join(f"~b{t} AS bid_depth_top{t}; ~a{t} AS ask_depth_top{t}; ~CASE WHEN b{t} + a{t} > 0 THEN (b{t} - a{t}) / (b{t} + a{t}) ELSE 0.0 END AS imbalance_top{t}" for t in (5, 10, 25))
 LOG = ALPHA + REBALANCE + f""",
 lg AS (SELECT date AS predict_date, ticker, alpha, CASE WHEN date < DATE '{RESOLVED_BEFORE}' THEN fwd_ret END AS realized_fwd_ret, date < DATE '{RESOLVED_BEFORE}' AS resolved FROM r)"""
-_T = "(1 / (1 + abs(z) / sqrt(2) / 2))"
-_COEF = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
 
 
-def _cdf() -> str:
-    poly = str(_COEF[-1])
-    for c in reversed(_COEF[:-1]):
-        poly = f"({c} + {_T} * {poly})"
-    tail = f"({_T} * exp(-z * z / 2 + {poly}) / 2)"
-    return f"CASE WHEN z < 0 THEN {tail} ELSE 1 - {tail} END"
+def _cdf(z: str = "z") -> str:
+    """The normal distribution function by the series of its odd powers over double factorials, from gamma functions."""
+    terms = f"list_transform(range(0, 200), lambda k: exp((2 * k + 1) * ln(abs({z})) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi())))"
+    half = f"exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * list_sum({terms})"
+    return f"CASE WHEN {z} = 0 THEN 0.5 WHEN abs({z}) > 9 THEN CAST(({z}) > 0 AS INT) + 0.0 ELSE 0.5 + sign({z}) * {half} END"
+
+
+def _quantile(p: str) -> str:
+    """Where that function reaches ``p`` (over one half), step by halved step."""
+    steps = ", ".join(str(8 * 0.5**k) for k in range(56))
+    return f"list_reduce([0.0, {steps}], lambda a, s: CASE WHEN {_cdf('(a + s)')} <= {p} THEN a + s ELSE a END)"
 
 
 DRIFT = ALPHA + REBALANCE + f""",
@@ -147,7 +153,9 @@ dr AS (SELECT *, {_cdf()} AS p FROM dt WHERE as_of >= 8)"""
 _STATUS = "CASE WHEN p < 0.10 THEN 'drift_flagged' ELSE 'normal' END AS status"
 
 
-_BAR = repr(expected_best(TRIALS))
+_TRIED = f"[{', '.join(map(repr, TRIALS))}]"
+#: The best of skill-less trials, with Euler's constant.
+_BAR = f"(SELECT stddev_samp(x) FROM (SELECT unnest({_TRIED}) AS x)) * ((1 - 0.5772156649015329) * {_quantile(f'(1 - 1.0 / {len(TRIALS)})')} + 0.5772156649015329 * {_quantile(f'(1 - 1 / ({len(TRIALS)} * exp(1)))')})"
 
 
 def _guard(x: str, value: str, other: str) -> str:
@@ -164,9 +172,9 @@ def oracle_sql() -> dict[str, str]:
         cells = [f"(SELECT round(coalesce(avg(coalesce(ic, 0.0)), 0.0), 6) + 0.0 FROM (SELECT {_ic('x', 'y')} AS ic FROM (SELECT date, {x} AS x, {y} AS y FROM pr WHERE side = '{s}' AND f{i} IS NOT NULL) GROUP BY date)) AS {s}{n}_ic" for n, x, y in (("", f"f{i}", "fwd_ret"), ("_rank", _RANK.format(c=f"f{i}"), _RANK.format(c="fwd_ret"))) for s in ("train", "test")]
         report.append(f"SELECT CAST({i} AS INT) AS idx, '{text}' AS formula, {', '.join(cells)}")
     split = FEATURES + ", sd AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM f)), cut AS (SELECT date AS c FROM sd WHERE i = CAST(floor(n * (1 - CAST(0.2 AS DOUBLE))) AS BIGINT))"
-    names = ["vwap", "mom_60", "fwd_ret"]
+    names = [*FEATURE_COLS, "fwd_ret"]
     return {
-        "typical_price": _operand(f"vwap + {NUDGE} AS vwap"), "ret_1d": _operand("ret_1d"), "rolling_mean": _operand(*(f"mean_close_{w} + {NUDGE} AS mean_close_{w}" for w in (5, 10, 20))), "momentum": _q(OPERANDS, "date; ticker; mom_60", "o"), "delta": _q(OPERANDS, "date; ticker; delta_close_5; delta_close_10; delta_close_20", "o"), "rolling_corr": _operand("corr_close_volume_10"), "fwd_return": _operand("fwd_ret"),
+        "typical_price": _short_decimals("vwap"), "ret_1d": _operand("ret_1d"), "rolling_mean": _short_decimals(*(f"mean_close_{w}" for w in (5, 10, 20))), "momentum": _q(OPERANDS, "date; ticker; mom_60", "o"), "delta": _q(OPERANDS, "date; ticker; delta_close_5; delta_close_10; delta_close_20", "o"), "rolling_corr": _operand("corr_close_volume_10"), "fwd_return": _operand("fwd_ret"),
         **{q: _operand(*(f"{n}_{w}" for w in (5, 10, 20))) for q, n in (("rolling_std", "std_close"), ("rolling_sum", "sum_volume"), ("ewma", "ewma_close"))},
         "sector_attach": _q(PANEL, "date; p.ticker; coalesce(v.sector, 'Unknown') AS sector", "p LEFT JOIN u v ON p.ticker = v.ticker"),
         "sector_neutral_target": _q(OPERANDS, d + "sector; ~fwd_ret - avg(fwd_ret) OVER (PARTITION BY date, sector) AS fwd_ret_neutral", "o WHERE fwd_ret IS NOT NULL"),
@@ -194,7 +202,7 @@ def oracle_sql() -> dict[str, str]:
         "period_metrics": _q(_MILD, f"count(*) AS n_periods; ~{_METRIC.format(_ANN)} AS ann_return; ~{_METRIC.format(_VOL)} AS ann_vol; ~{_METRIC.format(f'({_ANN}) / nullif({_VOL}, 0)')} AS sharpe; ~{_METRIC.format(_ANN.replace('1 + ret', '1 + long_only'))} AS long_only_ann_return; ~{_METRIC.format('product(1 + ret)')} AS equity_multiple", "ml"),
         "equity_curve": _q(_MILD, "date; ~exp(sum(ln(1 + ret)) OVER (ORDER BY date)) AS equity", "ml"),
         "psr_moments": _q(_MILD + ", c AS (SELECT ret - avg(ret) OVER () AS e, ret FROM ml WHERE ret IS NOT NULL)", "count(*) AS n; ~avg(ret) AS mean; ~stddev_samp(ret) AS sd; ~avg(ret) / stddev_samp(ret) AS sharpe; ~avg(e ** 3) / pow(avg(e * e), 1.5) AS skew; ~avg(e ** 4) / pow(avg(e * e), 2) AS kurtosis", "c"),
-        "deflated_sharpe": _q(_MILD + f", c AS (SELECT ret - avg(ret) OVER () AS e, ret FROM ml WHERE ret IS NOT NULL), mo AS (SELECT count(*) AS n, avg(ret) / stddev_samp(ret) AS sr, avg(e ** 3) / pow(avg(e * e), 1.5) AS sk, avg(e ** 4) / pow(avg(e * e), 2) AS ku FROM c HAVING count(*) >= 2), zz AS (SELECT *, (sr - {_BAR}) * sqrt(n - 1) / sqrt(1 - sk * sr + (ku - 1) / 4 * sr * sr) AS z FROM mo)", f"CAST({len(TRIALS)} AS INT) AS n_trials; ~sr AS sharpe; ~{_BAR} AS expected_best; ~{_cdf()} AS deflated", "zz"),
+        "deflated_sharpe": _q(_MILD + f", c AS (SELECT ret - avg(ret) OVER () AS e, ret FROM ml WHERE ret IS NOT NULL), mo AS (SELECT count(*) AS n, avg(ret) / stddev_samp(ret) AS sr, avg(e ** 3) / pow(avg(e * e), 1.5) AS sk, avg(e ** 4) / pow(avg(e * e), 2) AS ku FROM c HAVING count(*) >= 2), bar AS (SELECT {_BAR} AS best), zz AS (SELECT *, (sr - best) * sqrt(n - 1) / sqrt(1 - sk * sr + (ku - 1) / 4 * sr * sr) AS z FROM mo, bar)", f"CAST({len(TRIALS)} AS INT) AS n_trials; ~sr AS sharpe; ~best AS expected_best; ~{_cdf()} AS deflated", "zz"),
         "formula_eval": _q(FEATURES, d + "; ".join(f"~{v} AS {k}" for k, v in _PLAIN.items()), "f"),
         "formula_eval_protected": _q(FEATURES, d + "; ".join(f"~{v} AS f{k}" for k, v in enumerate((_guard("ret_1d", "vwap / ret_1d", "1.0"), _guard("mean_close_5 - vwap", "ln(abs(mean_close_5 - vwap))", "0.0"), "sqrt(abs(mom_60))", _guard("delta_close_5", "1 / delta_close_5", "0.0"), "greatest(vwap, least(mom_60, 0.25))"))), "f"),
         "formula_dedup": "SELECT 'add(vwap, ' || CAST(p_size AS VARCHAR) || ')' AS formula, min(p_partkey - 1) AS idx FROM part GROUP BY 1",
@@ -215,12 +223,14 @@ def oracle_sql() -> dict[str, str]:
         "weekly_ic": _q(LOG + f", k AS (SELECT predict_date, {_ic('alpha', 'realized_fwd_ret')} AS ic FROM lg WHERE resolved GROUP BY predict_date)", "predict_date; ~ic", "k WHERE ic IS NOT NULL"),
         "baseline_stats": _q(DRIFT, "~mean; ~std", "bs"),
         "drift_timeline": _q(DRIFT, f"as_of; date; {_STATUS}; n_weeks; ~recent_mean_ic; ~baseline_mean_ic; ~z AS z_score; ~p AS p_value", "dr"),
-        "remine_policy": "SELECT true AS should_remine, ['stale: 96 days, at most 90'] AS reasons, CAST(96 AS INT) AS staleness_days",
+        "remine_policy": _q(DRIFT + f", st AS (SELECT date, {_STATUS}, CAST(date - min(date) OVER () AS INT) AS days FROM dr)", "date; days AS staleness_days; days >= 90 OR status = 'drift_flagged' AS should_remine; concat_ws('; ', CASE WHEN days >= 90 THEN 'stale: ' || CAST(days AS VARCHAR) || ' days, at most 90' END, CASE WHEN status = 'drift_flagged' THEN 'drift flagged' END) AS reasons".replace("'; '", "chr(59) || ' '"), "st"),
         "remine_decision": _q(DRIFT, f"date; {_STATUS}; CAST(DATE '2001-11-05' - date AS INT) AS days; DATE '2001-11-05' - date >= 90 OR p < 0.10 AS should_remine", "dr"),
         "book_best": _q(_BOOKS, "bucket; " + _BEST, "b"), "book_depth_imbalance": _q(_BOOKS, "bucket; " + _DEPTH, "b"), "book_features": _q(_BOOKS, "'EVT' AS symbol; bucket; " + _BEST + "; " + _DEPTH, "b"),
         "fold_summary": _q(ICS, "~avg(ic) AS mean; ~stddev_pop(ic) AS std; ~min(ic) AS min; ~max(ic) AS max; ~avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate", "ics WHERE feature = 'vwap'"),
         "overfit_rule": _q(ICS + ", w AS (SELECT feature, avg(ic) FILTER (fold <= 3) AS a, avg(ic) FILTER (fold > 3) AS b FROM ics GROUP BY feature)", "feature; ~CASE WHEN a > 0 THEN b / a END AS retained; coalesce(a > 0.005 AND (b / a < 0.3 OR b < 0), false) AS alarm", "w"),
         "union_oos": _q(ALPHA + FOLDS.format(embargo=0), f"fold; count(*) AS n; ~avg(alpha) AS mean_alpha; ~{_corr('alpha', 'fwd_ret')} AS corr", "a JOIN folds ON date BETWEEN test_start AND test_end GROUP BY fold"),
         "oos_sample": _q(ALPHA + FOLDS.format(embargo=0), "date; ticker; ~alpha; ~fwd_ret", "(SELECT a.* FROM a JOIN folds ON date BETWEEN test_start AND test_end ORDER BY md5(ticker || '|' || CAST(date AS VARCHAR) || '|0'), ticker || '|' || CAST(date AS VARCHAR) LIMIT 5000)"),
+        "drift_stream": _q(DRIFT, f"as_of; date; {_STATUS}; n_weeks; ~recent_mean_ic; ~baseline_mean_ic; ~z AS z_score; ~p AS p_value", "dr"), "features_appended": _q(FEATURES, d + "sector; " + "; ".join(f"~{c}" for c in [*FEATURE_COLS, "fwd_ret", "fwd_ret_neutral"]), "f"),
+        "log_stream": _q(LOG, "predict_date; ticker; ~alpha; ~realized_fwd_ret; resolved", "lg"),
         "windowed_events": "SELECT to_timestamp(epoch(ts) - epoch(ts) % 21600) AT TIME ZONE 'UTC' AS start, event_type, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM events GROUP BY ALL",
     }

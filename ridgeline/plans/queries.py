@@ -29,9 +29,12 @@ from ridgeline.operators import significance as G
 from ridgeline.plans import mining as N
 from ridgeline.plans import serving as R
 from ridgeline.plans import validation as W
+from ridgeline.plans.increments import FeatureStore
 from ridgeline.schema import FEATURE_COLS
 from ridgeline.sources import testdata as T
 from ridgeline.sources.store import forget, sampled, shared_dir
+from ridgeline.streaming import drift as DS
+from ridgeline.streaming.log import EVENTS, PredictionLog
 
 #: Sharpe ratios per period of the configurations that the deflated ratio counts as tried.
 TRIALS = [0.01, 0.03, -0.02, 0.04]
@@ -42,8 +45,6 @@ SEARCH = {"population": 40, "generations": 3, "tournament": 8}
 FORMULAS = ["mean_close_10 - vwap", "sqrt(sum_volume_20 + 0.6)", "log(sum_volume_20 + 1.63)", "-delta_close_5 * 0.5", "0.9372159"]
 WEIGHTS = [0.02, 0.01, 0.0, 0.03, 0.00135]
 PREFIX = ["div(vwap, ret_1d)", "log(sub(mean_close_5, vwap))", "sqrt(neg(abs(mom_60)))", "inv(delta_close_5)", "max(vwap, min(mom_60, 0.25))"]
-#: Means of short decimals often lie halfway between two rounded values; this moves them off, before they are rounded.
-NUDGE = 1.2345e-7
 EXPLAINED = "sqrt(abs(sum_volume_20 - delta_close_5)) / 2"
 #: Predictions from this date on have no outcome yet.
 RESOLVED_BEFORE = date(2000, 1, 1)
@@ -53,6 +54,12 @@ def _round(df: DataFrame) -> DataFrame:
     return df.select(*(rounded(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
+def _short_decimals(df: DataFrame, names: list[str]) -> DataFrame:
+    """Means of prices, which have few digits and often lie halfway between two values of six: rounded from their first
+    nine decimals, half up, which both engines see alike whatever order they add in."""
+    return df.withColumns({c: F.round(F.col(c).cast("decimal(38,9)"), 6).cast("double") for c in names})
+
+
 def _panel(spark, d, *names, target=False):
     return P.with_operands(T.bars(spark, d), list(names) or ["vwap"], target).select("date", "ticker", *names, *(["fwd_ret"] if target else []))
 
@@ -92,7 +99,7 @@ def _search(spark, d):
 
 
 def typical_price(spark, d):
-    return _round(_panel(spark, d, "vwap").withColumn("vwap", F.col("vwap") + NUDGE))
+    return _short_decimals(_panel(spark, d, "vwap"), ["vwap"])
 
 
 def ret_1d(spark, d):
@@ -101,7 +108,7 @@ def ret_1d(spark, d):
 
 def rolling_mean(spark, d):
     names = ["mean_close_5", "mean_close_10", "mean_close_20"]
-    return _round(_panel(spark, d, *names).withColumns({c: F.col(c) + NUDGE for c in names}))
+    return _short_decimals(_panel(spark, d, *names), names)
 
 
 def rolling_std(spark, d):
@@ -305,7 +312,7 @@ def pool_values(spark, d):
 
 def gram_matrix(spark, d):
     rows = _features(spark, d)
-    return _round(rows.agg(*C.gram_aggregates(["vwap", "mom_60"], "fwd_ret")))
+    return _round(rows.agg(*C.gram_aggregates(FEATURE_COLS, "fwd_ret")))
 
 
 def lasso_combine(spark, d):
@@ -482,8 +489,55 @@ def preflight(spark, d):
 
 
 def remine_policy(spark, d):
-    hit, why, days = D.should_remine("2001-08-01T00:00:00", "normal", datetime(2001, 11, 5))
-    return spark.createDataFrame([(hit, why, days)], "should_remine boolean, reasons array<string>, staleness_days int")
+    """What the policy says as of each state of the monitor, about a model that was mined at the first of them."""
+    states = D.replay(_alpha(spark, d)).select("date", "status")
+    first = states.agg(F.min("date").alias("mined"))
+    days = F.datediff("date", "mined")
+    rows = states.join(F.broadcast(first)).select("date", days.alias("staleness_days"), D.remine_column(days, F.col("status")).alias("should_remine"), D.remine_reasons(days, F.col("status")).alias("why"))
+    return rows.select("date", "staleness_days", "should_remine", F.array_join("why", "; ").alias("reasons"))
+
+
+def log_stream(spark, d):
+    """The prediction log as a stream makes it: predictions and outcomes of all dates mixed in eight files, a batch each."""
+    rows = _log(spark, d)
+    said = rows.select("predict_date", "ticker", "alpha", F.lit(None).cast("double").alias("fwd_ret"))
+    came = rows.where("resolved").select("predict_date", "ticker", F.lit(None).cast("double").alias("alpha"), F.col("realized_fwd_ret").alias("fwd_ret"))
+    place = f"{shared_dir(spark)}/ridgeline-log-{uuid.uuid4().hex}"
+    said.unionByName(came).repartition(8, F.xxhash64("ticker", F.col("alpha").isNull())).write.parquet(f"{place}/events")
+    log = PredictionLog(spark, f"{place}/log", "parquet")
+    log.follow(spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{place}/events"), "log_stream", f"{place}/at").awaitTermination()
+    return _round(log.read())
+
+
+def drift_stream(spark, d):
+    """The states of ``drift_timeline`` as streams make them, against the history's own baseline: predictions and outcomes in
+    four files a side, two to a batch; the first dates are complete only when a last event moves the watermark."""
+    rows = B.rebalance_rows(_alpha(spark, d))
+    place = f"{shared_dir(spark)}/ridgeline-drift-{uuid.uuid4().hex}"
+    said = rows.select(F.col("date").alias("predict_date"), "ticker", "alpha")
+    came = rows.select(F.col("date").alias("predict_date"), "ticker", "fwd_ret", (F.col("date").cast("timestamp") + F.expr("interval 7 days")).alias("known_at"))
+    last = spark.range(1).select(F.lit(date(2100, 1, 1)).alias("predict_date"), F.lit("").alias("ticker"))
+    for name, part, end in (("said", said, {"alpha": F.lit(0.0)}), ("came", came, {"fwd_ret": F.lit(0.0), "known_at": F.lit(datetime(2100, 1, 1))})):
+        part.repartition(4, "ticker").write.parquet(f"{place}/{name}")
+        last.withColumns(end).write.mode("append").parquet(f"{place}/{name}")
+    base = D.baseline(D.period_ic(_alpha(spark, d))).first()
+    said, came = (spark.readStream.schema(part.schema).option("maxFilesPerTrigger", 2).parquet(f"{place}/{name}") for name, part in (("said", said), ("came", came)))
+    DS.write_stream(DS.period_ics(said, came, late="20000 days"), f"{place}/ics", f"{place}/at1").awaitTermination()
+    ics = spark.readStream.schema(DS.ICS).parquet(f"{place}/ics")
+    DS.write_stream(DS.drift_states(ics, base["mean"], base["std"]), f"{place}/states", f"{place}/at2").awaitTermination()
+    return _round(spark.read.parquet(f"{place}/states").where("as_of >= 8"))
+
+
+def features_appended(spark, d):
+    """``features_full`` by increments: all bars but those of the last five weeks, then four weeks, then the last."""
+    bars, universe = T.bars(spark, d), T.universe(spark, d)
+    last = bars.agg(F.max("date")).first()[0]
+    store = FeatureStore(spark, f"{shared_dir(spark)}/ridgeline-features-{uuid.uuid4().hex}")
+    if last is not None:
+        for k, (newest, oldest) in enumerate(((10**6, 35), (35, 7), (7, 0))):
+            age = F.datediff(F.lit(last), F.col("date"))
+            store.append(bars.where((age < newest) & (age >= oldest)), universe, "features_appended", k)
+    return _round(store.read().select("date", "ticker", "sector", *FEATURE_COLS, "fwd_ret", "fwd_ret_neutral"))
 
 
 _ORDER = [
@@ -492,7 +546,7 @@ _ORDER = [
     ic_weighted_sector_neutral, period_metrics, equity_curve, psr_moments, deflated_sharpe, formula_eval, formula_eval_protected, formula_dedup, explain_nodes, explain_ticker, pool_report, pool_values, gram_matrix, lasso_combine, least_squares, lasso_one,
     walk_forward_combine, composite_score, top_n, top_n_sector_capped, serve_stored_model, sector_counts, record_prediction, resolve_predictions, weekly_ic, baseline_stats, drift_timeline, remine_decision, remine_policy,
     book_best, book_depth_imbalance, book_features, fold_summary, overfit_rule, union_oos, oos_sample, windowed_events, genetic_search, pareto_search, second_stage_search, walk_forward, complexity_sweep,
-    elasticnet_baseline, boosted_trees_importance, preflight,
+    elasticnet_baseline, boosted_trees_importance, preflight, log_stream, drift_stream, features_appended,
 ]
 
 

@@ -2,7 +2,12 @@
 
 ``spark.read.format("addresses")`` and ``spark.readStream`` of the same take the options ``addresses`` (a JSON object
 of keys and addresses), ``batch`` (keys a partition, 50), ``timeout`` (seconds, 30), ``agent`` (the user agent) and
-``missing`` (``fail``, or ``skip`` keys that can't be fetched). A stream fetches every key once per trigger.
+``missing`` (``fail``, or ``skip`` keys that can't be fetched).
+
+A stream has a turn every ``every`` seconds (60), in which each key is fetched once; turns that pass while it stands still
+are left out. It needs ``log``, a folder that all executors share (a path, or an address that pyarrow can open). What
+a task fetches for a turn is written there before its rows go on, and a task that finds its part there reads it instead of
+fetching: a batch that is replayed has the rows it had. A log belongs to one query; the last ``keep`` turns (10) stay in it.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from ridgeline.sources.providers import BookProvider, MarketProvider, long_bars,
 
 def register_addresses(spark: SparkSession) -> None:
     """Make the format ``addresses`` known to the session. The classes are local, so that workers need no import."""
-    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+    from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
     def fetch(options, pairs):
         from datetime import datetime, timezone
@@ -34,32 +39,82 @@ def register_addresses(spark: SparkSession) -> None:
                 if options.get("missing", "fail") != "skip":
                     raise
 
+    def chunks(options):
+        pairs, size = list(json.loads(options["addresses"]).items()), int(options.get("batch", 50))
+        return [pairs[k : k + size] for k in range(0, len(pairs), size)]
+
+    def opened(options):
+        import os
+
+        from pyarrow import fs
+
+        where = options["log"]
+        return fs.FileSystem.from_uri(where) if ":" in where else (fs.LocalFileSystem(), os.path.abspath(where))
+
     class Reader(DataSourceReader):
         def __init__(self, options):
             self.options = dict(options)
 
         def partitions(self):
-            pairs, size = list(json.loads(self.options["addresses"]).items()), int(self.options.get("batch", 50))
-            return [InputPartition(pairs[k : k + size]) for k in range(0, len(pairs), size)] or [InputPartition([])]
+            return [InputPartition(c) for c in chunks(self.options)] or [InputPartition([])]
 
         def read(self, partition):
             return fetch(self.options, partition.value)
 
-    class StreamReader(SimpleDataSourceStreamReader):
+    class StreamReader(DataSourceStreamReader):
         def __init__(self, options):
             self.options = dict(options)
+            if "log" not in self.options:
+                raise ValueError("a stream of addresses needs the option log, a shared folder")
 
         def initialOffset(self):
-            return {"turn": 0}
+            return {"turn": -1}
+
+        def latestOffset(self):
+            import time
 
-        def read(self, start):
-            return self.all_keys(), {"turn": start["turn"] + 1}
+            return {"turn": int(time.time() / float(self.options.get("every", 60)))}
 
-        def readBetweenOffsets(self, start, end):
-            return self.all_keys()
+        def partitions(self, start, end):
+            turn = end["turn"]
+            return [InputPartition((turn, k, c)) for k, c in enumerate(chunks(self.options))] if turn > start["turn"] else []
 
-        def all_keys(self):  # Spark copies the iterator, which a generator doesn't allow
-            return iter(list(fetch(self.options, json.loads(self.options["addresses"]).items())))
+        def read(self, partition):
+            import os
+            import uuid
+            from datetime import datetime
+
+            from pyarrow import fs
+
+            turn, part, pairs = partition.value
+            store, root = opened(self.options)
+            folder = f"{root}/turn={turn:012d}"
+            final = f"{folder}/{part:06d}.json"
+            if store.get_file_info(final).type == fs.FileType.NotFound:
+                store.create_dir(folder, recursive=True)
+                draft = f"{final}.{uuid.uuid4().hex}"
+                with store.open_output_stream(draft) as out:
+                    out.write(json.dumps([(k, at.isoformat(), text) for k, at, text in fetch(self.options, pairs)]).encode())
+                if isinstance(store, fs.LocalFileSystem):
+                    try:
+                        os.link(draft, final)  # the first of two attempts counts
+                    except FileExistsError:
+                        pass
+                    store.delete_file(draft)
+                elif store.get_file_info(final).type == fs.FileType.NotFound:
+                    store.move(draft, final)
+            with store.open_input_stream(final) as got:
+                rows = json.loads(got.read())
+            return iter([(k, datetime.fromisoformat(at), text) for k, at, text in rows])
+
+        def commit(self, end):
+            from pyarrow import fs
+
+            store, root = opened(self.options)
+            turns = sorted(f.path for f in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.base_name.startswith("turn="))
+            done = [t for t in turns if int(t.rsplit("=", 1)[1]) <= end["turn"]]
+            for path in done[: -max(1, int(self.options.get("keep", 10)))]:
+                store.delete_dir(path)
 
     class Addresses(DataSource):
         @classmethod
@@ -72,7 +127,7 @@ def register_addresses(spark: SparkSession) -> None:
         def reader(self, schema):
             return Reader(self.options)
 
-        def simpleStreamReader(self, schema):
+        def streamReader(self, schema):
             return StreamReader(self.options)
 
     spark.dataSource.register(Addresses)
@@ -117,13 +172,14 @@ class WebMarket(MarketProvider):
 
 
 class WebBooks(BookProvider):
-    """Order books behind one address per symbol, in either payload format (``level2`` or ``keyed``)."""
+    """Order books behind one address per symbol, in either payload format (``level2`` or ``keyed``); ``options`` as for
+    the data source (a stream needs ``log``)."""
 
-    def __init__(self, addresses: dict[str, str], kind: str = "level2"):
-        self.addresses, self.parse = addresses, {"level2": read_level2, "keyed": read_keyed}[kind]
+    def __init__(self, addresses: dict[str, str], kind: str = "level2", **options):
+        self.addresses, self.parse, self.options = addresses, {"level2": read_level2, "keyed": read_keyed}[kind], options
 
     def snapshots(self, spark, depth=50, stream=False):
-        return self.parse(payloads(spark, self.addresses, stream), depth)
+        return self.parse(payloads(spark, self.addresses, stream, **self.options), depth)
 
 
 register("web", WebMarket)

@@ -218,9 +218,11 @@ def test_sources_behind_addresses(spark, tmp_path):
     (tmp_path / "book.json").write_text('{"bids": [["9.5", "2"]], "asks": [["10", "4"]]}')
     books = R.order_books("web_books", {"X": f"{base}/book.json"})
     assert books.snapshots(spark).first().symbol == "X"
-    query = collect_books(books.snapshots(spark, stream=True), str(tmp_path / "features"), str(tmp_path / "ck"))
-    query.awaitTermination(60)
-    query.stop()
+    books = R.order_books("web_books", {"X": f"{base}/book.json"})
+    with pytest.raises(Exception, match="log"):
+        books.snapshots(spark, stream=True).writeStream.format("noop").trigger(availableNow=True).start().awaitTermination(60)
+    books.options = {"log": str(tmp_path / "fetched")}
+    collect_books(books.snapshots(spark, stream=True), str(tmp_path / "features"), str(tmp_path / "ck")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "features")).first().mid_price == 9.75
 
 

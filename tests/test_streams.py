@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ridgeline.operators import monitor as D
+from ridgeline.sources import web
 from ridgeline.sources.versions import VersionedTable
 from ridgeline.streaming import drift as S
 from ridgeline.streaming.log import EVENTS, PredictionLog
@@ -98,6 +99,41 @@ def test_two_writers_at_once(spark, tmp_path):
     assert [tuple(r) for r in two.read().collect()] == [("a", 2)]
 
 
+def test_a_replayed_batch_of_addresses_has_its_rows_again(spark, tmp_path):
+    """Fetched in tasks; a batch that failed is read from the log although the pages have changed; the next turn fetches anew."""
+    for k in range(6):
+        (tmp_path / f"{k}.txt").write_text(f"old {k}")
+    pages = {f"k{k}": (tmp_path / f"{k}.txt").as_uri() for k in range(6)}
+    options = {"batch": 2, "log": str(tmp_path / "log"), "keep": 2}
+    seen = []
+
+    def run(every, fail=False):
+        def take(batch, number):
+            rows = batch.withColumn("part", F.spark_partition_id()).collect()
+            seen.append((number, {r.symbol: (r.payload, r.timestamp) for r in rows}, len({r.part for r in rows})))
+            if fail:
+                raise RuntimeError("lost")
+
+        stream = web.payloads(spark, pages, True, every=every, **options)
+        stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination(60)
+
+    with pytest.raises(Exception, match="lost"):
+        run(0.01, fail=True)
+    for k in range(6):
+        (tmp_path / f"{k}.txt").write_text(f"new {k}")
+    run(0.01)
+    (_, first, tasks), (number, again, _), *later = seen
+    assert tasks == 3 and number == 0 and again == first and first["k4"][0] == "old 4"
+    run(0.01)
+    assert {v[0] for v in seen[-1][1].values()} == {f"new {k}" for k in range(6)}
+    run(0.01)
+    assert len(list((tmp_path / "log").iterdir())) <= 3
+    assert all(set(s[1]) == set(pages) for s in seen)
+    for _ in range(2):  # the second time no turn has passed
+        web.payloads(spark, pages, True, every=1e9, batch=4, log=f"{tmp_path}/slow").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start().awaitTermination(60)
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 6
+
+
 @pytest.mark.parametrize("step", ["before", "written", "committed"])
 @pytest.mark.parametrize("kind", ["csv", "parquet"])
 def test_log_survives_a_failure_at_each_step(spark, scored, tmp_path, step, kind):
