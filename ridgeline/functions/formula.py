@@ -147,13 +147,15 @@ def _safe(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
 
 
-def compile_node(node: Node, dialect: str = "plain") -> Column:
-    """The expression of a formula over columns of doubles."""
+def compile_node(node: Node, dialect: str = "plain", made_already: dict[Node, str] | None = None) -> Column:
+    """The expression of a formula over columns of doubles. ``made_already`` names the columns that hold sub-formulas."""
+    if made_already and node in made_already:
+        return F.col(made_already[node])
     if node.op == "col":
         return F.col(node.value).cast("double")
     if node.op == "const":
         return F.lit(float(node.value))
-    x, *rest = (compile_node(a, dialect) for a in node.args)
+    x, *rest = (compile_node(a, dialect, made_already) for a in node.args)
     y = rest[0] if rest else None
     guarded = dialect == "protected"
     made = {
@@ -167,6 +169,46 @@ def compile_node(node: Node, dialect: str = "plain") -> Column:
     return made[node.op]()
 
 
+def shared_parts(nodes: list[Node]) -> list[list[Node]]:
+    """Sub-formulas that stand in two places or more of the graph that ``nodes`` make when equal sub-formulas are one node,
+    in layers: what a layer needs is in those before it."""
+    uses: dict[Node, int] = {}
+
+    def walk(node: Node) -> None:
+        uses[node] = uses.get(node, 0) + 1
+        if uses[node] == 1:
+            for a in node.args:
+                walk(a)
+
+    for n in nodes:
+        walk(n)
+    depth: dict[Node, int] = {}
+
+    def level(node: Node) -> int:
+        """Layers of shared parts up to and with ``node``."""
+        if node not in depth:
+            depth[node] = max((level(a) for a in node.args), default=0) + (uses[node] > 1 and bool(node.args))
+        return depth[node]
+
+    layers: list[list[Node]] = []
+    for node, n in uses.items():
+        if n > 1 and node.args:
+            layers += [[] for _ in range(level(node) - len(layers))]
+            layers[level(node) - 1].append(node)
+    return layers
+
+
+def evaluate_graph(rows: DataFrame, nodes: list[Node], names: list[str], dialect: str = "plain", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep`` and a column per formula, undefined values as null. Each sub-formula that several of them share, or one
+    has twice, is a column of its own and computed once; equal up to the order of symmetric operators is equal."""
+    nodes, made = [canonical(n) for n in nodes], {}
+    for layer in shared_parts(nodes):
+        new = {n: f"_part{len(made) + k}" for k, n in enumerate(layer)}
+        rows = rows.withColumns({c: compile_node(n, dialect, made) for n, c in new.items()})
+        made |= new
+    return rows.select(*keep, *(_safe(compile_node(n, dialect, made)).alias(c) for n, c in zip(nodes, names, strict=True)))
+
+
 def compile_text(text: str, dialect: str = "plain") -> Column:
     return _safe(compile_node(parse(text), dialect))
 

@@ -60,12 +60,18 @@ def global_corr(rows: DataFrame, pred: str, y: str, method: str = "pearson") ->
 
 
 def unpivoted(rows: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
-    """``keep..., feature, value``: one row per column, so one aggregation serves them all."""
-    return rows.unpivot(keep, columns, "feature", "value")
+    """``keep..., feature, value``: one row per column, so one aggregation serves them all. Rows that lie together by a key
+    among ``keep`` still do, so what groups by it needs no shuffle."""
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns)))
+    return rows.select(*keep, cells.alias("_cell")).select(*keep, "_cell.feature", "_cell.value")
+
+
+def drawn(seed: int) -> Column:
+    """A number from 0 to 1 that hangs on the date and ``seed`` alone."""
+    return F.pmod(F.xxhash64("date", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
 
 
 def sampled_dates(rows: DataFrame, batch: int, seed: int) -> DataFrame:
     """Rows of a Bernoulli sample of dates with ``batch`` expected; the draw hangs on seed and date alone."""
     n = rows.select(F.count_distinct("date")).first()[0]
-    draw = F.pmod(F.xxhash64("date", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
-    return rows.where(draw < (batch / n if n else 1.0))
+    return rows.where(drawn(seed) < (batch / n if n else 1.0))

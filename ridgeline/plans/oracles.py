@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ridgeline.plans.queries import RESOLVED_BEFORE, TRIALS
+from ridgeline.plans.queries import FORMULAS, RESOLVED_BEFORE, TRIALS
 from ridgeline.schema import FEATURE_COLS
 
 PANEL = """
@@ -232,5 +232,6 @@ def oracle_sql() -> dict[str, str]:
         "oos_sample": _q(ALPHA + FOLDS.format(embargo=0), "date; ticker; ~alpha; ~fwd_ret", "(SELECT a.* FROM a JOIN folds ON date BETWEEN test_start AND test_end ORDER BY md5(ticker || '|' || CAST(date AS VARCHAR) || '|0'), ticker || '|' || CAST(date AS VARCHAR) LIMIT 5000)"),
         "drift_stream": _q(DRIFT, f"as_of; date; {_STATUS}; n_weeks; ~recent_mean_ic; ~baseline_mean_ic; ~z AS z_score; ~p AS p_value", "dr"), "features_appended": _q(FEATURES, d + "sector; " + "; ".join(f"~{c}" for c in [*FEATURE_COLS, "fwd_ret", "fwd_ret_neutral"]), "f"),
         "log_stream": _q(LOG, "predict_date; ticker; ~alpha; ~realized_fwd_ret; resolved", "lg"),
+        "custom_fitness": "WITH " + FEATURES.strip() + " " + " UNION ALL ".join(f"SELECT '{text}' AS formula, round(coalesce(avg(coalesce(s, 0.0)), 0.0), 6) + 0.0 AS fitness FROM (SELECT date, avg(sign(v) * sign(fwd_ret)) AS s FROM (SELECT date, fwd_ret, {_PLAIN[f'f{k}']} AS v FROM f) GROUP BY date)" for k, text in enumerate(FORMULAS)),
         "windowed_events": "SELECT to_timestamp(epoch(ts) - epoch(ts) % 21600) AT TIME ZONE 'UTC' AS start, event_type, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM events GROUP BY ALL",
     }

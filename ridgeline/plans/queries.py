@@ -10,6 +10,7 @@ import uuid
 from datetime import date, datetime
 from functools import partial
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ from ridgeline.operators import orderbook as O
 from ridgeline.operators import screen as S
 from ridgeline.operators import selection as L
 from ridgeline.operators import significance as G
+from ridgeline.operators.fitness import register_fitness
 from ridgeline.plans import mining as N
 from ridgeline.plans import serving as R
 from ridgeline.plans import validation as W
@@ -445,11 +447,19 @@ def genetic_search(spark, d):
 def pareto_search(spark, d):
     rows, (*_, fold) = _search(spark, d)
     train = rows.where(F.col("date") <= F.lit(fold.train_cutoff)).cache()
-    pool = N.Pareto(N.Settings(**SEARCH, ops=N.PLAIN_OPS, dialect="plain", metric="pearson", batch_days=60)).mine(train, FEATURE_COLS, "fwd_ret", 7)
+    pool = N.Pareto(N.Settings(**SEARCH | {"population": 12}, ops=N.PLAIN_OPS, dialect="plain", metric="pearson", batch_days=60, islands=3, tuned=2)).mine(train, FEATURE_COLS, "fwd_ret", 7)
     train.unpersist()
     return spark.createDataFrame(list(zip(pool.formulas, pool.scores, strict=True)), "formula string, train_ic double")
 
 
+def custom_fitness(spark, d):
+    """Formulas by a metric of one's own: on what share of a date's names value and label agree in sign, less the others."""
+    register_fitness("sign_agreement", lambda x, y: (np.sign(x) * np.sign(y)).mean())
+    nodes = [X.parse(t) for t in FORMULAS]
+    scores = N.population_ic(_features(spark, d), nodes, "fwd_ret", "plain", "sign_agreement")
+    return _round(spark.createDataFrame(list(zip(FORMULAS, scores, strict=True)), "formula string, fitness double"))
+
+
 def second_stage_search(spark, d):
     rows, _ = _search(spark, d)
     rows = rows.cache()
@@ -545,7 +555,7 @@ _ORDER = [
     daily_ic, daily_rank_ic, ic_series_skip, global_ic, global_rank_ic, distinct_counts, feature_screen, variance_flags, consensus_rank, select_features, mean_importance, go_rule, folds, time_split, embargo_split, decile_backtest, decile_sector_neutral, ic_weighted,
     ic_weighted_sector_neutral, period_metrics, equity_curve, psr_moments, deflated_sharpe, formula_eval, formula_eval_protected, formula_dedup, explain_nodes, explain_ticker, pool_report, pool_values, gram_matrix, lasso_combine, least_squares, lasso_one,
     walk_forward_combine, composite_score, top_n, top_n_sector_capped, serve_stored_model, sector_counts, record_prediction, resolve_predictions, weekly_ic, baseline_stats, drift_timeline, remine_decision, remine_policy,
-    book_best, book_depth_imbalance, book_features, fold_summary, overfit_rule, union_oos, oos_sample, windowed_events, genetic_search, pareto_search, second_stage_search, walk_forward, complexity_sweep,
+    book_best, book_depth_imbalance, book_features, fold_summary, overfit_rule, union_oos, oos_sample, windowed_events, genetic_search, pareto_search, custom_fitness, second_stage_search, walk_forward, complexity_sweep,
     elasticnet_baseline, boosted_trees_importance, preflight, log_stream, drift_stream, features_appended,
 ]
 
