@@ -288,7 +288,7 @@ def near_dedup(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
     )
     slots = nodes.select("node", F.explode("bands").alias("key"))
     heads = slots.groupBy("key").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    shared = materialize(join_hot(slots, materialize(heads, "heads"), "key", "members", BANDS * nodes.count()), "buckets")
+    shared = materialize(join_hot(slots, materialize(heads, "heads"), "key", "members", BANDS * nodes.count(), listed=True), "buckets")
     pairs = shared.where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
     sig_a = nodes.select(F.col("node").alias("a"), *(F.col(s).alias(f"a_{s}") for s in _SIG))
     sig_b = nodes.select(F.col("node").alias("b"), *(F.col(s).alias(f"b_{s}") for s in _SIG))
@@ -299,7 +299,7 @@ def near_dedup(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
     placed = shared.join(found.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     placed = materialize(placed.select("key", "node", "component"), "placed")
     split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo <> hi")
-    rest = materialize(join_hot(placed, materialize(split.select("key", "members"), "split"), "key", "members", placed.count()), "split-buckets")
+    rest = materialize(join_hot(placed, materialize(split.select("key", "members"), "split"), "key", "members", placed.count(), listed=True), "split-buckets")
     rest = rest if rest.isEmpty() else materialize(_alike(rest, nodes, least), "alike")
     if not rest.isEmpty():
         more = materialize(_family_links(rest, nodes, docs, least, percent), "confirmed-more")

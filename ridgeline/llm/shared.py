@@ -135,14 +135,21 @@ def with_row_key(docs: DataFrame) -> tuple[DataFrame, str]:
     return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
-def join_hot(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -> DataFrame:
+def join_hot(rows: DataFrame, table: DataFrame, key: str, size: str, total: int, listed: bool = False) -> DataFrame:
     """Inner join of ``rows`` with ``table``, whose column ``size`` tells how many of the ``total`` rows have its ``key``.
 
     The entries of keys that hold a thousandth of the rows or more are broadcast (there can't be more than a thousand
-    such keys), so no task meets all rows of one key; the rest is joined by shuffle.
+    such keys), so no task meets all rows of one key; the rest is joined by shuffle. ``listed``, for keys that are
+    numbers: the hot ones are known to the plan by value, and where there are none, they cost nothing.
     """
     hot = table.where(F.col(size) * HOT_SHARE >= max(total, HOT_SHARE * 100))
-    cold = rows.join(F.broadcast(hot.select(key).distinct()), key, "left_anti").join(table, key)
+    if listed:
+        keys = [r[0] for r in hot.select(key).distinct().collect()]  # a thousand at most
+        if not keys:
+            return rows.join(table, key)
+        cold = rows.where(~F.col(key).isin(keys)).join(table, key)
+    else:
+        cold = rows.join(F.broadcast(hot.select(key).distinct()), key, "left_anti").join(table, key)
     return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
