@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions.guards import complete
+from ridgeline.operators.boosting import boost
 from ridgeline.operators.combine import Gram, descend, descend_together, objective, weighted, wide_grams
 
 #: Mixing ratios, folds and path length of the elastic-net search.
@@ -62,16 +63,11 @@ def elastic_net_fit_predict(train: DataFrame, test: DataFrame, features: list[st
     return weighted(test, features, w).withColumn("alpha", F.col("alpha") + F.lit(b)), _importance(train, features, w)
 
 
-def boosted_trees_fit_predict(train: DataFrame, test: DataFrame, features: list[str], trees: int = 200, depth: int = 4, rate: float = 0.05) -> tuple[DataFrame, DataFrame]:
-    """Gradient-boosted trees on 80 % row and column samples; importance is the gain share of each feature."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    def assembled(df):
-        return VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip").transform(df)
-
-    model = GBTRegressor(featuresCol="_x", labelCol="fwd_ret", predictionCol="alpha", maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=0).fit(assembled(train))
-    return model.transform(assembled(test)).drop("_x"), _importance(train, features, model.featureImportances.toArray())
+def boosted_trees_fit_predict(train: DataFrame, test: DataFrame, features: list[str], trees: int = 200, importance: str = "split") -> tuple[DataFrame, DataFrame]:
+    """Boosted trees of depth 4 at rate 0.05 on draws of 80 % of the features; importance counts the cuts on each feature, or
+    with ``gain`` adds up what they gain. Rows of ``test`` with an unknown feature are left out."""
+    model = boost(complete(train, features), features, trees=trees)
+    return complete(test, features).withColumn("alpha", model.alpha()), _importance(train, features, model.importance(importance))
 
 
 FIT_PREDICT = {"elasticnet": elastic_net_fit_predict, "boosted_trees": boosted_trees_fit_predict}
