@@ -294,10 +294,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated = materialize(anchors(keyed).where("n > 1"), "anchors")
     found = materialize(candidates(keyed, repeated), "chunks")
     ranges = materialize(covered(found), "ranges")
-    spans = found.select("anchor", "content", "doc_id", "th", "start").join(ranges, ["anchor", "content"])
+    # Rows that repeat an id and text have the same chunks, each of which counts once.
+    spans = found.select("anchor", "content", "doc_id", "th", "start").distinct().join(ranges, ["anchor", "content"])
     moved = [F.transform(c, lambda x: x + F.col("start")).alias(c) for c in ("lo", "hi")]
-    # Rows that repeat an id and text bring the same ranges, each of which counts once.
-    spans = spans.select("doc_id", "th", *moved).distinct().groupBy("doc_id", "th").agg(F.flatten(F.collect_list("lo")).alias("_lo"), F.flatten(F.collect_list("hi")).alias("_hi"))
+    spans = spans.select("doc_id", "th", *moved).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("lo")).alias("_lo"), F.flatten(F.collect_list("hi")).alias("_hi"))
     text, low, high, key, hashed, to, on = (free_name(docs.columns, c) for c in ("_text", "_lo", "_hi", "_key", "_hash", "_id", "_th"))
     spans = spans.select(F.col("doc_id").alias(to), F.col("th").alias(on), F.col("_lo").alias(low), F.col("_hi").alias(high))
     whole = F.col(text_col).cast("string")

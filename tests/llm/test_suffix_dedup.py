@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from ridgeline.llm import suffix_dedup
 from ridgeline.llm.suffix_dedup import remove_repeats, suffix_order
@@ -87,3 +88,19 @@ def test_driver_documents(spark):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert sorted((tuple(r)[:5] for r in remove_repeats(docs).collect()), key=str) == brute(rows)
     assert remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_equal_rows_of_one_id_count_once(spark):
+    """Rows that repeat an id and text, in names that the operator might use itself: each loses what both have, and the
+    work doesn't grow with the square of their number."""
+    import time
+
+    text = " ".join(f"w{(k * 37) % 211}" for k in range(500))
+    took = {}
+    for name, rows in (("warm", [(k, text, k) for k in range(50)]), ("many ids", [(k, text, k) for k in range(1500)]), ("one id", [(7, text, k) for k in range(1500)])):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, _hash int").withColumn("_LO", F.lit("x"))
+        began = time.time()
+        got = {tuple(r) for r in remove_repeats(docs, carry=["_hash", "_LO"]).select("n_removed", "n_spans", "_LO").collect()}
+        took[name] = time.time() - began
+        assert got == {(len(text), 1, "x")}
+    assert took["one id"] < 2 * took["many ids"] + 2
