@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridgeline.functions.guards import nonzero
+from ridgeline.operators.quantiles import beside, exact_edges
 from ridgeline.schema import BUCKETS, COST_BPS, HORIZON, MIN_NAMES, TRADING_DAYS
 
 
@@ -15,21 +16,36 @@ def rebalance_rows(rows: DataFrame, horizon: int = HORIZON) -> DataFrame:
     return rows.join(F.broadcast(dates.where(F.col("_k") % horizon == 0).select("date")), "date", "left_semi")
 
 
+#: Rows of a group that one task may order; wider groups have their edges from range counts.
+WIDE = 1_000_000
+
+
+def _fractions(n: int) -> list[float]:
+    return [*(k * (1 / n) for k in range(n)), 1.0]
+
+
 def _edges(n: int) -> Column:
-    return F.percentile("alpha", F.array(*(F.lit(k * (1 / n)) for k in range(n)), F.lit(1.0)))
+    return F.percentile("alpha", F.array(*map(F.lit, _fractions(n))))
 
 
-def decile_periods(rows: DataFrame, buckets: int = BUCKETS, cost_bps: float = COST_BPS, horizon: int = HORIZON, neutral: bool = False) -> DataFrame:
+def decile_periods(rows: DataFrame, buckets: int = BUCKETS, cost_bps: float = COST_BPS, horizon: int = HORIZON, neutral: bool = False, wide: int = WIDE) -> DataFrame:
     """``date, ret, long_only``: mean return of the top less the bottom quantile bucket, after costs.
 
     Bucket edges are exact linear quantiles; equal edges merge. Groups (dates, or sectors of a date) of fewer than two
-    rows a bucket sit out. A date whose alphas are all equal has no buckets and a null return.
+    rows a bucket sit out. A date whose alphas are all equal has no buckets and a null return. Groups of more than ``wide``
+    rows are not put in order in one task: their edges, the same ones, come from counts of ranges.
     """
     cost = cost_bps / 10_000
     by = ["date", "sector"] if neutral else ["date"]
     group = Window.partitionBy(*by)
     day = rebalance_rows(rows, horizon)
-    met = day.withColumns({"_n": F.count(F.lit(1)).over(group), "_e": F.array_distinct(_edges(buckets).over(group))}).where(F.col("_n") >= 2 * buckets)
+    sizes = day.groupBy(*by).count()
+    about = sizes.agg(F.max("count").alias("most"), F.count(F.lit(1)).alias("groups")).first()
+    if (about.most or 0) > wide:
+        met = beside(day, exact_edges(day, by, "alpha", _fractions(buckets)), by, about.groups).withColumn("_e", F.array_distinct("_e"))
+    else:
+        met = day.withColumns({"_n": F.count(F.lit(1)).over(group), "_e": F.array_distinct(_edges(buckets).over(group))})
+    met = met.where(F.col("_n") >= 2 * buckets)
     some = F.size("_e") >= 2
     top = some & (F.col("alpha") > F.element_at("_e", F.when(some, F.size("_e") - 1).otherwise(1)))
     low = some & (F.col("alpha") <= F.element_at("_e", F.when(some, 2).otherwise(1)))
