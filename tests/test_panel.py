@@ -133,10 +133,37 @@ def test_wide_grams_are_the_sums(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(60, 3))
     frame = spark.createDataFrame([(int(k % 2), *map(float, r)) for k, r in enumerate(x)], "part int, a double, b double, y double").repartition(3)
-    for got, part in zip(C.wide_grams(frame, ["a", "b"], "y", "part"), (x[::2], x[1::2]), strict=True):
+    for got, part in zip(C.wide_grams(frame, ["a", "b"], "y", "part").values(), (x[::2], x[1::2]), strict=True):
         assert got.n == 30 and np.allclose(got.xx, part[:, :2].T @ part[:, :2]) and np.allclose(got.xy, part[:, :2].T @ part[:, 2]) and np.isclose(got.yy, part[:, 2] @ part[:, 2])
 
 
+def test_folds_fitted_together_are_those_alone(spark):
+    from ridgeline.operators import models as M
+
+    rng = np.random.default_rng(8)
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=k) for k in range(30)]
+    rows = [(d, f"t{t}", *map(float, x), float(0.4 * x[0] - 0.1 * x[1] + rng.normal(0, 0.2))) for d in days for t in range(9) if rng.random() < 0.9 for x in [rng.normal(size=3)]]
+    frame = spark.createDataFrame(rows, "date date, ticker string, a double, b double, c double, fwd_ret double").repartition(5).cache()
+    cutoffs = [days[9], days[17], days[29]]
+    for cutoff, fit in zip(cutoffs, M.elastic_nets(frame, cutoffs, ["a", "b", "c"]), strict=True):
+        alone = M.elastic_net(frame.where(F.col("date") <= F.lit(cutoff)), ["a", "b", "c"])
+        assert fit.weights == pytest.approx(alone.weights, abs=1e-9) and fit.intercept == pytest.approx(alone.intercept, abs=1e-9)
+        assert (fit.penalty, fit.ratio) == pytest.approx((alone.penalty, alone.ratio))
+    # the runs are those that a sort of the training rows gives
+    parts = M.training_parts(frame, cutoffs, 3).collect()
+    for k, cutoff in enumerate(cutoffs):
+        train = sorted((r.ticker, r.date) for r in parts if r.date <= cutoff)
+        assert {(r.ticker, r.date): r._part // 4**k % 4 for r in parts} == {(r.ticker, r.date): 0 for r in parts} | {key: n * 3 // len(train) + 1 for n, key in enumerate(train)}
+    folds = V.make_folds(days, 3, 0.4)
+    scored, _ = M.elastic_net_folds(frame, folds, ["a", "b", "c"])
+    for f in folds:
+        alone, _ = M.elastic_net_fit_predict(frame.where(F.col("date") <= F.lit(f.train_cutoff)), frame.where(F.col("date").between(F.lit(f.test_start), F.lit(f.test_end))), ["a", "b", "c"])
+        want = {(r.date, r.ticker): r.alpha for r in alone.collect()}
+        got = {(r.date, r.ticker): r.alpha for r in scored.where(F.col("fold") == f.fold).collect()}
+        assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x], abs=1e-9) for x in got)
+    frame.unpersist()
+
+
 def test_descents_together_are_those_alone():
     rng = np.random.default_rng(2)
     grams = []
