@@ -28,7 +28,7 @@ from ridgeline.llm.shared import let_workers_import
 
 BLANK, LONG = "▁", 48
 _U = np.uint64
-_NONE = np.int64(1 << 40)
+_NONE, _LAST = np.int64(1 << 40), np.int32(2**31 - 1)
 
 
 class Pieces:
@@ -151,39 +151,43 @@ def encode_words(p: Pieces, symbols: np.ndarray, lengths: np.ndarray, keys: np.n
             col = np.arange(wide)
             size = lengths[rows].copy()
             inside = col[None, :] < size[:, None]
-            sym = np.where(inside, symbols[np.minimum(at[rows][:, None] + col, len(symbols) - 1)], p.size * 64)
-            start = np.broadcast_to(col, sym.shape).copy()
-            rank = np.full(sym.shape, _NONE)
-            made = np.full(sym.shape, -1)
+            # One number a symbol: itself, what it makes with the next one (plus 1), and its place in the word.
+            cell = np.where(inside, symbols[np.minimum(at[rows][:, None] + col, len(symbols) - 1)], 0) << 32 | col
+            rank = np.full(cell.shape, _LAST, np.int32)
+            own, place = keys[rows], np.arange(len(rows))
+            final = np.zeros(cell.shape, np.int64)
 
-            def offer(r, c, sym=sym, start=start, rank=rank, made=made, size=size, rows=rows):
+            def offer(r, c):
                 ok = (c >= 0) & (c + 1 < size[r])
-                rank[r[~ok & (c >= 0)], c[~ok & (c >= 0)]] = _NONE
+                gone = ~ok & (c >= 0)
+                rank[r[gone], c[gone]] = _LAST
                 r, c = r[ok], c[ok]
-                k, m = p.pair(sym[r, c], sym[r, c + 1])
+                x, y = cell[r, c], cell[r, c + 1]
+                k, m = p.pair(x >> 32, y >> 32)
                 if most:
-                    k = np.where((m >= 0) & _skipped(keys[rows[r]], start[r, c], start[r, c + 1], m, most), _NONE, k)
-                rank[r, c], made[r, c] = k, m
-
-            r, c = np.nonzero(inside)
-            offer(r, c)
-            live = np.arange(len(rows))
-            while len(live):
-                best = rank[live].argmin(axis=1)
-                ok = rank[live, best] < _NONE
-                live, best = live[ok], best[ok]
-                if not len(live):
-                    break
-                sym[live, best] = made[live, best]
-                shift = np.minimum(col[None, :] + (col[None, :] > best[:, None]), wide - 1)
-                row = live[:, None]
-                sym[live], start[live], made[live] = sym[row, shift], start[row, shift], made[row, shift]
-                rank[live] = rank[row, shift]
-                size[live] -= 1
-                offer(live, best - 1)
-                offer(live, best)
+                    k = np.where((m >= 0) & _skipped(own[r], x & 1023, y & 1023, m, most), _NONE, k)
+                rank[r, c] = np.minimum(k, _LAST)
+                cell[r, c] = x >> 32 << 32 | (m + 1) << 10 | x & 1023
+
+            offer(*np.nonzero(inside))
             counts[rows] = size
-            done.append((rows, size, sym))
+            while len(place):
+                best = rank.argmin(axis=1)
+                line = np.arange(len(place))
+                ok = rank[line, best] < _LAST
+                if not ok.all():  # words without a candidate are done
+                    final[place[~ok]], counts[rows[place[~ok]]] = cell[~ok] >> 32, size[~ok]
+                    cell, rank, size, own, place, best = (v[ok] for v in (cell, rank, size, own, place, best))
+                    if not len(place):
+                        break
+                    line = np.arange(len(place))
+                x = cell[line, best]
+                cell[line, best] = ((x >> 10 & 0x3FFFFF) - 1) << 32 | x & 1023
+                shift = np.minimum(col[None, :] + (col[None, :] > best[:, None]), wide - 1)
+                cell, rank = np.take_along_axis(cell, shift, 1), np.take_along_axis(rank, shift, 1)
+                size = size - 1
+                offer(np.concatenate((line, line)), np.concatenate((best - 1, best)))
+            done.append((rows, counts[rows], final))
     for k in np.flatnonzero(lengths > LONG):
         got = encode_alone(p, symbols[at[k] : at[k] + lengths[k]], int(keys[k]), most)
         counts[k] = len(got)
