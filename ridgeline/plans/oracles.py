@@ -158,6 +158,24 @@ _TRIED = f"[{', '.join(map(repr, TRIALS))}]"
 _BAR = f"(SELECT stddev_samp(x) FROM (SELECT unnest({_TRIED}) AS x)) * ((1 - 0.5772156649015329) * {_quantile(f'(1 - 1.0 / {len(TRIALS)})')} + 0.5772156649015329 * {_quantile(f'(1 - 1 / ({len(TRIALS)} * exp(1)))')})"
 
 
+def _lasso(penalty: float, sweeps: int) -> str:
+    """The combination of all formulas by cyclic coordinate descent, one coordinate a step of a recursion."""
+    k = len(_PLAIN)
+    values = ", ".join(f"{v} AS x{i}" for i, v in enumerate(_PLAIN.values()))
+    known = " AND ".join([*(f"x{i} IS NOT NULL" for i in range(k)), "y IS NOT NULL"])
+    sums = ", ".join([*(f"[{', '.join(f'avg(x{i} * x{j})' for j in range(k))}] AS g{i}" for i in range(k)), f"[{', '.join(f'avg(x{i} * y)' for i in range(k))}] AS xy"])
+    g = f"[{', '.join(f'g{i}' for i in range(k))}]"
+    r = "(xy[j] - list_dot_product(m[j], w) + m[j][j] * w[j])"
+    new = f"sign{r} * greatest(abs{r} - {penalty}, 0) / m[j][j]"
+    texts = ", ".join(f"'{x}'" for x in FORMULAS)
+    return f"""WITH RECURSIVE {FEATURES.strip()},
+z AS (SELECT {values}, fwd_ret AS y FROM f), gr AS MATERIALIZED (SELECT {g} AS m, xy FROM (SELECT {sums} FROM z WHERE {known})),
+cd AS (SELECT 0 AS i, 1 AS j, CAST({[0.0] * k} AS DOUBLE[]) AS w UNION ALL
+       SELECT i + 1, j % {k} + 1, list_transform(w, lambda v, c: CASE WHEN c = j THEN {new} ELSE v END) FROM cd, gr WHERE i < {k * sweeps}),
+done AS (SELECT w FROM cd WHERE i = {k * sweeps})
+SELECT formula, round(weight, 6) + 0.0 AS weight FROM (SELECT unnest([{texts}]) AS formula, unnest(w) AS weight FROM done) WHERE abs(weight) >= 1e-10"""
+
+
 def _guard(x: str, value: str, other: str) -> str:
     return f"CASE WHEN abs({x}) > 0.001 THEN {value} ELSE {other} END"
 
@@ -211,6 +229,7 @@ def oracle_sql() -> dict[str, str]:
         "pool_report": f"WITH {split.strip()}, pr AS (SELECT *, delta_close_5 AS f0, {_PLAIN['f1']} AS f1, CASE WHEN date < c THEN 'train' ELSE 'test' END AS side FROM f, cut)\n" + " UNION ALL ".join(report),
         "pool_values": _q(FEATURES + f", pv AS (SELECT 0 AS i, date, ticker, mom_60 AS v FROM f UNION ALL SELECT 1, date, ticker, {_PLAIN['f1']} FROM f)", "CAST(i AS INT) AS formula_id; date; ticker; ~v AS value", "pv WHERE v IS NOT NULL"),
         "gram_matrix": _q(FEATURES, "count(*) AS n; " + "; ".join(f"~sum({a} * {b}) AS g_{i}_{j}" for i, a in enumerate(names) for j, b in enumerate(names) if i <= j), "f"),
+        "lasso_combine": _lasso(1e-5, 20_000),
         "least_squares": _q(FEATURES + f", e AS (SELECT {_PLAIN['f0']} AS a, {_PLAIN['f3']} AS b, fwd_ret AS y FROM f), t AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS bb_y FROM e)", "~(ay * bb - bb_y * ab) / (aa * bb - ab * ab) AS w0; ~(bb_y * aa - ay * ab) / (aa * bb - ab * ab) AS w1", "t"),
         "lasso_one": _q(FEATURES + f", t AS (SELECT avg(({_PLAIN['f0']}) * fwd_ret) AS r, avg(({_PLAIN['f0']}) ** 2) AS s FROM f)", "~sign(r) * greatest(abs(r) - 1e-5, 0) / s AS weight", "t"),
         "composite_score": _q(FEATURES, d + f"~{_SCORE} AS alpha", "f"),

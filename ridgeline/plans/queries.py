@@ -321,7 +321,7 @@ def lasso_combine(spark, d):
     rows = X.evaluate(_features(spark, d), FORMULAS)
     names = [f"f{k}" for k in range(len(FORMULAS))]
     w = C.combine(rows, names, "fwd_ret", 1e-5)
-    return spark.createDataFrame(list(zip(FORMULAS, map(float, w), strict=True)), "formula string, weight double").where(F.abs("weight") >= 1e-10)
+    return _round(spark.createDataFrame(list(zip(FORMULAS, map(float, w), strict=True)), "formula string, weight double").where(F.abs("weight") >= 1e-10))
 
 
 def least_squares(spark, d):
