@@ -1,42 +1,92 @@
-"""Connected components of a link table by alternating large-star and small-star steps, all on DataFrames."""
+"""Connected components of a link table: contraction of what a task holds, then alternating large-star and small-star steps."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.shared import materialize
+from ridgeline.llm.shared import join_hot, materialize
+
+#: Links that a task contracts at once (4 MB of ids); the number of tasks grows with the links.
+CHUNK = 1 << 18
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step. Each node hands its neighbours to the smallest node in reach; ``u > v`` holds for every edge (u, v)."""
+    """One step. Each node hands its neighbours to the smallest node in reach; ``u > v`` holds for every edge (u, v).
+    Nodes of very many links are met by broadcast, so no task has all links of one."""
+    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("links"))
+    low = materialize(low, "lowest")
+    met = join_hot(both, low, "u", "links", edges.count() * (2 if large else 1), listed=True)
     if large:
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        out = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
-        out = edges.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 
 
+def lowest_in_reach(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges but for the smallest one of each component, and that smallest one."""
+    names, ends = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    label = np.arange(len(names))
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            break
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while True:
+            further = label[label]
+            if (further == label).all():
+                break
+            label = further
+    child = np.flatnonzero(label != np.arange(len(names)))
+    return names[child], names[label[child]]
+
+
+def _contract(batches):
+    held, rows = [], 0
+    for batch in batches:
+        held.append((batch.column("u").to_numpy(), batch.column("v").to_numpy()))
+        rows += batch.num_rows
+        if rows >= CHUNK:
+            yield _stars(held)
+            held, rows = [], 0
+    if rows:
+        yield _stars(held)
+
+
+def _stars(held):
+    u, v = lowest_in_reach(*(np.concatenate(x) for x in zip(*held, strict=True)))
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
+def _open_nodes(edges: DataFrame) -> int:
+    """How many nodes hang below two others, or below one while others hang below them: none in a forest of stars."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("up")), F.struct(F.col("v").alias("node"), F.lit(None).cast("long").alias("up")))).alias("x"))
+    seen = ends.groupBy("x.node").agg(F.min("x.up").alias("lo"), F.max("x.up").alias("hi"), F.bool_or(F.col("x.up").isNull()).alias("above"))
+    return seen.where("lo is not null and (above or lo <> hi)").count()
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``links(a, b)``; component is the smallest node reachable.
 
-    Each round's edges are written to the shared folder, which cuts lineage. The loop ends when a round changes
-    nothing, seen from a count and an order-free checksum; the number of rounds grows with the logarithm of the size.
-    Only those two numbers reach the driver.
+    Each round contracts the links that share a task to stars and, where stars of several tasks still touch, hands
+    neighbours on by large-star and small-star steps. A round's edges are written to the shared folder, which cuts
+    lineage. The loop ends when every node hangs below one smallest node; the number of rounds grows with the logarithm
+    of the size. Only counts and the names of nodes with a thousandth of all links reach the driver. Links of a node with
+    itself or with null count for nothing.
     """
-    edges = materialize(
-        links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
-    )
-    seen = None
+    edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     for _ in range(most_rounds):
-        edges = materialize(_star(_star(edges, large=True), large=False), "stars")
-        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(mark) == seen:
+        parts = max(1, -(-edges.count() // CHUNK))
+        edges = materialize(edges.repartition(parts, "u").mapInArrow(_contract, "u long, v long"), "stars")
+        if not _open_nodes(edges):
             break
-        seen = tuple(mark)
+        edges = materialize(_star(_star(edges, large=True), large=False), "edges")
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

@@ -283,7 +283,7 @@ def near_dedup(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
     nodes = materialize(
         sketched.where("node is not null and doc_id is not null")
         .groupBy("node")
-        .agg(F.min("doc_id").alias("row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in _SIG)),
+        .agg(F.min("doc_id").alias("row"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in _SIG)),
         "nodes",
     )
     slots = nodes.select("node", F.explode("bands").alias("key"))
@@ -306,10 +306,10 @@ def near_dedup(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_
         if not more.isEmpty():
             found = components(links.union(more))
 
-    labelled = nodes.select("node", "row").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    labelled = nodes.select("node", "row", "copies").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = labelled.groupBy("component").agg(F.min("row").alias("component_id"))
-    labelled = materialize(labelled.join(lowest, "component").select("node", "component_id"), "labels")
+    labelled = materialize(labelled.join(lowest, "component").select("node", "copies", "component_id"), "labels")
     rows = sketched.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"))
-    out = rows.where("node is not null").join(labelled, "node").select("doc_id", "n_shingles", "component_id")
+    out = join_hot(rows.where("node is not null"), labelled, "node", "copies", sketched.count(), listed=True).select("doc_id", "n_shingles", "component_id")
     alone = rows.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return out.unionByName(alone).select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
