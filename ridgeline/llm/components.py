@@ -1,4 +1,5 @@
-"""Connected components of a link table: contraction of what a task holds, then alternating large-star and small-star steps."""
+"""Connected components of a link table by contraction: a task joins up the links it holds, and shuffles bring together
+links that touch, first at their larger end, then at both (the small-star and large-star steps, for whole tasks)."""
 
 from __future__ import annotations
 
@@ -7,24 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.shared import join_hot, materialize
+from ridgeline.llm.shared import HOT_SHARE, let_workers_import, materialize
 
-#: Links that a task contracts at once (4 MB of ids); the number of tasks grows with the links.
+#: Links that a task contracts at once (4 MB of ids), however many it is given.
 CHUNK = 1 << 18
-
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step. Each node hands its neighbours to the smallest node in reach; ``u > v`` holds for every edge (u, v).
-    Nodes of very many links are met by broadcast, so no task has all links of one."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("links"))
-    low = materialize(low, "lowest")
-    met = join_hot(both, low, "u", "links", edges.count() * (2 if large else 1), listed=True)
-    if large:
-        out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+#: Parts that the links of a node with a thousandth of all links are dealt to.
+PARTS = 64
 
 
 def lowest_in_reach(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -48,9 +37,11 @@ def lowest_in_reach(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _contract(batches):
+    """Links ``u, v`` to stars: every node but the smallest of its component, with that one. Links that don't ``stay``
+    are only looked at: another task hands their ends on."""
     held, rows = [], 0
     for batch in batches:
-        held.append((batch.column("u").to_numpy(), batch.column("v").to_numpy()))
+        held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names])
         rows += batch.num_rows
         if rows >= CHUNK:
             yield _stars(held)
@@ -60,33 +51,57 @@ def _contract(batches):
 
 
 def _stars(held):
-    u, v = lowest_in_reach(*(np.concatenate(x) for x in zip(*held, strict=True)))
-    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
-
-
-def _open_nodes(edges: DataFrame) -> int:
-    """How many nodes hang below two others, or below one while others hang below them: none in a forest of stars."""
+    u, v, *stay = (np.concatenate(x) for x in zip(*held, strict=True))
+    node, low = lowest_in_reach(u, v)
+    if stay:
+        own = np.isin(node, np.concatenate((u[stay[0]], v[stay[0]])))
+        node, low = node[own], low[own]
+    return pa.RecordBatch.from_arrays([pa.array(node), pa.array(low)], ["u", "v"])
+
+
+def _meet_below(edges: DataFrame) -> DataFrame:
+    """Links with the same larger end meet in a task. As many links as before at most."""
+    return edges.repartition("u").mapInArrow(_contract, "u long, v long")
+
+
+def _meet_around(edges: DataFrame, hot: list[int]) -> DataFrame:
+    """All links of a node meet in a task, which hands on the node and its larger neighbours: as many links as before at
+    most, and one for each node that has such. Of a ``hot`` node the links to larger ones are dealt to parts, and all
+    parts see those to smaller ones."""
+    above = edges.select("u", "v", F.lit(True).alias("stay"), F.col("v").alias("at"), (F.pmod(F.xxhash64("u"), F.lit(PARTS)) if hot else F.lit(0)).cast("int").alias("part"))
+    below = edges.select("u", "v", F.lit(False).alias("stay"), F.col("u").alias("at"), F.lit(0).alias("part"))
+    if hot:
+        above = above.withColumn("part", F.when(F.col("at").isin(hot), F.col("part")).otherwise(0))
+        parts = F.sequence(F.lit(0), F.when(F.col("at").isin(hot), PARTS - 1).otherwise(0))
+        below = below.withColumn("part", F.explode(parts))
+    return above.unionByName(below).repartition("at", "part").select("u", "v", "stay").mapInArrow(_contract, "u long, v long")
+
+
+def _state(edges: DataFrame) -> tuple[int, list[int]]:
+    """How many nodes hang below two others, or below one while others hang below them (none in a forest of stars), and
+    the nodes with at least a thousandth of all links."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("up")), F.struct(F.col("v").alias("node"), F.lit(None).cast("long").alias("up")))).alias("x"))
-    seen = ends.groupBy("x.node").agg(F.min("x.up").alias("lo"), F.max("x.up").alias("hi"), F.bool_or(F.col("x.up").isNull()).alias("above"))
-    return seen.where("lo is not null and (above or lo <> hi)").count()
+    seen = ends.groupBy("x.node").agg(F.min("x.up").alias("lo"), F.max("x.up").alias("hi"), F.bool_or(F.col("x.up").isNull()).alias("above"), F.count(F.lit(1)).alias("links"))
+    least = max(100, edges.count() // HOT_SHARE)
+    row = seen.agg(F.count_if(F.expr("lo is not null and (above or lo <> hi)")), F.collect_list(F.when(F.col("links") >= least, F.col("node")))).first()
+    return row[0], row[1]  # at most some two thousand names
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``links(a, b)``; component is the smallest node reachable.
 
-    Each round contracts the links that share a task to stars and, where stars of several tasks still touch, hands
-    neighbours on by large-star and small-star steps. A round's edges are written to the shared folder, which cuts
-    lineage. The loop ends when every node hangs below one smallest node; the number of rounds grows with the logarithm
-    of the size. Only counts and the names of nodes with a thousandth of all links reach the driver. Links of a node with
-    itself or with null count for nothing.
+    A round's edges are written to the shared folder, which cuts lineage. The loop ends when every node hangs below one
+    smallest node; the number of rounds grows with the logarithm of the size. Only counts and the names of nodes with
+    very many links reach the driver. Links of a node with itself or with null count for nothing.
     """
-    edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    let_workers_import(links.sparkSession)
+    edges = links.where("a <> b").select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v"))
+    edges = materialize(_meet_below(edges), "stars")
     for _ in range(most_rounds):
-        parts = max(1, -(-edges.count() // CHUNK))
-        edges = materialize(edges.repartition(parts, "u").mapInArrow(_contract, "u long, v long"), "stars")
-        if not _open_nodes(edges):
+        unsettled, hot = _state(edges)
+        if not unsettled:
             break
-        edges = materialize(_star(_star(edges, large=True), large=False), "edges")
+        edges = materialize(_meet_below(_meet_around(edges, hot)), "stars")
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(

@@ -38,14 +38,29 @@ def test_a_task_finds_the_components_of_its_links(name):
     assert dict(zip(node.tolist(), low.tolist())) == {x: c for x, c in want.items() if x != c}
 
 
-@pytest.mark.parametrize("chunk", [1 << 18, 64])
-def test_components_over_tasks(spark, monkeypatch, chunk):
-    """Small chunks leave work to the star steps, whose centre with 600 links is met by broadcast."""
-    monkeypatch.setattr(C, "CHUNK", chunk)
+@pytest.mark.parametrize("spread", ["4", "64"])
+def test_components_over_tasks(spark, spread):
+    """A chain over many tasks takes several rounds; a node with 600 links and one link below has its links dealt to parts."""
     links = [(a + shift, b + shift) for shift, part in zip((0, 10_000, 20_000, 30_000), graphs().values()) for a, b in part]
+    links += [(50_000, 60_000 + k) for k in range(600)] + [(49_000, 50_000), (49_000, 48_000), (60_001, 47_000)]
     rows = [*links, *links[:50], *((b, a) for a, b in links[:50]), (77_777, 77_777), (None, 3), (3, None)]
-    got = {r.node: r.component for r in C.components(spark.createDataFrame(rows, "a long, b long").repartition(5)).collect()}
-    assert got == {x: c for x, c in plain([(a, b) for a, b in links if a != b]).items()}
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", spread)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [tuple(r) for r in C.components(spark.createDataFrame(rows, "a long, b long")).collect()]
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    assert len(got) == len(dict(got)) and dict(got) == plain([(a, b) for a, b in links if a != b])
+
+
+def test_hot_nodes_are_found_and_dealt(spark):
+    edges = spark.createDataFrame([(k + 10, 5) for k in range(300)] + [(5, 1), (2000, 2)], "u long, v long")
+    unsettled, hot = C._state(edges)
+    assert unsettled == 1 and hot == [5]
+    around = C._meet_around(edges, hot).distinct().collect()
+    assert {tuple(r) for r in around} == {(k + 10, 1) for k in range(300)} | {(5, 1), (2000, 2)}
 
 
 def test_no_links(spark):
