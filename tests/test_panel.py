@@ -472,3 +472,20 @@ def test_validation_goes_over_all_folds(spark, monkeypatch):
     for query in (Q.walk_forward, Q.complexity_sweep, Q.elasticnet_baseline):
         query(spark, SF)
     assert seen == dict.fromkeys(("walk_forward", "complexity_sweep", "baseline"), [1, 2, 3, 4, 5])
+
+
+def test_average_ranks_sort_once(spark):
+    from ridgeline.functions.guards import average_rank
+
+    rows = spark.createDataFrame([("a", 2.0), ("a", None), ("a", 2.0), ("a", -1.0), ("b", None), ("b", 5.0)], "k string, v double").withColumn("r", average_rank("v", "k"))
+    assert rows._jdf.queryExecution().sparkPlan().toString().count("Window") == 1
+    assert sorted((r.k, r.v, r.r) for r in rows.collect() if r.v is not None) == [("a", -1.0, 1.0), ("a", 2.0, 2.5), ("a", 2.0, 2.5), ("b", 5.0, 1.0)]
+    assert all(r.r is None for r in rows.collect() if r.v is None)
+
+
+def test_overall_ranks_hold_no_value_against_every_edge(spark):
+    """Runs of values are found by search: no expression with a lambda over all edges for each value."""
+    frame = spark.range(3000).select((F.col("id") % 700).cast("double").alias("p"), ((F.col("id") * 37) % 911).cast("double").alias("y"))
+    got = I.global_corr(frame, "p", "y", "spearman")
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.first().ic == pytest.approx(frame.toPandas().rank().corr().iloc[0, 1], abs=1e-12)
