@@ -489,3 +489,21 @@ def test_overall_ranks_hold_no_value_against_every_edge(spark):
     got = I.global_corr(frame, "p", "y", "spearman")
     assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert got.first().ic == pytest.approx(frame.toPandas().rank().corr().iloc[0, 1], abs=1e-12)
+
+
+def test_bars_meet_by_ticker_once_and_features_alone_store_no_operands(spark):
+    store.forget(spark, SF)
+    features = T.features(spark, SF)
+    assert {name for app, d, name in store._stored if d == SF} == {"bars", "features"}
+    alone = {(r.date, r.ticker): r.asDict() for r in features.collect()}
+    T.operands(spark, SF)
+    found = (spark.sparkContext.applicationId, SF, "features")
+    store._drop(spark, found)
+    again = T.features(spark, SF)
+    assert set(again.columns) == {*T.KEYS, *schema.FEATURE_COLS, "fwd_ret", "fwd_ret_neutral"} and again.count() == len(alone)
+    for r in again.collect():
+        assert all(v == pytest.approx(alone[r.date, r.ticker][c], abs=1e-9) for c, v in r.asDict().items() if isinstance(v, float))
+    placed = T.panel(spark, SF, 6)
+    assert placed._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1 and placed.rdd.getNumPartitions() == 6
+    assert sorted(map(tuple, placed.collect())) == sorted(map(tuple, T.panel(spark, SF).collect()))
+    store.forget(spark, SF)
