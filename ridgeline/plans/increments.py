@@ -59,10 +59,11 @@ class FeatureStore:
         known = self._operands(made, universe)
         # Only the last rows of a ticker had no label yet.
         labels = made.where(f"_old and _place <= {HORIZON} and fwd_ret is not null").select("date", "ticker", F.col("fwd_ret").alias("_label"), _month().alias("month"))
-        months = sorted({r.month for r in known.select("month").union(labels.select("month")).distinct().collect()})
+        # The new bars' own keys say which months and rows are meant; asking ``known`` would make all operands again each time.
+        months = sorted({r.month for r in new.select(_month().alias("month")).union(labels.select("month")).where("month is not null").distinct().collect()})
         before = self.operands.read(months).join(labels.drop("month"), ["date", "ticker"], "left")
         before = before.withColumn("fwd_ret", F.coalesce("fwd_ret", "_label")).drop("_label")
-        before = before.join(known.select("date", "ticker"), ["date", "ticker"], "left_anti")  # from a try that failed half-way
+        before = before.join(new.select("date", "ticker"), ["date", "ticker"], "left_anti")  # from a try that failed half-way
         self.operands.replace(before.unionByName(known), writer, batch)
         trained = P.training(self.operands.read(months))
         self.features.replace(trained, writer, batch)

@@ -91,3 +91,22 @@ def test_failures_and_late_bars(spark, panel, tmp_path):
     with pytest.raises(ValueError, match="not newer"):
         store.append(frame(cut[0], DAYS[85]), universe)
     assert store.tails.state() == before
+
+
+def test_keys_of_new_bars_say_what_is_written(spark, tmp_path, monkeypatch):
+    """Which months a batch touches is known from its bars: their operands are not made for it."""
+    asked, plain = [], FeatureStore._operands
+
+    class Watched:
+        def __init__(self, rows):
+            self.rows = rows
+
+        def __getattr__(self, name):
+            asked.append(name)
+            return getattr(self.rows, name)
+
+    monkeypatch.setattr(FeatureStore, "_operands", lambda self, *a: Watched(plain(self, *a)))
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.unionByName", (lambda old: lambda a, b, **k: old(a, b.rows if isinstance(b, Watched) else b, **k))(type(spark.range(1)).unionByName))
+    bars = spark.range(80).selectExpr("date_add(date'2024-01-01', cast(id as int)) as date", "'a' as ticker", *(f"cast(id % 7 + 1 as double) as {c}" for c in ("open", "high", "low", "close", "volume")))
+    assert FeatureStore(spark, str(tmp_path)).append(bars, spark.createDataFrame([("a", "x")], "ticker string, sector string"))
+    assert asked == []
