@@ -422,6 +422,32 @@ def test_feature_subsets():
             schema.resolve_subset(bad, ["a"])
 
 
+def test_global_rank_correlation_reads_the_rows_three_times(spark):
+    import random
+
+    from ridgeline.operators.ic import global_corr
+
+    rng = random.Random(5)
+    data = [(float(rng.randrange(40)), rng.gauss(0, 1) if k % 3 else 0.5) for k in range(900)] + [(None, 1.0), (1.0, None)]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = spark.createDataFrame(data, "p double, y double").repartition(3).mapInArrow(seen, "p double, y double")
+    ic = global_corr(rows, "p", "y", "spearman").first().ic
+    ranks = []
+    for v in zip(*data[:900], strict=True):
+        v = np.array(v)
+        ranks.append((v[:, None] > v).sum(1) + ((v[:, None] == v).sum(1) + 1) / 2)
+    assert ic == pytest.approx(np.corrcoef(*ranks)[0, 1], abs=1e-12)
+    assert read.value <= 3 * len(data)
+    for flat in (rows.where("p is null"), rows.where("p = 3.0")):
+        assert global_corr(flat, "p", "y", "spearman").first().ic == 0.0
+
+
 def test_preflight_of_a_clear_signal(spark):
     from ridgeline.plans.validation import preflight
 
