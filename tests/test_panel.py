@@ -448,6 +448,26 @@ def test_global_rank_correlation_reads_the_rows_three_times(spark):
         assert global_corr(flat, "p", "y", "spearman").first().ic == 0.0
 
 
+def test_folds_of_a_model_are_fitted_side_by_side(spark, monkeypatch):
+    import threading
+
+    from ridgeline.operators import models as M
+    from ridgeline.plans.validation import baseline
+
+    met = threading.Barrier(2, timeout=60)
+
+    def fit(train, test, features):
+        met.wait()  # breaks where one fold waits for the other
+        return test.withColumn("alpha", F.col("a")), train.sparkSession.createDataFrame([("a", 1.0)], "feature string, importance double")
+
+    monkeypatch.setitem(M.FIT_PREDICT, "together", fit)
+    days = [dt.date(2020, 1, 6) + dt.timedelta(weeks=k) for k in range(12)]
+    frame = spark.createDataFrame([(d, f"t{k}", "s", float(k), float(k)) for d in days for k in range(12)], "date date, ticker string, sector string, a double, fwd_ret double")
+    found, importance = baseline(frame, ["a"], V.make_folds(days, 2, 0.4), "together")
+    assert [(r.fold, round(r.test_ic, 9)) for r in found.orderBy("fold").collect()] == [(1, 1.0), (2, 1.0)]
+    assert sorted(r.fold for r in importance.collect()) == [1, 2]
+
+
 def test_preflight_of_a_clear_signal(spark):
     from ridgeline.plans.validation import preflight
 
