@@ -43,6 +43,12 @@ def test_walk_forward_has_the_budget_of_the_reference(monkeypatch):
     assert (seen["seeds"], s.population, s.generations, s.components, s.hall_of_fame, s.tournament, s.batch_days) == (4, 300, 15, 4, 30, 20, None)
 
 
+def test_complexity_sweep_has_the_budget_of_the_reference(monkeypatch):
+    seen = _asked(monkeypatch, Q.complexity_sweep, "complexity_sweep")
+    sizes, s = seen["given"]
+    assert sizes == [10, 20, 30] and (seen["seeds"], s.islands, s.population, s.generations) == (3, 8, 33, 20)
+
+
 def test_folds_and_sizes_take_turns_together(rows, monkeypatch):
     turns, plain = [], N.population_ic
     monkeypatch.setattr(N, "population_ic", lambda rows, nodes, *a, **k: turns.append(len(nodes)) or plain(rows, nodes, *a, **k))
