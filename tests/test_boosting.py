@@ -91,3 +91,53 @@ def test_fit_predict_and_edge_cases(spark):
         assert boost(none, ["a", "b"]).trees == []
     with_gaps = boost(frame, ["a", "b"], trees=2)
     assert frame.select(with_gaps.alpha().alias("p")).where("p is null").count() == 0
+
+
+def test_one_task_boosts_as_jobs_do(spark, monkeypatch):
+    """A small table is boosted by one task, in a few jobs for any number of trees; the trees are those of a job a level."""
+    from ridgeline.operators import boosting as B
+
+    rng = random.Random(6)
+    data = [(a := rng.gauss(0, 1), b := float(rng.randrange(7)), rng.gauss(0, 1) if rng.random() < 0.9 else None, a * b + rng.gauss(0, 0.5)) for _ in range(900)]
+    frame = spark.createDataFrame(data, "a double, b double, c double, y double").repartition(3)
+    spark.sparkContext.setJobGroup("one task", "")
+    model = boost(frame, list("abc"), "y", trees=24, rate=0.2)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("one task")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) < 10 and len(model.trees) == 24 and sum(model.importance()) > 100
+    monkeypatch.setattr(B, "ALONE", 0)
+    assert boost(frame, list("abc"), "y", trees=24, rate=0.2) == model
+
+
+def test_best_cut_is_that_of_exact_sums():
+    from ridgeline.operators.boosting import best_cut
+
+    rng = np.random.default_rng(5)
+    for case in range(60):
+        n = rng.integers(0, 30, (4, 9))
+        n[:, -1] += n.sum(axis=1).max() - n.sum(axis=1)
+        g = rng.integers(-(2**36), 2**36, (4, 9)) * (n > 0)
+        g[:, 0] += g.sum(axis=1).max() - g.sum(axis=1)
+        if case % 3 == 0:
+            g[2], n[2] = g[1], n[1]  # a tie goes to the first feature
+        want = None
+        for f in (1, 2, 3):
+            for b in range(9):
+                gl, nl, total, rows = int(g[f, : b + 1].sum()), int(n[f, : b + 1].sum()), int(g[f].sum()), int(n[f].sum())
+                if nl >= 5 and rows - nl >= 5:
+                    gain = gl * gl / nl + (total - gl) ** 2 / (rows - nl) - total * total / rows
+                    if gain > 0 and (want is None or gain > want[0]):
+                        want = (gain, f, b, (gl, nl), (total - gl, rows - nl))
+        assert best_cut(g, n, [1, 2, 3], 5) == want
+
+
+def test_preflight_has_all_trees(monkeypatch):
+    from ridgeline.operators import models as M
+    from ridgeline.plans import queries as Q
+
+    seen = {}
+    monkeypatch.setattr(Q, "_search", lambda spark, d: (None, []))
+    monkeypatch.setattr(Q.W, "preflight", lambda rows, features, folds, top_n=None, trees="boosted_trees": seen.update(trees=trees) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        Q.preflight(None, None)
+    assert M.FIT_PREDICT[seen["trees"]] is M.boosted_trees_fit_predict and M.boosted_trees_fit_predict.__defaults__[0] == 200
